@@ -22,6 +22,7 @@ from ..operators.joins import (
     industry_l1,
     join_industry,
 )
+from ..operators.skew import durable
 from . import views as V
 from .fundamental import FACTORS, KEYS, TTM_STAGES
 from .registry import nums, query, views
@@ -80,7 +81,8 @@ def with_industry(spark, sf):
 
 
 def fundamentals(spark, sf):
-    return factors(V.statements(spark, sf))
+    """Factors of all reports, written once: normalisation reads them several times."""
+    return durable(factors(V.statements(spark, sf)))
 
 
 FUND = f"f AS (SELECT {KEYS}, {', '.join(f'{e} AS {n}' for n, e in FACTORS.items())} FROM statements)"
@@ -158,13 +160,13 @@ FUND_TTM = f"""{views('statements', 'industry')}, {FUND}, {TTM_STAGES},
 
 def fundamentals_ttm(spark, sf):
     """Factors of each report with the trailing sums of the window that ends in its quarter."""
-    f = fundamentals(spark, sf).withColumn(
+    f = factors(V.statements(spark, sf)).withColumn(
         "report_date", F.add_months(F.trunc("notice_date", "quarter"), -9).cast("date")
     )
     t = trailing_twelve_months(V.statements(spark, sf).drop("report_period")).select(
         "ts_code", "report_date", "ttm_roe", "ttm_cfo_yield"
     )
-    return f.join(t, ["ts_code", "report_date"], "left").drop("report_date")
+    return durable(f.join(t, ["ts_code", "report_date"], "left").drop("report_date"))
 
 
 def _neutral(name, by_sql, by):

@@ -169,6 +169,27 @@ def rolling_corr(spark, sf):
     )
 
 
+@query(
+    "rolling_by_running_sums",
+    f"""{BARS}, s AS (SELECT *, ln(close) - {lag_sql('ln(close)')} AS r FROM bars), t AS (SELECT *, {lag_sql('r')} AS r1 FROM s)
+    SELECT ts_code, date, {nums({'mean_20': f"round({roll_sql('avg', 'close', 20, 5)}, 3)",
+    'std_60': roll_sql('stddev_samp', 'r', 60, 20), 'corr_1': corr_sql('r', 'r1', 60, 20)})} FROM t""",
+)
+def running(spark, sf):
+    """The same figures at a cost per row that does not depend on the window."""
+    return _series(
+        spark,
+        sf,
+        [
+            lambda w: {"r": C.diff(C.log(F.col("close")), w), "_mean": C.run_mean("close", w, 20, 5)},
+            lambda w: {"r1": F.lag("r").over(w), "mean_20": F.round("_mean", 3)},
+            lambda w: {"std_60": C.run_std("r", w, 60, 20), "corr_1": C.run_corr("r", "r1", w, 60, 20)},
+        ],
+        back=62,
+        keep=("mean_20", "std_60", "corr_1"),
+    )
+
+
 @query(
     "rolling_zscore",
     f"""{BARS}, s AS (SELECT ts_code, date, close, {roll_sql('avg', 'close', 20, 6)} AS m,
@@ -199,7 +220,8 @@ m1 AS (SELECT *, {', '.join(f"{e} AS {n}" for n, e in FORWARD_SQL.items())},
     close / {lag_sql('close', 12)} - 1 AS roc_12,
     {roll_sql('max', 'high', 20, 5)} AS ch_hi, {roll_sql('min', 'low', 20, 5)} AS ch_lo FROM %s)"""
 MOMENTUM_COLS = nums(
-    {n: n for n in (*FORWARD_SQL, "ma_4", "ma_12", "ma_24", "roc_4", "roc_12")}
+    {n: f"round({n}, 3)" for n in ("ma_4", "ma_12", "ma_24")}
+    | {n: n for n in (*FORWARD_SQL, "roc_4", "roc_12")}
     | {
         "ma12_dev": clip_sql("close / ma_12 - 1", -10, 10),
         "ma24_dev": clip_sql("close / ma_24 - 1", -10, 10),
@@ -262,10 +284,15 @@ ALL_STAGES = (
 BEHAVIORAL_COLS = ", ".join([MOMENTUM_COLS, VOLATILITY_COLS, VOLUME_COLS, TRADED_COLS, STRUCTURE_COLS])
 
 
+def _prices(df):
+    """Averages on the scale of prices are compared to three digits."""
+    return df.withColumns({c: F.round(c, 3) for c in ("ma_4", "ma_12", "ma_24") if c in df.columns})
+
+
 def _group(name, stages, last, cols):
     @query(f"beh_{name}", f"{BARS}, {stages % 'bars'} SELECT date, ts_code, {cols} FROM {last}")
     def group(spark, sf):
-        return behavioral.features(V.bars(spark, sf), [name])
+        return _prices(behavioral.features(V.bars(spark, sf), [name]))
 
 
 _group("momentum", MOMENTUM_STAGE, "m1", MOMENTUM_COLS)
@@ -276,7 +303,7 @@ _group("structure", STRUCTURE_STAGES, "t3", STRUCTURE_COLS)
 
 @query("beh_metrics", f"{BARS}, {ALL_STAGES.format(src='bars')} SELECT date, ts_code, {BEHAVIORAL_COLS} FROM t3")
 def beh_metrics(spark, sf):
-    return market_features(V.bars(spark, sf))
+    return _prices(market_features(V.bars(spark, sf)))
 
 
 def _single(sql: str) -> str:
@@ -293,7 +320,7 @@ def _single(sql: str) -> str:
     ),
 )
 def beh_index(spark, sf):
-    return behavioral.features(index_bars(V.index_raw(spark, sf)), by=None)
+    return _prices(behavioral.features(index_bars(V.index_raw(spark, sf)), by=None))
 
 
 @query(
@@ -306,7 +333,7 @@ def beh_index(spark, sf):
     ),
 )
 def beh_qvix(spark, sf):
-    return behavioral.features(qvix_bars(V.qvix_raw(spark, sf)), by=None)
+    return _prices(behavioral.features(qvix_bars(V.qvix_raw(spark, sf)), by=None))
 
 
 # ---- resampling and adjustment ----------------------------------------------------------------

@@ -14,6 +14,7 @@ from ..operators.joins import (
     universe_filter,
 )
 from ..operators import macro
+from ..operators.skew import durable
 from ..plans.panel import fundamental_features, market_features, panel_dataset, panel_stack
 from . import views as V
 from .crosssection import FUND, _zscore_sql, industry
@@ -118,7 +119,7 @@ _MARKET = f"""{ALL_STAGES.format(src='bars')}, mk AS (SELECT ts_code, date, ret_
 
 def _inputs(spark, sf):
     market = market_features(V.bars(spark, sf)).select("ts_code", "date", *MARKET_COLS)
-    fund = fundamental_features(V.statements(spark, sf)).select("ts_code", "name", "notice_date", *FUND_COLS)
+    fund = durable(fundamental_features(V.statements(spark, sf)).select("ts_code", "name", "notice_date", *FUND_COLS))
     flow = macro.northbound(northbound(spark, sf)).select("date", *MACRO_COLS)
     return market, fund, flow
 
@@ -168,9 +169,12 @@ def dataset(spark, sf):
 
 
 def labelled_panel(spark, sf):
-    """Bars with a forward return and a few features: the input of labels and splits."""
-    return market_features(V.bars(spark, sf)).select(
-        "ts_code", "date", "ret_1m", "roc_4", "roc_12", "ma12_dev", "vola_20"
+    """Bars with a forward return and a few features: the input of labels and splits.
+
+    Written once to the checkpoint folder, since labels and splits read it several times.
+    """
+    return durable(
+        market_features(V.bars(spark, sf)).select("ts_code", "date", "ret_1m", "roc_4", "roc_12", "ma12_dev", "vola_20")
     )
 
 

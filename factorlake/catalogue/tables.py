@@ -168,7 +168,7 @@ def date_inner(spark, sf):
 
 @query(
     "join_idents_left",
-    f"""{BARS} SELECT ts_code, date, s_name AS name, {nums({'ma_4': roll_sql('avg', 'close', 4, 2)})}
+    f"""{BARS} SELECT ts_code, date, s_name AS name, {nums({'ma_4': 'round(' + roll_sql('avg', 'close', 4, 2) + ', 3)'})}
     FROM bars JOIN supplier ON lpad(s_suppkey::VARCHAR, 6, '0') = ts_code""",
 )
 def idents(spark, sf):
@@ -177,7 +177,7 @@ def idents(spark, sf):
 
     names = V.table(spark, sf, "supplier").select(V._code("s_suppkey").alias("ts_code"), F.col("s_name").alias("name"))
     out = behavioral.features(V.bars(spark, sf).join(names, "ts_code"), ["momentum"])
-    return out.select("ts_code", "date", "name", "ma_4")
+    return out.select("ts_code", "date", "name", F.round("ma_4", 3).alias("ma_4"))
 
 
 # ---- aggregates, duplicates, unions -----------------------------------------------------------

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 INF = float("inf")
@@ -128,9 +128,21 @@ def trailing(w: WindowSpec, n: int) -> WindowSpec:
     return w.rowsBetween(-(n - 1), 0)
 
 
+def before(w: WindowSpec, n: int) -> WindowSpec:
+    """Everything up to and including the row ``n`` rows ago."""
+    return w.rowsBetween(Window.unboundedPreceding, -n)
+
+
+def window_count(x: str | Column, w: WindowSpec, n: int) -> Column:
+    """Non-null values among the last ``n`` rows, as the difference of two running counts."""
+    x = as_col(x)
+    return F.count(x).over(before(w, 0)) - F.count(x).over(before(w, n))
+
+
 def roll(agg: Callable[[Column], Column], x: str | Column, w: WindowSpec, n: int, min_samples: int) -> Column:
-    x, frame = as_col(x), trailing(w, n)
-    return F.when(F.count(x).over(frame) >= min_samples, agg(x).over(frame))
+    """``agg`` over the last ``n`` rows. Every frame is evaluated afresh: exact, at a cost of ``n`` per row."""
+    x = as_col(x)
+    return F.when(window_count(x, w, n) >= min_samples, agg(x).over(trailing(w, n)))
 
 
 def roll_mean(x, w, n, min_samples) -> Column:
@@ -153,6 +165,63 @@ def roll_max(x, w, n, min_samples) -> Column:
     return roll(F.max, x, w, n, min_samples)
 
 
+# ---- the same from running sums ---------------------------------------------------------------
+#
+# A difference of two running sums costs the same per row whatever the window. The sums cover finite
+# values only; a window holding a NaN or infinity is NaN. Rounding errors are relative to the running
+# sum: negligible for means, and for moments of returns, whose size does not drift and which are exactly
+# zero while a price rests. For moments of drifting levels use roll_std / roll_var / roll_corr.
+
+
+def _window_sum(x: Column, w: WindowSpec, n: int) -> Column:
+    zero = F.lit(0.0)
+    return F.coalesce(F.sum(x).over(before(w, 0)), zero) - F.coalesce(F.sum(x).over(before(w, n)), zero)
+
+
+def _finite(x: Column) -> Column:
+    return F.when((x - x) == 0, x)
+
+
+def _gated(value: Column, x: Column, w: WindowSpec, n: int, min_samples: int) -> Column:
+    have = window_count(x, w, n)
+    spoilt = window_count(_finite(x), w, n) < have
+    return F.when(have >= min_samples, F.when(spoilt, F.lit(NAN)).otherwise(value))
+
+
+def run_mean(x: str | Column, w: WindowSpec, n: int, min_samples: int) -> Column:
+    x = as_col(x)
+    mean = F.try_divide(_window_sum(_finite(x), w, n), window_count(x, w, n))
+    return _gated(mean, x, w, n, min_samples)
+
+
+def run_var(x: str | Column, w: WindowSpec, n: int, min_samples: int) -> Column:
+    """Sample variance."""
+    x = as_col(x)
+    fin, have = _finite(x), window_count(x, w, n)
+    total = _window_sum(fin, w, n)
+    ss = _window_sum(fin * fin, w, n) - F.try_divide(total * total, have)
+    return _gated(F.try_divide(F.greatest(ss, F.lit(0.0)), have - 1), x, w, n, max(min_samples, 2))
+
+
+def run_std(x: str | Column, w: WindowSpec, n: int, min_samples: int) -> Column:
+    return F.sqrt(run_var(x, w, n, min_samples))
+
+
+def run_corr(x: str | Column, y: str | Column, w: WindowSpec, n: int, min_samples: int) -> Column:
+    """Pearson correlation over the complete pairs of the frame; NaN where a side does not vary."""
+    x, y = as_col(x), as_col(y)
+    pair = x + y
+    x, y = (F.when(_finite(pair).isNotNull(), v) for v in (x, y))
+    have = window_count(pair, w, n)
+    sx, sy = _window_sum(x, w, n), _window_sum(y, w, n)
+
+    def moment(a: Column, b: Column, sa: Column, sb: Column) -> Column:
+        return _window_sum(a * b, w, n) - F.try_divide(sa * sb, have)
+
+    spread = F.greatest(moment(x, x, sx, sx), F.lit(0.0)) * F.greatest(moment(y, y, sy, sy), F.lit(0.0))
+    return _gated(clip(div(moment(x, y, sx, sy), F.sqrt(spread)), -1, 1), pair, w, n, min_samples)
+
+
 def nearest_index(n: Column, q: float) -> Column:
     """Zero-based index of the q-quantile of ``n`` sorted values, nearest rank."""
     return F.round((n - 1) * F.lit(float(q))).cast("int")
@@ -167,9 +236,9 @@ def roll_quantile(x, w: WindowSpec, n: int, q: float, min_samples: int) -> Colum
 
 def roll_corr(x, y, w: WindowSpec, n: int, min_samples: int) -> Column:
     """Pearson correlation over the complete pairs of the frame."""
-    x, y, frame = as_col(x), as_col(y), trailing(w, n)
-    pairs = F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).over(frame)
-    return F.when(pairs >= min_samples, F.corr(x, y).over(frame))
+    x, y = as_col(x), as_col(y)
+    pairs = window_count(F.when(x.isNotNull() & y.isNotNull(), 1), w, n)
+    return F.when(pairs >= min_samples, F.corr(x, y).over(trailing(w, n)))
 
 
 def zscore(x: str | Column, mean: str | Column, std: str | Column, bound: float = 10.0) -> Column:

@@ -21,13 +21,13 @@ from ..functions.columns import (
     forward_return,
     log,
     pct_change,
-    roll_corr,
     roll_max,
-    roll_mean,
     roll_min,
-    roll_std,
-    roll_var,
     row_max,
+    run_corr,
+    run_mean,
+    run_std,
+    run_var,
 )
 from .skew import MAX_GROUP_ROWS
 from .staged import FeatureGroup, staged_metrics
@@ -53,7 +53,7 @@ def momentum(cols: Sequence[str]) -> FeatureGroup:
 
     def base(w):
         out = {name: forward_return("close", w, n) for name, n in FORWARD_HORIZONS.items()}
-        out |= {f"ma_{n}": roll_mean("close", w, n, m) for n, m in ((4, 2), (12, 4), (24, 8))}
+        out |= {f"ma_{n}": run_mean("close", w, n, m) for n, m in ((4, 2), (12, 4), (24, 8))}
         out |= {f"roc_{n}": pct_change("close", w, n) for n in (4, 12)}
         if channel:
             out |= {"_ch_high": roll_max("high", w, 20, 5), "_ch_low": roll_min("low", w, 20, 5)}
@@ -91,18 +91,19 @@ def volatility(cols: Sequence[str]) -> FeatureGroup:
             high, low, last = F.col("high"), F.col("low"), F.lag("close").over(w)
             out["tr"] = row_max([high - low, F.abs(high - last), F.abs(low - last)])
             out["_hl"] = log(div(high, low)) * log(div(high, low))
+            out["_range"] = F.sqrt(out["_hl"] / (4 * _LN2))
         if full:
-            out["_co"] = log(div(F.col("close"), F.col("open"))) * log(div(F.col("close"), F.col("open")))
+            change = log(div(F.col("close"), F.col("open")))
+            out["_gk"] = F.sqrt(0.5 * out["_hl"] - (2 * _LN2 - 1) * change * change)
         return out
 
     def rolled(w):
-        out = {"vola_20": roll_std("_log_ret", w, 20, 10), "vola_60": roll_std("_log_ret", w, 60, 20)}
+        out = {"vola_20": run_std("_log_ret", w, 20, 10), "vola_60": run_std("_log_ret", w, 60, 20)}
         if ranged:
-            out["vola_parkinson"] = roll_mean(F.sqrt(F.col("_hl") / (4 * _LN2)), w, 20, 5)
-            out["_atr"] = roll_mean("tr", w, 14, 5)
+            out["vola_parkinson"] = run_mean("_range", w, 20, 5)
+            out["_atr"] = run_mean("tr", w, 14, 5)
         if full:
-            gk = F.sqrt(0.5 * F.col("_hl") - (2 * _LN2 - 1) * F.col("_co"))
-            out["vola_gk"] = roll_mean(gk, w, 20, 5)
+            out["vola_gk"] = run_mean("_gk", w, 20, 5)
         return out
 
     def derived(w):
@@ -135,7 +136,7 @@ def volume(cols: Sequence[str]) -> FeatureGroup:
     traded = "amount" in cols and "close" in cols
 
     def base(w):
-        return {"_vol20": roll_mean("volume", w, 20, 5), "_vol60": roll_mean("volume", w, 60, 10)}
+        return {"_vol20": run_mean("volume", w, 20, 5), "_vol60": run_mean("volume", w, 60, 10)}
 
     def derived(w):
         v = F.col("volume")
@@ -177,10 +178,10 @@ def structure(cols: Sequence[str]) -> FeatureGroup:
 
     def rolled(w):
         return {
-            "_var_diff": roll_var("_ret_diff", w, 60, 20),
-            "_var": roll_var("_log_ret", w, 60, 20),
-            "ac_1": roll_corr("_log_ret", "_ret_lag1", w, 60, 20),
-            "ac_5": roll_corr("_log_ret", "_ret_lag5", w, 60, 20),
+            "_var_diff": run_var("_ret_diff", w, 60, 20),
+            "_var": run_var("_log_ret", w, 60, 20),
+            "ac_1": run_corr("_log_ret", "_ret_lag1", w, 60, 20),
+            "ac_5": run_corr("_log_ret", "_ret_lag5", w, 60, 20),
         }
 
     def derived(w):

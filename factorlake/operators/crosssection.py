@@ -42,7 +42,7 @@ def _key_match(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Column:
     return cond
 
 
-def _attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
+def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     """Join group statistics back (null keys form a group). ``stats`` is already computed, so counting it is cheap."""
     keyed = stats.select(*[F.col(k).alias(f"_k_{k}") for k in by], *[c for c in stats.columns if c not in by])
     if keyed.count() <= MAX_BROADCAST_ROWS:
@@ -84,7 +84,7 @@ def bracketed_quantiles(
             F.when(small, F.max(x)).otherwise(hi).alias(f"_hi_{name}"),
         ]
     brackets = durable(df.groupBy(*by).agg(*aggs))
-    joined = _attach(df.select(*by, *dict.fromkeys(c for c, _ in qs.values())), brackets, by)
+    joined = attach(df.select(*by, *dict.fromkeys(c for c, _ in qs.values())), brackets, by)
 
     below = durable(
         joined.groupBy(*by).agg(
@@ -114,7 +114,7 @@ def bracketed_quantiles(
             for name, (_, q) in qs.items()
         ]
     )
-    targets = _attach(brackets, below, by).select(*by, F.inline(wanted)).where("_n > 0")
+    targets = attach(brackets, below, by).select(*by, F.inline(wanted)).where("_n > 0")
     w = Window.partitionBy(*by, "_q").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = tally.withColumn("_upto", F.sum("count").over(w))
     keyed = targets.select(*[F.col(k).alias(f"_k_{k}") for k in by], F.col("_q").alias("_k__q"), "_at")
@@ -153,7 +153,7 @@ def group_stats(
     cold = df.join(keyed, match, "left_anti")
     big = df.join(keyed, match, "left_semi")
     small_stats = cold.groupBy(*by).agg(*moments, *_sorted_quantiles(df, by, qs))
-    big_stats = _attach(durable(big.groupBy(*by).agg(*moments)), durable(bracketed_quantiles(big, by, qs)), by)
+    big_stats = attach(durable(big.groupBy(*by).agg(*moments)), durable(bracketed_quantiles(big, by, qs)), by)
     return durable(small_stats.unionByName(big_stats))
 
 
@@ -162,7 +162,7 @@ def group_stats_over(
 ) -> DataFrame:
     """Rows of ``df`` with the statistics of their group attached."""
     stats = group_stats(df, by, factors, quantiles, **kw)
-    return _attach(df, stats.withColumnRenamed("n", "group_size"), by)
+    return attach(df, stats.withColumnRenamed("n", "group_size"), by)
 
 
 def cs_zscore(
@@ -188,7 +188,7 @@ def cs_zscore(
         stats = stats.where(F.col("n") >= min_group_size)
     prefix = "_stat_"
     stats = stats.select(*by, *[F.col(c).alias(prefix + c) for c in stats.columns if c not in by])
-    joined = _attach(df, stats, by)
+    joined = attach(df, stats, by)
     out = {}
     for f in factors:
         x = _bare(df, f)

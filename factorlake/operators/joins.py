@@ -103,9 +103,11 @@ def hierarchy_map(l1: DataFrame, l2: DataFrame, l3: DataFrame) -> DataFrame:
     Parents are found by name, codes then resolve to names and to the upper level. A parent that cannot
     be resolved keeps its original text, and ``is_unmapped`` says so.
     """
+    # A few hundred industries: Spark sees their size and broadcasts them by itself.
     n1 = dedupe_last(l1.select(F.col("sw_l1_name").alias("_n1"), F.col("sw_l1_code").alias("_c1")), ["_n1"], ["_c1"])
     up = (
-        join_sized(l2.select("sw_l2_code", "sw_l2_name", "sw_l1_name"), n1, F.col("sw_l1_name") == F.col("_n1"), "left")
+        l2.select("sw_l2_code", "sw_l2_name", "sw_l1_name")
+        .join(n1, F.col("sw_l1_name") == F.col("_n1"), "left")
         .select(
             "sw_l2_code",
             "sw_l2_name",
@@ -114,19 +116,21 @@ def hierarchy_map(l1: DataFrame, l2: DataFrame, l3: DataFrame) -> DataFrame:
         )
     )
     n2 = dedupe_last(up.select(F.col("sw_l2_name").alias("_n2"), F.col("sw_l2_code").alias("_c2")), ["_n2"], ["_c2"])
-    low = join_sized(
-        l3.select("sw_l3_code", "sw_l2_name"), n2, F.col("sw_l2_name") == F.col("_n2"), "left"
-    ).select("sw_l3_code", F.coalesce("_c2", "sw_l2_name").alias("sw_l2_code"), F.col("_c2").isNull().alias("_no_l2"))
+    low = (
+        l3.select("sw_l3_code", "sw_l2_name")
+        .join(n2, F.col("sw_l2_name") == F.col("_n2"), "left")
+        .select("sw_l3_code", F.coalesce("_c2", "sw_l2_name").alias("sw_l2_code"), F.col("_c2").isNull().alias("_no_l2"))
+    )
     codes = dedupe_last(up, ["sw_l2_code"], ["sw_l2_name"])
     names = dedupe_last(l1.select("sw_l1_code", "sw_l1_name"), ["sw_l1_code"], ["sw_l1_name"])
-    flat = join_sized(low, codes, "sw_l2_code", "left").select(
+    flat = low.join(codes, "sw_l2_code", "left").select(
         "sw_l3_code",
         "sw_l2_code",
         F.coalesce("sw_l2_name", "sw_l2_code").alias("sw_l2_name"),
         F.coalesce("sw_l1_code", "sw_l2_code").alias("sw_l1_code"),
         (F.col("_no_l2") | F.coalesce("_no_l1", F.lit(True))).alias("is_unmapped"),
     )
-    return join_sized(flat, names, "sw_l1_code", "left").select(
+    return flat.join(names, "sw_l1_code", "left").select(
         "sw_l3_code",
         "sw_l2_code",
         "sw_l2_name",
@@ -154,7 +158,7 @@ def tradable_universe(
     if remove_st:
         out = out.where(not_special_treatment("name"))
     gone = delisted.where(F.col("off_date") <= F.lit(as_of)).select("ts_code").distinct()
-    return join_sized(out, gone, "ts_code", "left_anti").select("ts_code", "name")
+    return out.join(gone, "ts_code", "left_anti").select("ts_code", "name")
 
 
 def suspended_filter(df: DataFrame, suspended: DataFrame, on: Sequence[str] = ("ts_code", "date")) -> DataFrame:
@@ -172,7 +176,7 @@ def build_classification(members: DataFrame, levels: DataFrame, code: Column) ->
     ``classification_asof`` has something to look back on; of rows sharing a join date the highest
     L3 code stays.
     """
-    rows = join_sized(members.drop("sw_l1_name", "sw_l2_name"), levels.drop("is_unmapped"), "sw_l3_code")
+    rows = members.drop("sw_l1_name", "sw_l2_name").join(levels.drop("is_unmapped"), "sw_l3_code")
     rows = rows.withColumn("ts_code", code).drop("ts_code_suffix")
     return dedupe_last(rows, ["ts_code", "join_date"], ["sw_l3_code"])
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, flag, probit
-from .crosssection import group_stats_over
-from .skew import MAX_GROUP_ROWS, rank_and_count, row_position
+from .crosssection import attach, group_stats
+from .skew import MAX_GROUP_ROWS, group_sizes, rank_and_count, row_position
 
 
 def label_name(factor: str) -> str:
@@ -31,12 +31,14 @@ def label_gaussian(
     """
     keys = [rank_by, *by]
     rows = df.where(F.col(factor).isNotNull() & ~F.isnan(factor))
-    value = F.col(factor)
+    value, sizes = F.col(factor), None
     if winsor_limits:
-        rows = group_stats_over(rows, keys, [factor], winsor_limits)
+        stats = group_stats(rows, keys, [factor], winsor_limits)
+        sizes = stats.withColumnRenamed("n", "_count")
+        rows = attach(rows, stats, keys)
         value = clip(factor, F.col(f"{factor}_q0"), F.col(f"{factor}_q1"))
     rows = rows.withColumn("_value", value).select(*df.columns, "_value")
-    ranked = rank_and_count(rows, keys, "_value", max_rows=max_rows)
+    ranked = rank_and_count(rows, keys, "_value", max_rows=max_rows, sizes=sizes)
     score = probit((F.col("_rank") - 0.5) / F.col("_count"))
     return ranked.select(*df.columns, score.alias(label_name(factor)))
 
@@ -52,16 +54,16 @@ def label_discrete(
 ) -> DataFrame:
     """Bins 0 .. ``num_bins - 1`` of equal size per ``rank_by`` group, the first ones taking any remainder."""
     rows = df.where(F.col(factor).isNotNull() & ~F.isnan(factor))
-    placed = row_position(rows, [rank_by], [factor, *tie_break], "_pos", max_rows=max_rows)
-    sizes = rows.groupBy(rank_by).agg(F.count(F.lit(1)).alias("_n"))
-    at, n = F.col("_pos") - 1, F.col("_n")
+    sizes = group_sizes(rows, [rank_by])
+    placed = row_position(rows, [rank_by], [factor, *tie_break], "_pos", max_rows=max_rows, sizes=sizes)
+    at, n = F.col("_pos") - 1, F.col("_count")
     small = F.floor(n / num_bins)
     extra = n % num_bins
     edge = extra * (small + 1)
     bin_ = F.when(at < edge, F.floor(at / (small + 1))).otherwise(
         extra + F.floor((at - edge) / F.greatest(small, F.lit(1)))
     )
-    return placed.join(sizes, rank_by).select(*df.columns, bin_.cast("int").alias(label_name(factor)))
+    return attach(placed, sizes, [rank_by]).select(*df.columns, bin_.cast("int").alias(label_name(factor)))
 
 
 def label_binary(df: DataFrame, factor: str, threshold: float = 0.0) -> DataFrame:

@@ -40,14 +40,23 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def hot_keys(df: DataFrame, by: Sequence[str], max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame | None:
+def group_sizes(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows per group as ``_count``, computed once (combined per task before the shuffle)."""
+    return durable(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_count")))
+
+
+def hot_keys(
+    df: DataFrame, by: Sequence[str], max_rows: int | None = MAX_GROUP_ROWS, sizes: DataFrame | None = None
+) -> DataFrame | None:
     """Keys with more than ``max_rows`` rows (at most total/max_rows of them), or None if there are none.
 
-    ``max_rows=None`` skips the check, for inputs whose groups are bounded by construction.
+    ``sizes`` (see ``group_sizes``) saves counting again. ``max_rows=None`` skips the check, for inputs
+    whose groups are bounded by construction.
     """
     if max_rows is None:
         return None
-    hot = df.groupBy(*by).count().where(F.col("count") > max_rows).select(*by)
+    counted = sizes if sizes is not None else df.groupBy(*by).agg(F.count(F.lit(1)).alias("_count"))
+    hot = counted.where(F.col("_count") > max_rows).select(*by)
     return None if hot.isEmpty() else durable(hot)
 
 
@@ -57,9 +66,10 @@ def route(
     plain: Callable[[DataFrame], DataFrame],
     spread: Callable[[DataFrame], DataFrame],
     max_rows: int | None = MAX_GROUP_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """``plain`` for ordinary groups, ``spread`` for hot ones."""
-    hot = hot_keys(df, by, max_rows)
+    hot = hot_keys(df, by, max_rows, sizes)
     if hot is None:
         return plain(df)
     by = list(by)
@@ -149,7 +159,13 @@ def over_series(
 
 
 def row_position(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, *, max_rows: int | None = MAX_GROUP_ROWS
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    name: str,
+    *,
+    max_rows: int | None = MAX_GROUP_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """One-based row number of each row in its group (ascending ``order`` columns)."""
 
@@ -159,11 +175,16 @@ def row_position(
     def spread(f: DataFrame) -> DataFrame:
         return positions(f, by, order, name).withColumn(name, F.col(name) + 1)
 
-    return route(df, by, plain, spread, max_rows)
+    return route(df, by, plain, spread, max_rows, sizes)
 
 
 def rank_and_count(
-    df: DataFrame, by: Sequence[str], value: str, *, max_rows: int | None = MAX_GROUP_ROWS
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    *,
+    max_rows: int | None = MAX_GROUP_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``_rank`` (ties share the lowest rank) and ``_count`` per group."""
     by = list(by)
@@ -179,10 +200,10 @@ def rank_and_count(
     def spread(f: DataFrame) -> DataFrame:
         placed = positions(f, by, [value])
         ranks = placed.groupBy(*by, value).agg((F.min("_pos") + 1).alias("_rank"))
-        sizes = f.groupBy(*by).agg(F.count(F.lit(1)).alias("_count"))
-        return placed.drop("_pos").join(ranks, [*by, value]).join(sizes, by)
+        counts = f.groupBy(*by).agg(F.count(F.lit(1)).alias("_count"))
+        return placed.drop("_pos").join(ranks, [*by, value]).join(counts, by)
 
-    return route(df, by, plain, spread, max_rows)
+    return route(df, by, plain, spread, max_rows, sizes)
 
 
 def carry_last(

@@ -7,6 +7,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 from ..operators import behavioral, fundamental
 from ..operators.crosssection import industry_neutral
@@ -16,7 +17,12 @@ from ..operators.skew import MAX_GROUP_ROWS
 
 
 def market_features(bars: DataFrame, *, max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
-    """Behavioural features of raw bars; of several bars on one day the last stays."""
+    """Behavioural features of raw bars; of several bars on one day the last stays.
+
+    With a calendar date as key a ticker then has at most 366 rows a year, so its size need not be checked.
+    """
+    if isinstance(bars.schema["date"].dataType, DateType):
+        max_rows = None
     return behavioral.features(dedupe_last(bars, ["ts_code", "date"], []), max_rows=max_rows)
 
 
