@@ -181,9 +181,10 @@ def running(spark, sf):
         spark,
         sf,
         [
-            lambda w: {"r": C.diff(C.log(F.col("close")), w), "_mean": C.run_mean("close", w, 20, 5)},
-            lambda w: {"r1": F.lag("r").over(w), "mean_20": F.round("_mean", 3)},
-            lambda w: {"std_60": C.run_std("r", w, 60, 20), "corr_1": C.run_corr("r", "r1", w, 60, 20)},
+            lambda w: {"r": C.diff(C.log(F.col("close")), w)} | C.window_sums("close20", "close", w, 20),
+            lambda w: {"r1": F.lag("r").over(w), "mean_20": F.round(C.mean_of("close20", 5), 3)},
+            lambda w: C.window_sums("r60", "r", w, 60, squares=True) | C.window_sums("ac", "r", w, 60, y="r1"),
+            lambda w: {"std_60": C.std_of("r60", 20), "corr_1": C.corr_of("ac", 20)},
         ],
         back=62,
         keep=("mean_20", "std_60", "corr_1"),

@@ -167,59 +167,72 @@ def roll_max(x, w, n, min_samples) -> Column:
 
 # ---- the same from running sums ---------------------------------------------------------------
 #
-# A difference of two running sums costs the same per row whatever the window. The sums cover finite
-# values only; a window holding a NaN or infinity is NaN. Rounding errors are relative to the running
-# sum: negligible for means, and for moments of returns, whose size does not drift and which are exactly
-# zero while a price rests. For moments of drifting levels use roll_std / roll_var / roll_corr.
+# A difference of two running sums costs the same per row whatever the window. ``window_sums`` gives the
+# differences as columns for one stage; ``mean_of``, ``var_of``, ``std_of`` and ``corr_of`` combine them in
+# a later one, so that no sum is evaluated twice.
+#
+# The sums cover finite values only; a window holding a NaN or infinity is NaN. Rounding errors are
+# relative to the running sum: negligible for means, and for moments of returns, whose size does not
+# drift and which are exactly zero while a price rests. For moments of drifting levels use roll_std /
+# roll_var / roll_corr.
 
 
-def _window_sum(x: Column, w: WindowSpec, n: int) -> Column:
-    zero = F.lit(0.0)
-    return F.coalesce(F.sum(x).over(before(w, 0)), zero) - F.coalesce(F.sum(x).over(before(w, n)), zero)
+def _difference(agg: Column, w: WindowSpec, n: int) -> Column:
+    return F.coalesce(agg.over(before(w, 0)), F.lit(0)) - F.coalesce(agg.over(before(w, n)), F.lit(0))
 
 
 def _finite(x: Column) -> Column:
     return F.when((x - x) == 0, x)
 
 
-def _gated(value: Column, x: Column, w: WindowSpec, n: int, min_samples: int) -> Column:
-    have = window_count(x, w, n)
-    spoilt = window_count(_finite(x), w, n) < have
-    return F.when(have >= min_samples, F.when(spoilt, F.lit(NAN)).otherwise(value))
+def window_sums(
+    name: str, x: str | Column, w: WindowSpec, n: int, *, squares: bool = False, y: str | Column | None = None
+) -> dict[str, Column]:
+    """Columns ``_<name>_n`` (values), ``_ok`` (finite ones), ``_x`` (sum) and, as asked, ``_xx``; with ``y``
+    the same over complete pairs, plus ``_y``, ``_yy`` and ``_xy``."""
+    x = as_col(x)
+    if y is not None:
+        y = as_col(y)
+        both = x + y
+        fx, fy = (F.when(_finite(both).isNotNull(), v) for v in (x, y))
+        parts = {"x": fx, "xx": fx * fx, "y": fy, "yy": fy * fy, "xy": fx * fy}
+    else:
+        both, fx = x, _finite(x)
+        parts = {"x": fx} | ({"xx": fx * fx} if squares else {})
+    counts = {"n": F.count(both), "ok": F.count(_finite(both))}
+    return {
+        f"_{name}_{k}": _difference(agg, w, n) for k, agg in (counts | {k: F.sum(v) for k, v in parts.items()}).items()
+    }
 
 
-def run_mean(x: str | Column, w: WindowSpec, n: int, min_samples: int) -> Column:
-    x = as_col(x)
-    mean = F.try_divide(_window_sum(_finite(x), w, n), window_count(x, w, n))
-    return _gated(mean, x, w, n, min_samples)
+def _gated(name: str, value: Column, min_samples: int) -> Column:
+    have, ok = F.col(f"_{name}_n"), F.col(f"_{name}_ok")
+    return F.when(have >= min_samples, F.when(ok < have, F.lit(NAN)).otherwise(value))
 
 
-def run_var(x: str | Column, w: WindowSpec, n: int, min_samples: int) -> Column:
-    """Sample variance."""
-    x = as_col(x)
-    fin, have = _finite(x), window_count(x, w, n)
-    total = _window_sum(fin, w, n)
-    ss = _window_sum(fin * fin, w, n) - F.try_divide(total * total, have)
-    return _gated(F.try_divide(F.greatest(ss, F.lit(0.0)), have - 1), x, w, n, max(min_samples, 2))
+def mean_of(name: str, min_samples: int) -> Column:
+    return _gated(name, F.try_divide(F.col(f"_{name}_x"), F.col(f"_{name}_n")), min_samples)
 
 
-def run_std(x: str | Column, w: WindowSpec, n: int, min_samples: int) -> Column:
-    return F.sqrt(run_var(x, w, n, min_samples))
+def _moment(name: str, a: str, b: str) -> Column:
+    sums = F.col(f"_{name}_{a}") * F.col(f"_{name}_{b}")
+    out = F.col(f"_{name}_{a}{b}") - F.try_divide(sums, F.col(f"_{name}_n"))
+    return F.greatest(out, F.lit(0.0)) if a == b else out
 
 
-def run_corr(x: str | Column, y: str | Column, w: WindowSpec, n: int, min_samples: int) -> Column:
-    """Pearson correlation over the complete pairs of the frame; NaN where a side does not vary."""
-    x, y = as_col(x), as_col(y)
-    pair = x + y
-    x, y = (F.when(_finite(pair).isNotNull(), v) for v in (x, y))
-    have = window_count(pair, w, n)
-    sx, sy = _window_sum(x, w, n), _window_sum(y, w, n)
+def var_of(name: str, min_samples: int) -> Column:
+    """Sample variance."""
+    return _gated(name, F.try_divide(_moment(name, "x", "x"), F.col(f"_{name}_n") - 1), max(min_samples, 2))
+
+
+def std_of(name: str, min_samples: int) -> Column:
+    return F.sqrt(var_of(name, min_samples))
 
-    def moment(a: Column, b: Column, sa: Column, sb: Column) -> Column:
-        return _window_sum(a * b, w, n) - F.try_divide(sa * sb, have)
 
-    spread = F.greatest(moment(x, x, sx, sx), F.lit(0.0)) * F.greatest(moment(y, y, sy, sy), F.lit(0.0))
-    return _gated(clip(div(moment(x, y, sx, sy), F.sqrt(spread)), -1, 1), pair, w, n, min_samples)
+def corr_of(name: str, min_samples: int) -> Column:
+    """Pearson correlation; NaN where a side does not vary."""
+    spread = F.sqrt(_moment(name, "x", "x") * _moment(name, "y", "y"))
+    return _gated(name, clip(div(_moment(name, "x", "y"), spread), -1, 1), min_samples)
 
 
 def nearest_index(n: Column, q: float) -> Column:

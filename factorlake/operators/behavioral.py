@@ -15,19 +15,20 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import (
     clip,
+    corr_of,
     diff,
     div,
     flag,
     forward_return,
     log,
+    mean_of,
     pct_change,
     roll_max,
     roll_min,
     row_max,
-    run_corr,
-    run_mean,
-    run_std,
-    run_var,
+    std_of,
+    var_of,
+    window_sums,
 )
 from .skew import MAX_GROUP_ROWS
 from .staged import FeatureGroup, staged_metrics
@@ -35,6 +36,9 @@ from .staged import FeatureGroup, staged_metrics
 # Horizons, in rows, of the forward returns.
 FORWARD_HORIZONS = {"ret_1": 1, "ret_4": 4, "ret_12": 12, "ret_1m": 22, "ret_1q": 65, "ret_1y": 261}
 
+# Moving-average window -> its minimum.
+MEAN_WINDOWS = {4: 2, 12: 4, 24: 8}
+
 # These look ahead: use them as labels, never as features.
 LABEL_COLUMNS = tuple(FORWARD_HORIZONS)
 
@@ -53,12 +57,16 @@ def momentum(cols: Sequence[str]) -> FeatureGroup:
 
     def base(w):
         out = {name: forward_return("close", w, n) for name, n in FORWARD_HORIZONS.items()}
-        out |= {f"ma_{n}": run_mean("close", w, n, m) for n, m in ((4, 2), (12, 4), (24, 8))}
+        for n in MEAN_WINDOWS:
+            out |= window_sums(f"close{n}", "close", w, n)
         out |= {f"roc_{n}": pct_change("close", w, n) for n in (4, 12)}
         if channel:
             out |= {"_ch_high": roll_max("high", w, 20, 5), "_ch_low": roll_min("low", w, 20, 5)}
         return out
 
+    def averaged(w):
+        return {f"ma_{n}": mean_of(f"close{n}", m) for n, m in MEAN_WINDOWS.items()}
+
     def derived(w):
         close = F.col("close")
         out = {f"ma{n}_dev": clip(div(close, F.col(f"ma_{n}")) - 1, -10, 10) for n in (12, 24)}
@@ -75,7 +83,7 @@ def momentum(cols: Sequence[str]) -> FeatureGroup:
         *FORWARD_HORIZONS, "ma_4", "ma_12", "ma_24", "ma12_dev", "ma24_dev",
         "roc_4", "roc_12", "ch_pos", "above_ma12", "ma_cross_up",
     )
-    return FeatureGroup(names, (base, derived), ("close",), back=24, ahead=261)
+    return FeatureGroup(names, (base, averaged, derived), ("close",), back=24, ahead=261)
 
 
 def volatility(cols: Sequence[str]) -> FeatureGroup:
@@ -97,21 +105,27 @@ def volatility(cols: Sequence[str]) -> FeatureGroup:
             out["_gk"] = F.sqrt(0.5 * out["_hl"] - (2 * _LN2 - 1) * change * change)
         return out
 
-    def rolled(w):
-        out = {"vola_20": run_std("_log_ret", w, 20, 10), "vola_60": run_std("_log_ret", w, 60, 20)}
+    def summed(w):
+        out = window_sums("ret20", "_log_ret", w, 20, squares=True)
+        out |= window_sums("ret60", "_log_ret", w, 60, squares=True)
         if ranged:
-            out["vola_parkinson"] = run_mean("_range", w, 20, 5)
-            out["_atr"] = run_mean("tr", w, 14, 5)
+            out |= window_sums("range20", "_range", w, 20) | window_sums("tr14", "tr", w, 14)
         if full:
-            out["vola_gk"] = run_mean("_gk", w, 20, 5)
+            out |= window_sums("gk20", "_gk", w, 20)
         return out
 
-    def derived(w):
-        out = {"vola_regime_ratio": clip(F.col("vola_20") / clip("vola_60", 1e-8), 0.1, 10)}
+    def rolled(w):
+        out = {"vola_20": std_of("ret20", 10), "vola_60": std_of("ret60", 20)}
         if ranged:
-            out["atr_pct"] = clip(div(F.col("_atr"), F.col("close")), 0, 1)
+            out["vola_parkinson"] = mean_of("range20", 5)
+            out["atr_pct"] = clip(div(mean_of("tr14", 5), F.col("close")), 0, 1)
+        if full:
+            out["vola_gk"] = mean_of("gk20", 5)
         return out
 
+    def derived(w):
+        return {"vola_regime_ratio": clip(F.col("vola_20") / clip("vola_60", 1e-8), 0.1, 10)}
+
     names = (
         *(("tr", "vola_parkinson") if ranged else ()),
         *(("vola_gk",) if full else ()),
@@ -119,7 +133,7 @@ def volatility(cols: Sequence[str]) -> FeatureGroup:
         *(("atr_pct",) if ranged else ()),
         "vola_regime_ratio",
     )
-    return FeatureGroup(names, (base, rolled, derived), ("close",), back=61)
+    return FeatureGroup(names, (base, summed, rolled, derived), ("close",), back=61)
 
 
 VOLUME_OUTPUTS = ("vol_dev20", "vol_dev60", "vol_spike", "vwap_dev_1d", "avg_trade_price")
@@ -136,7 +150,10 @@ def volume(cols: Sequence[str]) -> FeatureGroup:
     traded = "amount" in cols and "close" in cols
 
     def base(w):
-        return {"_vol20": run_mean("volume", w, 20, 5), "_vol60": run_mean("volume", w, 60, 10)}
+        return window_sums("vol20", "volume", w, 20) | window_sums("vol60", "volume", w, 60)
+
+    def averaged(w):
+        return {"_vol20": mean_of("vol20", 5), "_vol60": mean_of("vol60", 10)}
 
     def derived(w):
         v = F.col("volume")
@@ -151,7 +168,7 @@ def volume(cols: Sequence[str]) -> FeatureGroup:
             out["avg_trade_price"] = price
         return out
 
-    return FeatureGroup(VOLUME_OUTPUTS if traded else VOLUME_OUTPUTS[:3], (base, derived), ("volume",), back=60)
+    return FeatureGroup(VOLUME_OUTPUTS if traded else VOLUME_OUTPUTS[:3], (base, averaged, derived), ("volume",), back=60)
 
 
 def structure(cols: Sequence[str]) -> FeatureGroup:
@@ -176,17 +193,17 @@ def structure(cols: Sequence[str]) -> FeatureGroup:
             "_ret_lag5": F.lag("_log_ret", 5).over(w),
         }
 
-    def rolled(w):
-        return {
-            "_var_diff": run_var("_ret_diff", w, 60, 20),
-            "_var": run_var("_log_ret", w, 60, 20),
-            "ac_1": run_corr("_log_ret", "_ret_lag1", w, 60, 20),
-            "ac_5": run_corr("_log_ret", "_ret_lag5", w, 60, 20),
-        }
+    def summed(w):
+        out = window_sums("diff60", "_ret_diff", w, 60, squares=True)
+        out |= window_sums("ret60", "_log_ret", w, 60, squares=True)
+        for k in (1, 5):
+            out |= window_sums(f"ac{k}", "_log_ret", w, 60, y=f"_ret_lag{k}")
+        return out
 
     def derived(w):
         close = F.col("close")
-        out = {"vr_2": clip(F.col("_var_diff") / (2 * F.col("_var") + 1e-9), 0.1, 5)}
+        out = {"vr_2": clip(var_of("diff60", 20) / (2 * var_of("ret60", 20) + 1e-9), 0.1, 5)}
+        out |= {f"ac_{k}": corr_of(f"ac{k}", 20) for k in (1, 5)}
         if "high" in cols:
             out["near_high"] = clip(div(close, F.col("_high50")) - 1, -1, 0.5)
         if "low" in cols:
@@ -199,7 +216,7 @@ def structure(cols: Sequence[str]) -> FeatureGroup:
     names = ("vr_2", "ac_1", "ac_5") + tuple(
         n for n, c in (("near_high", "high"), ("near_low", "low"), ("gap", "open")) if c in cols
     )
-    return FeatureGroup(names, (base, lagged, rolled, derived), ("close",), back=66)
+    return FeatureGroup(names, (base, lagged, summed, derived), ("close",), back=66)
 
 
 GROUPS = {"momentum": momentum, "volatility": volatility, "volume": volume, "structure": structure}
