@@ -39,7 +39,8 @@ def classification(spark, sf):
 
 
 def industry(spark, sf):
-    return industry_l1(classification(spark, sf))
+    """The L1 dimension, written once."""
+    return durable(industry_l1(classification(spark, sf)))
 
 
 @query("hierarchy_map", f"{views('levels')} SELECT * FROM levels")

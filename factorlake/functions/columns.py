@@ -177,10 +177,6 @@ def roll_max(x, w, n, min_samples) -> Column:
 # roll_var / roll_corr.
 
 
-def _difference(agg: Column, w: WindowSpec, n: int) -> Column:
-    return F.coalesce(agg.over(before(w, 0)), F.lit(0)) - F.coalesce(agg.over(before(w, n)), F.lit(0))
-
-
 def _finite(x: Column) -> Column:
     return F.when((x - x) == 0, x)
 
@@ -199,10 +195,16 @@ def window_sums(
     else:
         both, fx = x, _finite(x)
         parts = {"x": fx} | ({"xx": fx * fx} if squares else {})
-    counts = {"n": F.count(both), "ok": F.count(_finite(both))}
-    return {
-        f"_{name}_{k}": _difference(agg, w, n) for k, agg in (counts | {k: F.sum(v) for k, v in parts.items()}).items()
-    }
+    upto, left, zero = before(w, 0), before(w, n), F.lit(0.0)
+    out = {}
+    for k, v in {"n": both, "ok": _finite(both)}.items():
+        agg = F.count(v)
+        out[f"_{name}_{k}"] = agg.over(upto) - agg.over(left)
+    for k, v in parts.items():
+        agg = F.sum(v)
+        # The older sum is null at the start of a series.
+        out[f"_{name}_{k}"] = F.coalesce(agg.over(upto) - agg.over(left), agg.over(upto), zero)
+    return out
 
 
 def _gated(name: str, value: Column, min_samples: int) -> Column:
