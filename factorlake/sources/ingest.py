@@ -135,8 +135,8 @@ def read_report(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
 def read_rows(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
     """CSV with a header, every column a string; a folder of files is one table."""
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
-    # emptyValue keeps "" apart from a missing field.
-    return spark.read.csv(path, header=True, schema=schema, enforceSchema=False, emptyValue="")
+    # A null marker that no file contains keeps "" apart from a missing field.
+    return spark.read.csv(path, header=True, schema=schema, enforceSchema=False, emptyValue="", nullValue="\u0000")
 
 
 def quarter_report(df: DataFrame, kind: str, date_format: str | None = "yyyy-MM-dd") -> DataFrame:

@@ -64,7 +64,7 @@ def _sorted(columns, rows):
     )
 
 
-def compare(spark, con, name: str, sf_dir: str = SF_DIR) -> str | None:
+def compare(spark, con, name: str, sf_dir: str = SF_DIR, allow_empty: bool = False) -> str | None:
     """None if equal, otherwise what differs."""
     from factorlake.catalogue import QUERIES, SQL
 
@@ -78,7 +78,7 @@ def compare(spark, con, name: str, sf_dir: str = SF_DIR) -> str | None:
         return f"columns differ: only spark {set(got_cols) - set(want_cols)}, only sql {set(want_cols) - set(got_cols)}"
     if len(got) != len(want):
         return f"{len(got)} rows, sql {len(want)}"
-    if not got:
+    if not got and not allow_empty:
         return "no rows"
     bad = [(g, w) for g, w in zip(got, want) if g != w]
     if bad:
