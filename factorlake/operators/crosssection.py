@@ -19,7 +19,7 @@ from .skew import MAX_BROADCAST_ROWS, durable, hot_keys
 log = logging.getLogger(__name__)
 
 # Above this many rows a group's exact quantile is found by bracketing instead of sorting its values.
-QUANTILE_SORT_ROWS = 100_000
+QUANTILE_SORT_ROWS = 20_000
 
 # Fundamental factors normalised within industries by default.
 DEFAULT_SECTOR_FACTORS = (
@@ -50,13 +50,16 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.join(keyed, _key_match(df, keyed, by)).drop(*[f"_k_{k}" for k in by])
 
 
-def _sorted_quantiles(df: DataFrame, by: Sequence[str], qs: dict[str, tuple[str, float]]) -> list[Column]:
-    """Aggregates giving nearest-rank quantiles by sorting the group's values (groups of bounded size)."""
-    out = []
-    for name, (c, q) in qs.items():
-        vals = F.sort_array(F.collect_list(_bare(df, c)))
-        out.append(F.get(vals, nearest_index(F.size(vals), q)).alias(name))
-    return out
+def _small_group_stats(
+    df: DataFrame, by: Sequence[str], moments: Sequence[Column], qs: dict[str, tuple[str, float]]
+) -> DataFrame:
+    """Moments, and nearest-rank quantiles by sorting each group's values once (groups of bounded size)."""
+    factors = dict.fromkeys(c for c, _ in qs.values())
+    lists = [F.collect_list(_bare(df, c)).alias(f"_v_{c}") for c in factors]
+    out = df.groupBy(*by).agg(*moments, *lists)
+    out = out.withColumns({f"_v_{c}": F.sort_array(f"_v_{c}") for c in factors}) if factors else out
+    picks = {name: F.get(f"_v_{c}", nearest_index(F.size(f"_v_{c}"), q)) for name, (c, q) in qs.items()}
+    return (out.withColumns(picks) if picks else out).drop(*[f"_v_{c}" for c in factors])
 
 
 def bracketed_quantiles(
@@ -147,12 +150,12 @@ def group_stats(
     qs = {f"{f}_q{i}": (f, q) for f in factors for i, q in enumerate(quantiles)}
     hot = hot_keys(df, by, sort_rows) if qs else None
     if hot is None:
-        return durable(df.groupBy(*by).agg(*moments, *_sorted_quantiles(df, by, qs)))
+        return durable(_small_group_stats(df, by, moments, qs))
     keyed = hot.select(*[F.col(k).alias(f"_k_{k}") for k in by])
     match = _key_match(df, keyed, by)
     cold = df.join(keyed, match, "left_anti")
     big = df.join(keyed, match, "left_semi")
-    small_stats = cold.groupBy(*by).agg(*moments, *_sorted_quantiles(df, by, qs))
+    small_stats = _small_group_stats(cold, by, moments, qs)
     big_stats = attach(durable(big.groupBy(*by).agg(*moments)), durable(bracketed_quantiles(big, by, qs)), by)
     return durable(small_stats.unionByName(big_stats))
 

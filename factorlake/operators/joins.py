@@ -64,16 +64,21 @@ def asof_backward(
     right = dedupe_last(right.where(F.col(right_on).isNotNull()), [by, right_on], list(tie_break))
     packed = F.struct(*[F.col(c) for c in fields]).alias("_right")
     body = F.struct(*[F.col(c) for c in left.columns]).alias("_left")
-    # A left row without a date, or without a key, matches nothing.
+    # A left row without a date or a key matches nothing; rows without a key are spread over many groups.
+    salt = F.when(F.col(by).isNull(), 1 + F.pmod(F.xxhash64(*left.columns), F.lit(4096))).otherwise(F.lit(0).cast("long"))
     stacked = left.select(
-        F.col(by).alias("_by"), F.col(left_on).alias("_at"), F.lit(1).alias("_side"), body
+        F.col(by).alias("_by"), salt.alias("_salt"), F.col(left_on).alias("_at"), F.lit(1).alias("_side"), body
     ).unionByName(
         right.where(F.col(by).isNotNull()).select(
-            F.col(by).alias("_by"), F.col(right_on).alias("_at"), F.lit(0).alias("_side"), packed
+            F.col(by).alias("_by"),
+            F.lit(0).cast("long").alias("_salt"),
+            F.col(right_on).alias("_at"),
+            F.lit(0).alias("_side"),
+            packed,
         ),
         allowMissingColumns=True,
     )
-    filled = carry_last(stacked, ["_by"], ["_at", "_side"], "_right", "_match", max_rows=max_rows)
+    filled = carry_last(stacked, ["_by", "_salt"], ["_at", "_side"], "_right", "_match", max_rows=max_rows)
     kept = filled.where(F.col("_side") == 1)
     return kept.select("_left.*", *[F.col(f"_match.{c}").alias(c) for c in fields])
 

@@ -72,8 +72,11 @@ def route(
     hot = hot_keys(df, by, max_rows, sizes)
     if hot is None:
         return plain(df)
-    by = list(by)
-    return plain(df.join(hot, by, "left_anti")).unionByName(spread(df.join(hot, by, "left_semi")))
+    keyed = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in by])
+    match = F.lit(True)
+    for k in by:
+        match = match & df[k].eqNullSafe(keyed[f"_hot_{k}"])  # null keys can be a hot group, too
+    return plain(df.join(keyed, match, "left_anti")).unionByName(spread(df.join(keyed, match, "left_semi")))
 
 
 def join_sized(
@@ -90,6 +93,15 @@ def join_sized(
     return df.join(dim, on, how)
 
 
+def join_nullsafe(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys where null equals null."""
+    other = other.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in other.columns if c not in keys])
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return df.join(other, match).drop(*[f"_r_{k}" for k in keys])
+
+
 def positions(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "_pos") -> DataFrame:
     """Exact zero-based row number within each group, for groups of any size.
 
@@ -109,7 +121,7 @@ def positions(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str
         .select(*by, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
     )
     return (
-        runs.join(heads, [*by, "_part"])
+        join_nullsafe(runs, heads, [*by, "_part"])
         .withColumn(name, F.col("_seq") + F.col("_shift"))
         .drop("_part", "_seq", "_shift")
     )
@@ -201,7 +213,7 @@ def rank_and_count(
         placed = positions(f, by, [value])
         ranks = placed.groupBy(*by, value).agg((F.min("_pos") + 1).alias("_rank"))
         counts = f.groupBy(*by).agg(F.count(F.lit(1)).alias("_count"))
-        return placed.drop("_pos").join(ranks, [*by, value]).join(counts, by)
+        return join_nullsafe(join_nullsafe(placed.drop("_pos"), ranks, [*by, value]), counts, by)
 
     return route(df, by, plain, spread, max_rows, sizes)
 
@@ -234,8 +246,7 @@ def carry_last(
         earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
         carried = ends.select(*by, "_block", F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
         return (
-            cut.withColumn(name, F.last(value, ignorenulls=True).over(inner))
-            .join(carried, [*by, "_block"])
+            join_nullsafe(cut.withColumn(name, F.last(value, ignorenulls=True).over(inner)), carried, [*by, "_block"])
             .withColumn(name, F.coalesce(name, "_carry"))
             .drop("_pos", "_block", "_carry")
         )

@@ -123,3 +123,15 @@ def test_join_sized_hints_only_small_sides(spark):
         return df._jdf.queryExecution().analyzed().toString()
 
     assert "ResolvedHint" in plan(hinted) and "ResolvedHint" not in plan(plain)
+
+
+def test_null_keys_can_be_hot(spark):
+    rows = [(None if i < 300 else "a", DAY + timedelta(days=i), float(i), i) for i in range(340)]
+    df = spark.createDataFrame(rows, "ts_code string, date date, x double, i int")
+    undated = df.withColumn("ts_code", F.lit("z")).withColumn("date", F.when(F.col("i") >= 300, F.col("date")))
+    assert_same(
+        evaluate.rank_scores(undated, "x", max_rows=None), evaluate.rank_scores(undated, "x", max_rows=50), ["i"]
+    )
+    reports = spark.createDataFrame([("a", DAY, 1.0)], "ts_code string, notice_date date, v double")
+    out = asof_backward(df, reports, max_rows=50)
+    assert out.count() == 340 and out.where("v is not null").count() == 40
