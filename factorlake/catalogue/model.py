@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from ..functions.columns import PROBIT_A, PROBIT_B, PROBIT_C, PROBIT_D, PROBIT_TAIL
 from ..operators import evaluate, labels, splits
 from ..operators.joins import join_industry
-from . import views as V
 from .crosssection import industry
 from .panel import LABELLED, labelled_panel
 from .registry import flag_sql, nums, query, views

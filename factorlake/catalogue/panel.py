@@ -18,10 +18,9 @@ from ..operators.skew import durable
 from ..plans.panel import fundamental_features, market_features, panel_dataset, panel_stack
 from . import views as V
 from .crosssection import FUND, _zscore_sql, industry
-from .fundamental import KEYS  # noqa: F401
 from .macro import FLOW_STAGES, margin, northbound
 from .market import ALL_STAGES, BARS
-from .registry import clip_sql, nums, query, roll_sql, views
+from .registry import clip_sql, nums, query, views
 
 # ---- as-of and macro joins --------------------------------------------------------------------
 
