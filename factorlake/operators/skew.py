@@ -10,6 +10,9 @@ the frames need, so results stay the same.
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 from collections.abc import Callable, Sequence
 
@@ -23,14 +26,21 @@ Stage = Callable[[WindowSpec], dict[str, Column]]
 
 
 def shared_dir(spark) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured (tests)."""
+    """The cluster's checkpoint folder (``spark.checkpoint.dir``), made the context's if it has none yet.
+
+    Where the setting is missing, a session on one machine (tests) gets a temporary folder that is removed at
+    exit; on a cluster that is an error, since executors do not share local folders.
+    """
     sc = spark.sparkContext
-    path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, path, True)
+        spark.conf.set("spark.checkpoint.dir", path)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
-        path = sc.getCheckpointDir()
     return path
 
 
