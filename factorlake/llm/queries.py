@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .near_dedup import near_duplicates
+from .secrets import secret_spans, span_digests
 from .shards import ring_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +31,8 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_shards(table(spark, sf_dir, "documents"), shards=40)
+
+
+@query
+def op5_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(secret_spans(table(spark, sf_dir, "documents")))
