@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .near_dedup import near_duplicates
+from .quality import quality
 from .secrets import secret_spans, span_digests
 from .shards import ring_shards
 
@@ -36,3 +37,9 @@ def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(secret_spans(table(spark, sf_dir, "documents")))
+
+
+@query
+def op2_suffix_array_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality(docs).select("doc_id", "_quality.*")
