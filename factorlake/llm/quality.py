@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .words import SPACE, Words, flat, mix, pieces, span_hashes, words_of
 
@@ -174,8 +175,8 @@ def quality(
     A null or empty text has no words and fails the base rule. Repeated rows are judged one by one; an empty
     table gives an empty result; other columns pass through. Texts are judged whole. There is no shuffle.
     """
-    fields = ", ".join(f"{m}:bigint" for m in MEASURES)
-    schema = docs.schema.add("_quality", f"struct<{fields}>")
+    measured = T.StructType([T.StructField(m, T.LongType()) for m in MEASURES])
+    schema = T.StructType([*docs.schema.fields, T.StructField("_quality", measured)])
     kind = pa.struct([(m, pa.int64()) for m in MEASURES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
