@@ -10,6 +10,7 @@ from .near_dedup import near_duplicates
 from .quality import quality
 from .secrets import secret_spans, span_digests
 from .shards import ring_shards
+from .warc import capture_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,3 +44,11 @@ def op5_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_array_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality(docs).select("doc_id", "_quality.*")
+
+
+@query
+def op3_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = capture_index(table(spark, sf_dir, "pages"))
+    return index.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "part", "nth"
+    )
