@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import decode, encode
 from .near_dedup import near_duplicates
+from .neighbours import near_vectors
 from .quality import quality
 from .secrets import secret_spans, span_digests
 from .shards import ring_shards
@@ -72,3 +73,8 @@ def op8_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op7_nn_descent_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
