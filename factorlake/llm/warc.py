@@ -31,6 +31,7 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIRST_CAPTURE = datetime(2024, 1, 1, tzinfo=timezone.utc)
 MAX_RECORDS, MAX_BYTES = 50_000, 1 << 28  # of one archive, and so of one run
 READ_BYTES = 1 << 20
+READ_TASKS = 10_000  # most tasks that read archives; each streams one archive after the other
 LEVEL = 3
 
 CAPTURES = (
@@ -228,7 +229,7 @@ def read_runs(archives: DataFrame) -> DataFrame:
                 rows.sort(key=_order)
                 yield _capture_batch(rows)
 
-    spread = archives.select("archive").repartition("archive")
+    spread = archives.select("archive").repartition(max(1, min(archives.count(), READ_TASKS)))
     read = stored(spread.mapInArrow(run, CAPTURES), "runs")
     held = (
         read.where("record_type = 'response' and page_id is not null")
