@@ -14,6 +14,7 @@ from .quality import quality
 from .secrets import secret_spans, span_digests
 from .shards import ring_shards
 from .substrings import remove_repeats
+from .toxicity import toxicity
 from .warc import capture_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +79,8 @@ def op8_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_nn_descent_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+@query
+def op10_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -23,6 +23,7 @@ _random = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_random.integers(1, 2**60)) * 8 + 5
 _STEP = _random.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_NONE = np.zeros(0, np.uint64)
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
@@ -142,11 +143,19 @@ def shingle_sets(words: Words, hashes: np.ndarray, size: int = 5) -> tuple[np.nd
             short = (own * _STEP[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)
             sets.append(mix(mix(short)))
         else:
-            sets.append(own_none)
+            sets.append(_NONE)
     sizes = np.array([len(s) for s in sets], np.int64)
     where = np.zeros(len(sets) + 1, np.int64)
     np.cumsum(sizes, out=where[1:])
-    return (np.concatenate(sets) if sets else own_none), where
+    return (np.concatenate(sets) if sets else _NONE), where
 
 
-own_none = np.zeros(0, np.uint64)
+
+
+
+def prefix_hasher(data: np.ndarray):
+    """``span_hashes`` for many sets of spans of the same bytes; a number tells the sets apart."""
+    up, down = _power_tables(len(data))
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=prefix[1:])
+    return lambda start, end, kind: mix((prefix[end] - prefix[start]) * down[start] + np.uint64(kind))
