@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import decode, encode
+from .mixing import mix, mix_sql
 from .near_dedup import near_duplicates
 from .neighbours import near_vectors
 from .quality import quality
@@ -84,3 +85,27 @@ def op7_nn_descent_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+MIX_WEIGHTS = {
+    "domain": {"crawl": 50, "reference": 30, "forum": 20},
+    "lang": {"en": 70, "de": 10, "fr": 10, "es": 10},
+}
+# A table of sources has no domains, so they follow the number in the source's name.
+MIX_DOMAIN = "CASE WHEN source = 'src0' THEN 'crawl' WHEN source LIKE '%0' OR source LIKE '%2' OR source LIKE '%4' OR source LIKE '%6' OR source LIKE '%8' THEN 'reference' ELSE 'forum' END"
+MIX_LEVELS = {"domain": MIX_DOMAIN, "lang": "lang", "source": "source"}
+MIX_SEED = 7
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    return mix(docs, {k: F.expr(e) for k, e in MIX_LEVELS.items()}, MIX_WEIGHTS, seed=MIX_SEED)
+
+
+@query
+def op4_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    levels = [F.coalesce(F.expr(e), F.lit("(none)")).alias(k) for k, e in MIX_LEVELS.items()]
+    return mixed(docs).where("_mix.copies > 0").select("doc_id", *levels, "_mix.*")
+
+
+SQL["op4_hierarchical_mixing"] = mix_sql("documents", MIX_LEVELS, MIX_WEIGHTS, seed=MIX_SEED)
