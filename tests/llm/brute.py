@@ -50,3 +50,67 @@ def near_duplicates(rows: list[tuple[int, str | None]], percent: int, size: int
     links = [p for p, n in both.items() if 100 * n >= percent * (len(sets[p[0]]) + len(sets[p[1]]) - n)]
     root = roots(sets, links)
     return {i: (len(sets[i]), root[i]) for i in sets}
+
+
+def quality(text: str | None) -> dict:
+    t, w = text or "", words(text)
+
+    def covered(size: int) -> int:
+        at: dict = {}
+        for i in range(len(w) - size + 1):
+            at.setdefault(tuple(w[i : i + size]), []).append(i)
+        return len({j for v in at.values() if len(v) > 1 for i in v for j in range(i, i + size)})
+
+    longest = 0
+    while covered(longest + 1):
+        longest += 1
+    seen, again = set(), 0
+    for line in t.split("\n"):
+        if WORD.search(line):
+            again += line in seen
+            seen.add(line)
+    n_repeat = covered(8)
+    failed = len(w) < 20 or 100 * n_repeat > 30 * len(w)
+    n_covered = covered(4)
+    return {
+        "n_words": len(w),
+        "word_chars": sum(map(len, w)),
+        "n_symbols": sum(t.count(c) for c in "#*$%&|<>"),
+        "n_dup_lines": again,
+        "n_repeat_words": n_repeat,
+        "n_covered": n_covered,
+        "longest_repeat": longest,
+        "base_failed": failed,
+        "kept": not failed and n_covered <= 0.4 * len(w) and longest <= 60,
+    }
+
+
+ASSIGN = re.compile(
+    r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE
+)
+
+
+def base_secrets(text: str | None) -> list[tuple[int, int, int]]:
+    t = text or ""
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+def remove_repeats(rows: list[tuple[int | None, str | None]], size: int = 13) -> list[tuple]:
+    owner: dict = {}
+    for i, t in rows:
+        w = words(t)
+        for k in range(len(w) - size + 1) if i is not None else ():
+            key = tuple(w[k : k + size])
+            owner[key] = min(owner.get(key, i), i)
+    out = []
+    for i, t in rows:
+        w = words(t)
+        gone = set()
+        for k in range(len(w) - size + 1) if i is not None else ():
+            if owner[tuple(w[k : k + size])] < i:
+                gone.update(range(k, k + size))
+        out.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return out
