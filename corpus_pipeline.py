@@ -14,20 +14,22 @@ from factorlake.llm.near_dedup import near_duplicates
 from factorlake.llm.quality import quality
 from factorlake.llm.queries import mixed
 from factorlake.llm.secrets import redact
-from factorlake.llm.store import stored
+from factorlake.llm.store import free, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return quality(docs).where("_quality.kept").drop("_quality")
+    verdict = free(docs, "_quality")
+    return quality(docs, into=verdict).where(f"{verdict}.kept").drop(verdict)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id, once if rows repeat it."""
     gone = near_duplicates(docs.select("doc_id", "text"), percent=80).where("not kept").select("doc_id").distinct()
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("n_chars")
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("_nth", F.row_number().over(same))
-    return left.where("_nth = 1 or doc_id is null").select(*docs.columns)
+    nth = free(docs, "_nth")
+    left = docs.join(gone, "doc_id", "left_anti").withColumn(nth, F.row_number().over(same))
+    return left.where(f"{nth} = 1 or doc_id is null").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +39,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights of their domain, language and source draw them."""
-    drawn = mixed(docs).where("_mix.copies > 0")
-    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mix.copies")))).select(*docs.columns)
+    found, copy = free(docs, "_mix"), free(docs, "_copy")
+    drawn = mixed(docs, into=found).where(f"{found}.copies > 0")
+    return drawn.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(f"{found}.copies")))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

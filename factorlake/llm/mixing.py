@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import free, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 BIG = "decimal(38,0)"
@@ -151,8 +151,10 @@ def mix(
     seed: int = 0,
     id: str = "doc_id",
     text: str = "text",
+    into: str = "_mix",
 ) -> DataFrame:
-    """``docs`` with a struct ``_mix``: ``tokens`` (words), ``quota`` of its leaf, ``copies`` (0: not drawn).
+    """``docs`` with a struct ``into`` (replacing one of that name): ``tokens`` (words), ``quota`` of its leaf,
+    ``copies`` (0: not drawn).
 
     ``levels`` maps level names to columns, from the root down; ``weights`` gives integer weights by level and value
     (1 where not given; a weight must be positive). A null level value is a node of its own. Empty and null texts
@@ -162,14 +164,16 @@ def mix(
     names = [f"_level{i}" for i in range(len(levels))]
     named = {n: F.coalesce(c.cast("string"), F.lit(NONE)) for n, c in zip(names, levels.values())}
     cuts = stored(plan(docs, levels, weights, budget=budget, max_epochs=max_epochs, seed=seed, id=id, text=text), "mixing-plan")
-    cuts = cuts.select(F.struct(*names).alias("_leaf"), F.struct("quota", "epochs", "cut_hash", "cut_key").alias("_plan"))
-    joined = docs.withColumn("_leaf", F.struct(*[c.alias(n) for n, c in named.items()])).join(cuts, "_leaf", "left")
+    docs = docs.drop(into)
+    leaf, found = free(docs, "_leaf"), free(docs, "_plan")
+    cuts = cuts.select(F.struct(*names).alias(leaf), F.struct("quota", "epochs", "cut_hash", "cut_key").alias(found))
+    joined = docs.withColumn(leaf, F.struct(*[c.alias(n) for n, c in named.items()])).join(cuts, leaf, "left")
+    of = {c: F.col(f"{found}.{c}") for c in ("quota", "epochs", "cut_hash", "cut_key")}
     key = order_key(id, text)
-    hash_ = draw(key, F.col("_plan.epochs") + 1, seed)
-    drawn = F.struct(hash_, key) <= F.struct(F.col("_plan.cut_hash"), F.col("_plan.cut_key"))
-    copies = (F.col("_plan.epochs") + drawn.cast("int")).cast("bigint")
-    found = F.struct(words_in(text).alias("tokens"), F.col("_plan.quota").alias("quota"), copies.alias("copies"))
-    return joined.withColumn("_mix", found).select(*[F.col(f"`{c}`") for c in docs.columns], "_mix")
+    drawn = F.struct(draw(key, of["epochs"] + 1, seed), key) <= F.struct(of["cut_hash"], of["cut_key"])
+    copies = (of["epochs"] + drawn.cast("int")).cast("bigint")
+    mixed = F.struct(words_in(text).alias("tokens"), of["quota"].alias("quota"), copies.alias("copies"))
+    return joined.withColumn(into, mixed).select(*[F.col(f"`{c}`") for c in docs.columns], into)
 
 
 # ---- the same in SQL ---------------------------------------------------------------------------
@@ -204,7 +208,8 @@ def mix_sql(
         at, up = ", ".join(names[: i + 1]), ", ".join(names[:i])
         cases = "".join(f" WHEN '{v}' THEN {w}" for v, w in weights.get(node, {}).items())
         weight = f"(CASE {node}{cases} ELSE 1 END)::HUGEINT" if cases else "1::HUGEINT"
-        amount = f"(SELECT {'sum(tokens)' if budget is None else budget}::HUGEINT FROM leaves)" if i == 0 else "any_value(amount)"
+        root = "(SELECT sum(tokens)::HUGEINT FROM leaves)" if budget is None else f"{budget}::HUGEINT"
+        amount = "any_value(amount)" if i else root
         joined = "leaves" if i == 0 else f"leaves JOIN (SELECT {up}, share AS amount FROM level{i - 1}) USING ({up})"
         by = f"PARTITION BY {up}" if up else ""
         order = f"{by} ORDER BY cap::DOUBLE / w::DOUBLE, {node}"

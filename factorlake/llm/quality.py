@@ -163,8 +163,9 @@ def quality(
     max_repeat: int = 60,
     base_words: int = 20,
     base_percent: int = 30,
+    into: str = "_quality",
 ) -> DataFrame:
-    """``docs`` with a struct column ``_quality``: the measures, ``base_failed`` and ``kept``.
+    """``docs`` with a struct column ``into`` (replacing one of that name): measures, ``base_failed`` and ``kept``.
 
     ``n_words``, ``word_chars`` (code points in words), ``n_symbols``, ``n_dup_lines``, ``n_repeat_words`` (words
     in repeats of ``window`` words or more), ``n_covered`` (the same from ``min_words`` on), ``longest_repeat``
@@ -176,17 +177,18 @@ def quality(
     table gives an empty result; other columns pass through. Texts are judged whole. There is no shuffle.
     """
     measured = T.StructType([T.StructField(m, T.LongType()) for m in MEASURES])
-    schema = T.StructType([*docs.schema.fields, T.StructField("_quality", measured)])
+    docs = docs.drop(into)
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, measured)])
     kind = pa.struct([(m, pa.int64()) for m in MEASURES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, text):
                 found = [pa.array(m, pa.int64()) for m in _piece_measures(part.column(text), window, min_words)]
-                yield part.append_column("_quality", pa.StructArray.from_arrays(found, fields=list(kind)))
+                yield part.append_column(into, pa.StructArray.from_arrays(found, fields=list(kind)))
 
-    q = {m: F.col(f"_quality.{m}") for m in MEASURES}
+    q = {m: F.col(f"`{into}`.{m}") for m in MEASURES}
     failed = (q["n_words"] < base_words) | (100 * q["n_repeat_words"] > base_percent * q["n_words"])
     good = (q["n_covered"] <= max_covered * q["n_words"]) & (q["longest_repeat"] <= max_repeat)
     verdict = F.struct(*[q[m].alias(m) for m in MEASURES], failed.alias("base_failed"), (~failed & good).alias("kept"))
-    return docs.mapInArrow(run, schema).withColumn("_quality", verdict)
+    return docs.mapInArrow(run, schema).withColumn(into, verdict)

@@ -97,8 +97,8 @@ MIX_LEVELS = {"domain": MIX_DOMAIN, "lang": "lang", "source": "source"}
 MIX_SEED = 7
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    return mix(docs, {k: F.expr(e) for k, e in MIX_LEVELS.items()}, MIX_WEIGHTS, seed=MIX_SEED)
+def mixed(docs: DataFrame, into: str = "_mix") -> DataFrame:
+    return mix(docs, {k: F.expr(e) for k, e in MIX_LEVELS.items()}, MIX_WEIGHTS, seed=MIX_SEED, into=into)
 
 
 @query

@@ -23,6 +23,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
     """Tables that hold whole runs of equal keys (one or many runs each), from batches sorted by ``keys``."""
     held: list[pa.RecordBatch] = []
