@@ -158,6 +158,7 @@ def partitioned_lag(spark, sf):
         ["notice_date"],
         [lambda w: {"last_profit": F.lag("net_profit").over(w), "last_equity": F.lag("total_equity").over(w)}],
         back=1,
+        ahead=0,
     )
     return out.select("ts_code", "notice_date", "last_profit", "last_equity")
 

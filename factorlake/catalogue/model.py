@@ -10,7 +10,7 @@ from ..functions.columns import PROBIT_A, PROBIT_B, PROBIT_C, PROBIT_D, PROBIT_T
 from ..operators import evaluate, labels, splits
 from ..operators.joins import join_industry
 from .crosssection import industry
-from .panel import LABELLED, labelled_panel
+from .panel import LABELLED, labelled_panel, stored_panel
 from .registry import flag_sql, nums, query, views
 
 BASE = f"{views('bars')}, {LABELLED}"
@@ -57,7 +57,7 @@ def _gaussian_sql(src: str, by: str, limits) -> str:
     {_gaussian_sql('li', 'date, sw_l1_code', (0.05, 0.95))}""",
 )
 def gaussian(spark, sf):
-    df = join_industry(labelled_panel(spark, sf), industry(spark, sf))
+    df = join_industry(stored_panel(spark, sf), industry(spark, sf))
     return labels.label_gaussian(df, "ret_1m", "date", ["sw_l1_code"], (0.05, 0.95)).select(
         "ts_code", "date", "label_ret_1m"
     )
@@ -65,7 +65,7 @@ def gaussian(spark, sf):
 
 @query("label_gaussian_plain", f"{BASE}, {_gaussian_sql('lp', 'date', None)}")
 def gaussian_plain(spark, sf):
-    return labels.label_gaussian(labelled_panel(spark, sf), "ret_1m", winsor_limits=None).select(
+    return labels.label_gaussian(stored_panel(spark, sf), "ret_1m", winsor_limits=None).select(
         "ts_code", "date", "label_ret_1m"
     )
 
@@ -75,7 +75,7 @@ DISCRETE = """d AS (SELECT *, (ntile(6) OVER (PARTITION BY date ORDER BY ret_1m,
 
 
 def discrete_panel(spark, sf):
-    return labels.label_discrete(labelled_panel(spark, sf), "ret_1m")
+    return labels.label_discrete(stored_panel(spark, sf), "ret_1m")
 
 
 @query("label_discrete", f"{BASE}, {DISCRETE} SELECT ts_code, date, label_ret_1m FROM d")
@@ -105,7 +105,7 @@ _CUT = SPLIT - timedelta(days=HORIZON)
     UNION ALL SELECT 'test', ts_code, date, {nums(['ret_1m'])} FROM lp WHERE date >= DATE '{SPLIT + timedelta(days=EMBARGO)}'""",
 )
 def time_split(spark, sf):
-    df = labelled_panel(spark, sf).withColumn("label_end", F.date_add("date", 30))
+    df = stored_panel(spark, sf).withColumn("label_end", F.date_add("date", 30))
     train, test = splits.purged_time_split(
         df, SPLIT, horizon_days=HORIZON, embargo_days=EMBARGO, label_end_col="label_end"
     )
@@ -128,14 +128,15 @@ GAP = HORIZON + EMBARGO
     SELECT fold, role, ts_code, date, {nums(['ret_1m'])} FROM r JOIN lp USING (date) WHERE role IS NOT NULL""",
 )
 def kfold(spark, sf):
-    tagged = splits.purged_kfold(labelled_panel(spark, sf), 5, horizon_days=HORIZON, embargo_days=EMBARGO, min_train_size=10)
+    tagged = splits.purged_kfold(stored_panel(spark, sf), 5, horizon_days=HORIZON, embargo_days=EMBARGO, min_train_size=10)
     return tagged.select("fold", "role", "ts_code", "date", "ret_1m")
 
 
 def _walk_sql(expanding: bool) -> str:
     start = "0" if expanding else "fold * 150"
-    return f"""{BASE}, {DAYS}, fo AS (SELECT unnest([0, 1, 2]) AS fold),
-    b AS (SELECT fold, {start} AS fr, fold * 150 + 400 AS lo, fold * 150 + 550 AS hi FROM fo),
+    return f"""{BASE}, {DAYS}, fo AS (SELECT unnest(range((n - 400) // 150)) AS fold, n FROM (SELECT max(n) AS n FROM ds)),
+    b AS (SELECT fold, {start} AS fr, fold * 150 + 400 AS lo,
+      CASE WHEN fold = (n - 400) // 150 - 1 THEN n ELSE fold * 150 + 550 END AS hi FROM fo),
     c AS (SELECT b.*, date - {GAP} AS cutoff FROM b JOIN ds ON i = lo),
     r AS (SELECT fold::INT AS fold, CASE WHEN i >= lo THEN 'test' WHEN date < cutoff THEN 'train' END AS role, date
       FROM ds JOIN c ON i >= fr AND i < hi)
@@ -143,8 +144,9 @@ def _walk_sql(expanding: bool) -> str:
 
 
 def _walk(spark, sf, expanding):
+    """Windows over all dates there are."""
     return splits.walk_forward(
-        labelled_panel(spark, sf), 3, window_size=400, step_size=150, horizon_days=HORIZON, embargo_days=EMBARGO,
+        stored_panel(spark, sf), None, window_size=400, step_size=150, horizon_days=HORIZON, embargo_days=EMBARGO,
         expanding=expanding,
     ).select("fold", "role", "ts_code", "date", "ret_1m")
 
@@ -173,7 +175,7 @@ RANKED = "rs AS (SELECT ts_code, date, round(predict_score, 4) AS predict_score
 
 
 def rounded_scores(spark, sf):
-    return scored(spark, sf).select("ts_code", "date", F.round("predict_score", 4).alias("predict_score"))
+    return scored(spark, sf, stored_panel(spark, sf)).select("ts_code", "date", F.round("predict_score", 4).alias("predict_score"))
 
 
 @query(
@@ -202,7 +204,7 @@ def topk(spark, sf):
     f"{BASE} SELECT ts_code, date, {nums({'predict_score': 'roc_4 * 0.3::DOUBLE + roc_12 * 0.4::DOUBLE + ma12_dev * 0.3::DOUBLE'})} FROM lp",
 )
 def blend(spark, sf):
-    p = labelled_panel(spark, sf)
+    p = stored_panel(spark, sf)
     frames = {
         h: p.select("date", "ts_code", F.col(c).alias("predict_score"))
         for h, c in (("20d", "roc_4"), ("60d", "roc_12"), ("252d", "ma12_dev"))
@@ -234,5 +236,21 @@ def ndcg(spark, sf):
 @query("fit_walk_forward")
 def fit(spark, sf):
     """Gradient-boosted trees on three walk-forward windows; no SQL counterpart."""
-    tagged = splits.walk_forward(labelled_panel(spark, sf), 3, horizon_days=HORIZON, embargo_days=EMBARGO)
+    tagged = splits.walk_forward(stored_panel(spark, sf), 3, horizon_days=HORIZON, embargo_days=EMBARGO)
     return evaluate.fit_walk_forward(tagged, FEATURES, "ret_1m")
+
+
+@query(
+    "fold_sizes",
+    f"""{BASE}, {DAYS}, fo AS (SELECT unnest([0, 1, 2]) AS fold), b AS (SELECT fold, fold * (n // 4) AS fr, (fold + 1) * (n // 4) AS lo,
+      (fold + 2) * (n // 4) AS hi FROM fo, (SELECT max(n) AS n FROM ds)),
+    c AS (SELECT b.*, date - {GAP} AS cutoff FROM b JOIN ds ON i = lo),
+    r AS (SELECT fold::INT AS fold, CASE WHEN i >= lo THEN 'test' WHEN date < cutoff THEN 'train' END AS role, date
+      FROM ds JOIN c ON i >= fr AND i < hi)
+    SELECT fold, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'test') AS n_test
+    FROM r JOIN lp USING (date) WHERE ret_1m IS NOT NULL AND NOT isnan(ret_1m) GROUP BY fold""",
+)
+def sizes(spark, sf):
+    """Rows that each window of ``fit_walk_forward`` trains and tests on."""
+    tagged = splits.walk_forward(stored_panel(spark, sf), 3, horizon_days=HORIZON, embargo_days=EMBARGO)
+    return splits.fold_sizes(tagged.where(F.col("ret_1m").isNotNull() & ~F.isnan("ret_1m")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -14,8 +15,9 @@ from ..operators.joins import (
     universe_filter,
 )
 from ..operators import macro
-from ..operators.skew import durable
+from ..operators.skew import durable, shared_dir
 from ..plans.panel import fundamental_features, market_features, panel_dataset, panel_stack
+from ..sources.tables import write_table
 from . import views as V
 from .crosssection import FUND, _zscore_sql, industry
 from .macro import FLOW_STAGES, margin, northbound
@@ -142,7 +144,7 @@ _PANEL_Z = [f"cs_{c}_{s}" for c in FUND_COLS for s in ("win", "z")]
 @query(
     "panel_dataset",
     f"""{views('bars', 'statements', 'northbound', 'industry')}, {MEMBERS}, {_MARKET}, {FUND}, {FLOW_STAGES},
-    fi AS (SELECT f.*, sw_l1_code FROM f JOIN industry USING (ts_code) WHERE notice_date BETWEEN DATE '{START}' AND DATE '{END}'),
+    fi AS (SELECT f.*, sw_l1_code FROM f JOIN industry USING (ts_code) WHERE notice_date <= DATE '{END}'),
     {_ZSTAGE}, z AS (SELECT ts_code, name, notice_date, sw_l1_code, {', '.join(FUND_COLS)}, {_ZCOLS} FROM z2)
     SELECT m.ts_code, m.date, z.name, z.notice_date, z.sw_l1_code, {nums({c: f'm.{c}' for c in MARKET_COLS} |
     {c: f'z.{c}' for c in FUND_COLS} | {c: f'n.{c}' for c in MACRO_COLS}, 5)}, {nums({c: f'z.{c}' for c in _PANEL_Z}, 5)}
@@ -151,7 +153,7 @@ _PANEL_Z = [f"cs_{c}_{s}" for c in FUND_COLS for s in ("win", "z")]
     ASOF LEFT JOIN z ON m.ts_code = z.ts_code AND m.date >= z.notice_date LEFT JOIN f3 n ON n.date = m.date""",
     digits=5,
 )
-def dataset(spark, sf):
+def dataset(spark, sf, min_group_size=5):
     market, fund, flow = _inputs(spark, sf)
     out = panel_dataset(
         market,
@@ -163,18 +165,38 @@ def dataset(spark, sf):
         start=START,
         end=END,
         label=LABEL,
+        min_group_size=min_group_size,
     )
     return out.withColumns({c: F.round(c, 4) for c in _PANEL_Z})
 
 
 def labelled_panel(spark, sf):
-    """Bars with a forward return and a few features: the input of labels and splits.
+    """Bars with a forward return and a few features: the input of labels and splits."""
+    return market_features(V.bars(spark, sf)).select("ts_code", "date", "ret_1m", "roc_4", "roc_12", "ma12_dev", "vola_20")
 
-    Written once to the checkpoint folder, since labels and splits read it several times.
-    """
-    return durable(
-        market_features(V.bars(spark, sf)).select("ts_code", "date", "ret_1m", "roc_4", "roc_12", "ma12_dev", "vola_20")
-    )
+
+def stored_panel(spark, sf):
+    """The same as a table in the shared folder, for those who read it several times."""
+    path = f"{shared_dir(spark)}/labelled-{uuid.uuid4().hex}"
+    write_table(labelled_panel(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+@query(
+    "market_features_duplicates",
+    f"""{BARS}, again AS (SELECT * EXCLUDE (close), close, 1 AS seq FROM bars UNION ALL BY NAME
+      SELECT * EXCLUDE (close), close * 2 AS close, 2 AS seq FROM bars WHERE day(date) % 7 = 0),
+    nb AS (SELECT * EXCLUDE (seq, rn) FROM (SELECT *, row_number() OVER (PARTITION BY ts_code, date ORDER BY seq DESC) AS rn FROM again)
+      WHERE rn = 1), {ALL_STAGES.format(src='nb')}
+    SELECT ts_code, date, {nums(['ret_1q', 'roc_4'], 5)} FROM t3""",
+    digits=5,
+)
+def duplicates(spark, sf):
+    """Some days have a second bar with twice the close; the one that came in later counts."""
+    bars = V.bars(spark, sf)
+    late = bars.where(F.day("date") % 7 == 0).withColumn("close", F.col("close") * 2)
+    both = bars.withColumn("seq", F.lit(1)).unionByName(late.withColumn("seq", F.lit(2)))
+    return market_features(both, ["seq"]).select("ts_code", "date", "ret_1q", "roc_4")
 
 
 LABELLED = f"""{ALL_STAGES.format(src='bars')}, lp AS (SELECT ts_code, date, ret_1m, roc_4, roc_12, vola_20,

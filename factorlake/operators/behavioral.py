@@ -133,7 +133,7 @@ def volatility(cols: Sequence[str]) -> FeatureGroup:
         *(("atr_pct",) if ranged else ()),
         "vola_regime_ratio",
     )
-    return FeatureGroup(names, (base, summed, rolled, derived), ("close",), back=61)
+    return FeatureGroup(names, (base, summed, rolled, derived), ("close",), back=61, ahead=0)
 
 
 VOLUME_OUTPUTS = ("vol_dev20", "vol_dev60", "vol_spike", "vwap_dev_1d", "avg_trade_price")
@@ -146,7 +146,7 @@ def volume(cols: Sequence[str]) -> FeatureGroup:
     """
     if "volume" not in cols:
         types = {c: "byte" if c == "vol_spike" else "double" for c in VOLUME_OUTPUTS}
-        return FeatureGroup(VOLUME_OUTPUTS, (lambda w: {c: F.lit(None).cast(t) for c, t in types.items()},))
+        return FeatureGroup(VOLUME_OUTPUTS, (lambda w: {c: F.lit(None).cast(t) for c, t in types.items()},), back=0, ahead=0)
     traded = "amount" in cols and "close" in cols
 
     def base(w):
@@ -168,7 +168,7 @@ def volume(cols: Sequence[str]) -> FeatureGroup:
             out["avg_trade_price"] = price
         return out
 
-    return FeatureGroup(VOLUME_OUTPUTS if traded else VOLUME_OUTPUTS[:3], (base, averaged, derived), ("volume",), back=60)
+    return FeatureGroup(VOLUME_OUTPUTS if traded else VOLUME_OUTPUTS[:3], (base, averaged, derived), ("volume",), back=60, ahead=0)
 
 
 def structure(cols: Sequence[str]) -> FeatureGroup:
@@ -216,7 +216,7 @@ def structure(cols: Sequence[str]) -> FeatureGroup:
     names = ("vr_2", "ac_1", "ac_5") + tuple(
         n for n, c in (("near_high", "high"), ("near_low", "low"), ("gap", "open")) if c in cols
     )
-    return FeatureGroup(names, (base, lagged, summed, derived), ("close",), back=66)
+    return FeatureGroup(names, (base, lagged, summed, derived), ("close",), back=66, ahead=0)
 
 
 GROUPS = {"momentum": momentum, "volatility": volatility, "volume": volume, "structure": structure}

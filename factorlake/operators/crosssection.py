@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clip, nan_to_null, nearest_index
 from .joins import join_industry
-from .skew import MAX_BROADCAST_ROWS, durable, hot_keys
+from .skew import durable, hot_keys
 
 log = logging.getLogger(__name__)
 
@@ -43,10 +43,8 @@ def _key_match(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Column:
 
 
 def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join group statistics back (null keys form a group). ``stats`` is already computed, so counting it is cheap."""
+    """Join group statistics back (null keys form a group); adaptive execution picks the join by their size in bytes."""
     keyed = stats.select(*[F.col(k).alias(f"_k_{k}") for k in by], *[c for c in stats.columns if c not in by])
-    if keyed.count() <= MAX_BROADCAST_ROWS:
-        keyed = F.broadcast(keyed)
     return df.join(keyed, _key_match(df, keyed, by)).drop(*[f"_k_{k}" for k in by])
 
 
@@ -141,7 +139,8 @@ def group_stats(
     """One row per group: ``n``, and per factor its mean, sample std and nearest-rank quantiles.
 
     Columns are ``<factor>_mean``, ``<factor>_std`` and ``<factor>_q0``, ``_q1``, ... in the order of
-    ``quantiles``. NaN and null take no part. The result is checkpointed: it is small and used repeatedly.
+    ``quantiles``. NaN and null take no part. Without groups above ``sort_rows`` nothing is computed here but the
+    check for them.
     """
     by = list(by)
     moments = [F.count(F.lit(1)).alias("n")]
@@ -150,14 +149,14 @@ def group_stats(
     qs = {f"{f}_q{i}": (f, q) for f in factors for i, q in enumerate(quantiles)}
     hot = hot_keys(df, by, sort_rows) if qs else None
     if hot is None:
-        return durable(_small_group_stats(df, by, moments, qs))
+        return _small_group_stats(df, by, moments, qs)
     keyed = hot.select(*[F.col(k).alias(f"_k_{k}") for k in by])
     match = _key_match(df, keyed, by)
     cold = df.join(keyed, match, "left_anti")
     big = df.join(keyed, match, "left_semi")
     small_stats = _small_group_stats(cold, by, moments, qs)
-    big_stats = attach(durable(big.groupBy(*by).agg(*moments)), durable(bracketed_quantiles(big, by, qs)), by)
-    return durable(small_stats.unionByName(big_stats))
+    big_stats = attach(big.groupBy(*by).agg(*moments), bracketed_quantiles(big, by, qs), by)
+    return small_stats.unionByName(big_stats)
 
 
 def group_stats_over(

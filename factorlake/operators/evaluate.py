@@ -142,7 +142,7 @@ def fit_walk_forward(tagged: DataFrame, features: Sequence[str], label: str, reg
     )
     miss = F.col("prediction") - F.col(label)
     rows = []
-    for k, (train, test) in enumerate(folds(usable)):
+    for k, train, test in folds(usable):
         scored = regression_pipeline(features, label, regressor).fit(train).transform(test)
         n_test, rmse, mae = scored.agg(F.count(F.lit(1)), F.sqrt(F.avg(miss * miss)), F.avg(F.abs(miss))).first()
         rows.append((k, train.count(), n_test, rmse, mae))

@@ -37,7 +37,7 @@ def quality() -> FeatureGroup:
         "asset_turnover": ("total_revenue", "total_asset"),
     }
     return FeatureGroup(
-        tuple(ratios), (lambda w: {k: safe_div(n, d, fill=NAN) for k, (n, d) in ratios.items()},)
+        tuple(ratios), (lambda w: {k: safe_div(n, d, fill=NAN) for k, (n, d) in ratios.items()},), back=0, ahead=0
     )
 
 
@@ -56,6 +56,8 @@ def leverage() -> FeatureGroup:
                 "interest_coverage": safe_div("operate_profit", "finance_expense", min_den=1.0),
             },
         ),
+        back=0,
+        ahead=0,
     )
 
 
@@ -89,6 +91,7 @@ def growth() -> FeatureGroup:
         ),
         (previous, derived),
         back=1,
+        ahead=0,
     )
 
 
@@ -106,6 +109,8 @@ def cashflow() -> FeatureGroup:
                 "accrual_ratio": safe_div(accrual, "total_asset"),
             },
         ),
+        back=0,
+        ahead=0,
     )
 
 
@@ -134,7 +139,7 @@ def factors(
     for g in chosen:
         merged.update(g.stages[-1](None))
     if need_window:
-        base = over_series(base, ["ts_code"], ["notice_date", "name"], [growth().stages[0]], back=1, max_rows=max_rows)
+        base = over_series(base, ["ts_code"], ["notice_date", "name"], [growth().stages[0]], back=1, ahead=0, max_rows=max_rows)
     return base.withColumns(merged).select(*IDENTS, *outputs)
 
 
@@ -187,6 +192,7 @@ def trailing_twelve_months(
         ["report_date"],
         [lambda w: {"_before": F.lag("ttm_net_profit").over(w)}],
         back=1,
+        ahead=0,
         max_rows=max_rows,
     )
     return out.select(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import not_special_treatment
 from .relational import dedupe_last
-from .skew import MAX_GROUP_ROWS, carry_last, join_sized
+from .skew import MAX_GROUP_ROWS, carry_last
 
 STATEMENT_KEYS = ("ts_code", "name", "notice_date")
 
@@ -64,8 +64,9 @@ def asof_backward(
     right = dedupe_last(right.where(F.col(right_on).isNotNull()), [by, right_on], list(tie_break))
     packed = F.struct(*[F.col(c) for c in fields]).alias("_right")
     body = F.struct(*[F.col(c) for c in left.columns]).alias("_left")
-    # A left row without a date or a key matches nothing; rows without a key are spread over many groups.
-    salt = F.when(F.col(by).isNull(), 1 + F.pmod(F.xxhash64(*left.columns), F.lit(4096))).otherwise(F.lit(0).cast("long"))
+    # A left row without a key matches nothing; such rows are spread over many groups by their date, the only other
+    # column that the pass over group sizes has to read.
+    salt = F.when(F.col(by).isNull(), 1 + F.pmod(F.xxhash64(left_on), F.lit(4096))).otherwise(F.lit(0).cast("long"))
     stacked = left.select(
         F.col(by).alias("_by"), salt.alias("_salt"), F.col(left_on).alias("_at"), F.lit(1).alias("_side"), body
     ).unionByName(
@@ -84,8 +85,8 @@ def asof_backward(
 
 
 def join_macro_left(panel: DataFrame, macro: DataFrame, on: str = "date") -> DataFrame:
-    """Left join of date-keyed macro features: one row per calendar day, hence always small enough to send."""
-    return join_sized(panel, macro, on, "left", bounded=True)
+    """Left join of date-keyed macro features, one row per date (of several the greatest stays, so rows never multiply)."""
+    return panel.join(dedupe_last(macro, [on], []), on, "left")
 
 
 def prefix_columns(df: DataFrame, prefix: str, keep: Sequence[str] = ("date",)) -> DataFrame:
@@ -99,7 +100,7 @@ def join_dates(frames: Sequence[DataFrame], on: str = "date") -> DataFrame:
 
 def join_industry(df: DataFrame, industry: DataFrame, on: str = "ts_code") -> DataFrame:
     """Attach the industry of each code; unclassified codes drop out."""
-    return join_sized(df, industry, on, "inner")
+    return df.join(industry, on)
 
 
 def hierarchy_map(l1: DataFrame, l2: DataFrame, l3: DataFrame) -> DataFrame:
@@ -147,7 +148,7 @@ def hierarchy_map(l1: DataFrame, l2: DataFrame, l3: DataFrame) -> DataFrame:
 
 def universe_filter(df: DataFrame, members: DataFrame, on: str = "ts_code") -> DataFrame:
     """Rows of the member codes only."""
-    return join_sized(df, members.select(on).distinct(), on, "left_semi")
+    return df.join(members.select(on), on, "left_semi")
 
 
 def tradable_universe(

@@ -14,13 +14,12 @@ import atexit
 import re
 import shutil
 import tempfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 MAX_GROUP_ROWS = 2_000_000
-MAX_BROADCAST_ROWS = 200_000
 
 Stage = Callable[[WindowSpec], dict[str, Column]]
 
@@ -89,20 +88,6 @@ def route(
     return plain(df.join(keyed, match, "left_anti")).unionByName(spread(df.join(keyed, match, "left_semi")))
 
 
-def join_sized(
-    df: DataFrame, dim: DataFrame, on, how: str = "inner", *, max_rows: int = MAX_BROADCAST_ROWS, bounded: bool = False
-) -> DataFrame:
-    """Join with a dimension, broadcast only when it is known to be small.
-
-    The row count is checked with a limit, so a large ``dim`` costs no full scan; above ``max_rows`` the
-    hint is dropped and adaptive execution picks the join and splits skewed partitions. ``bounded`` skips
-    the check for a ``dim`` whose size is fixed by construction (one row per calendar day, per fold, ...).
-    """
-    if bounded or dim.limit(max_rows + 1).count() <= max_rows:
-        dim = F.broadcast(dim)
-    return df.join(dim, on, how)
-
-
 def join_nullsafe(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on keys where null equals null."""
     other = other.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in other.columns if c not in keys])
@@ -144,7 +129,8 @@ def over_series(
     stages: Sequence[Stage],
     *,
     back: int,
-    ahead: int = 0,
+    ahead: int,
+    running: Mapping[str, Column] | None = None,
     max_rows: int | None = MAX_GROUP_ROWS,
     block_rows: int | None = None,
 ) -> DataFrame:
@@ -152,9 +138,11 @@ def over_series(
 
     Every stage gets the same window, so the frame is shuffled and sorted once. ``back`` and ``ahead``
     are how many rows any output reaches in total, over all stages; hot keys are cut into blocks of
-    ``block_rows`` that carry that many rows of their neighbours.
+    ``block_rows`` that carry that many rows of their neighbours. ``running`` adds sums from the start of
+    the series, ahead of all stages; over blocks they are carried as one number per block.
     """
-    by, order = list(by), list(order)
+    by, order, running = list(by), list(order), dict(running or {})
+    upto = (Window.unboundedPreceding, Window.currentRow)
 
     def run(frame: DataFrame, keys: list[str]) -> DataFrame:
         w = Window.partitionBy(*keys).orderBy(*order)
@@ -162,6 +150,10 @@ def over_series(
             frame = frame.withColumns(stage(w))
         return frame
 
+    def plain(frame: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(*upto)
+        return run(frame.withColumns({n: F.sum(c).over(w) for n, c in running.items()}) if running else frame, by)
+
     def spread(frame: DataFrame) -> DataFrame:
         size = max(block_rows or max_rows // 4, back, ahead, 1)
         home = F.floor(F.col("_pos") / size)
@@ -173,11 +165,30 @@ def over_series(
                 F.when((at < ahead) & (home > 0), home - 1) if ahead else F.lit(None).cast("long"),
             )
         )
-        cut = positions(frame, by, order).withColumn("_home", home).withColumn("_block", F.explode(homes))
-        out = run(cut, [*by, "_block"])
+        placed = positions(frame, by, order).withColumn("_home", home)
+        if running:
+            placed = _carried_sums(placed, by, running)
+        out = run(placed.withColumn("_block", F.explode(homes)), [*by, "_block"])
         return out.where(F.col("_block") == F.col("_home")).drop("_pos", "_home", "_block")
 
-    return route(df, by, lambda f: run(f, by), spread, max_rows)
+    return route(df, by, plain, spread, max_rows)
+
+
+def _carried_sums(placed: DataFrame, by: list[str], sums: Mapping[str, Column]) -> DataFrame:
+    """Running sums over blocks (``_home``, ordered by ``_pos``): inside each block, plus all blocks before it."""
+    inner = Window.partitionBy(*by, "_home").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*by).orderBy("_home").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*by, "_home").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    carried = totals.select(*by, "_home", *[F.sum(n).over(before).alias(f"_carry_{n}") for n in sums])
+    own = placed.withColumns({f"_own_{n}": F.sum(c).over(inner) for n, c in sums.items()})
+    both = join_nullsafe(own, carried, [*by, "_home"])
+
+    def total(n: str) -> Column:
+        own_, carry = F.col(f"_own_{n}"), F.col(f"_carry_{n}")
+        return F.when(own_.isNull(), carry).when(carry.isNull(), own_).otherwise(own_ + carry)
+
+    extra = [f"_{kind}_{n}" for kind in ("own", "carry") for n in sums]
+    return both.withColumns({n: total(n) for n in sums}).drop(*extra)
 
 
 def row_position(

@@ -11,6 +11,9 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .skew import durable
 
 
 def purged_time_split(
@@ -39,39 +42,52 @@ def purged_time_split(
     return df.where(is_train), df.where(is_test)
 
 
-def _indexed_dates(df: DataFrame, date_col: str) -> DataFrame:
-    days = df.select(F.col(date_col).alias("_day")).where(F.col("_day").isNotNull()).distinct()
-    # At most one row per calendar day, so a single window is fine.
-    return days.withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_day")) - 1)
+def _rows_per_day(df: DataFrame, date_col: str, label_end_col: str | None) -> DataFrame:
+    """Rows per date (and end of label), computed once: all that fold bounds and sizes depend on."""
+    if not isinstance(df.schema[date_col].dataType, T.DateType):
+        raise ValueError(f"{date_col} must be a DATE column, so that the calendar bounds its values")
+    ends = F.col(label_end_col).cast("date") if label_end_col else F.lit(None).cast("date")
+    rows = df.where(F.col(date_col).isNotNull()).groupBy(F.col(date_col).alias("_day"), ends.alias("_end"))
+    return durable(rows.agg(F.count(F.lit(1)).alias("_rows")))
 
 
-def _assign(
+def _tagged(
     df: DataFrame,
-    days: DataFrame,
+    per_day: DataFrame,
     bounds: list[tuple[int, int, int, int]],
     date_col: str,
     gap_days: int,
     label_end_col: str | None,
+    min_train_size: int,
 ) -> DataFrame:
-    """Rows tagged ``fold`` and ``role``. ``bounds``: (fold, first train index, first test index, end of test)."""
+    """Rows tagged ``fold`` and ``role``. ``bounds``: (fold, first train index, first test index, end of test).
+
+    Folds are decided on dates times folds; a fold with too few training rows is an error. The rows are expanded once.
+    """
     spark = df.sparkSession
-    folds = F.broadcast(
-        spark.createDataFrame(bounds, "fold int, _train_from int, _test_from int, _test_to int")
-    )
-    starts = days.join(folds, F.col("_i") == F.col("_test_from")).select(
+    # At most one row per calendar day, so one window and small sides of joins.
+    days = per_day.select("_day").distinct().withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_day")) - 1)
+    starts = spark.createDataFrame(bounds, "fold int, _train_from int, _test_from int, _test_to int")
+    starts = days.join(starts, F.col("_i") == F.col("_test_from")).select(
         "fold", "_train_from", "_test_from", "_test_to", F.date_sub("_day", gap_days).alias("_cutoff")
     )
-    spans = F.broadcast(starts.withColumn("_i", F.explode(F.sequence("_train_from", F.col("_test_to") - 1))))
+    spans = starts.withColumn("_i", F.explode(F.sequence("_train_from", F.col("_test_to") - 1)))
     in_test = F.col("_i") >= F.col("_test_from")
     in_train = (F.col("_i") < F.col("_test_from")) & (F.col("_day") < F.col("_cutoff"))
-    plan = (
+    plan = durable(
         days.join(spans, "_i")
         .withColumn("role", F.when(in_test, "test").when(in_train, "train"))
         .where(F.col("role").isNotNull())
         .select("fold", "role", "_day", "_cutoff")
     )
-    # (days x folds) rows: bounded by the calendar.
-    out = df.join(F.broadcast(plan), F.col(date_col) == F.col("_day"))
+    used = per_day.join(plan, "_day").where("role = 'train'")
+    if label_end_col:
+        used = used.where("_end < _cutoff")
+    sizes = dict(used.groupBy("fold").agg(F.sum("_rows")).collect())  # one row per fold
+    small = {k: sizes.get(k, 0) for k, *_ in bounds if sizes.get(k, 0) < min_train_size}
+    if small:
+        raise ValueError(f"training rows per fold {small}, fewer than {min_train_size}")
+    out = df.join(plan, F.col(date_col) == F.col("_day"))
     if label_end_col:
         out = out.where((F.col("role") == "test") | (F.col(label_end_col) < F.col("_cutoff")))
     return out.select("fold", "role", *df.columns)
@@ -90,56 +106,62 @@ def purged_kfold(
     """``n_splits`` forward folds as rows tagged ``(fold, role)``.
 
     The dates are cut into ``n_splits + 1`` equal blocks (the last takes the remainder); fold *k* tests
-    on block *k + 1* and trains on what lies before ``test start - (horizon + embargo)`` days. Folds
-    training on fewer than ``min_train_size`` rows are left out.
+    on block *k + 1* and trains on what lies before ``test start - (horizon + embargo)`` calendar days. It is an error
+    if there are too few dates, or if a fold would train on fewer than ``min_train_size`` rows.
     """
-    days = _indexed_dates(df, date_col)
-    n = days.count()
-    gap = horizon_days + embargo_days
+    per_day = _rows_per_day(df, date_col, label_end_col)
+    n = per_day.select("_day").distinct().count()
     size = n // (n_splits + 1)
-    if size < 1 or n <= gap + n_splits:
-        raise ValueError(f"Not enough unique dates: {n} for {n_splits} splits with a gap of {gap} days")
+    if size < 1:
+        raise ValueError(f"Not enough unique dates: {n} for {n_splits} splits")
     bounds = [(k, 0, (k + 1) * size, (k + 2) * size if k < n_splits - 1 else n) for k in range(n_splits)]
-    out = _assign(df, days, bounds, date_col, gap, label_end_col)
-    if min_train_size > 0:
-        enough = out.where(F.col("role") == "train").groupBy("fold").count().where(F.col("count") >= min_train_size)
-        out = out.join(F.broadcast(enough.select("fold")), "fold", "left_semi")  # one row per fold
-    return out
+    return _tagged(df, per_day, bounds, date_col, horizon_days + embargo_days, label_end_col, min_train_size)
 
 
 def walk_forward(
     df: DataFrame,
-    n_windows: int = 5,
+    n_windows: int | None = 5,
     *,
     window_size: int | None = None,
     step_size: int | None = None,
     horizon_days: int = 0,
     embargo_days: int = 0,
+    min_train_size: int = 1,
     expanding: bool = False,
     date_col: str = "date",
     label_end_col: str | None = None,
 ) -> DataFrame:
-    """Up to ``n_windows`` windows moving forward by ``step_size`` dates, as rows tagged ``(fold, role)``.
+    """``n_windows`` windows moving forward by ``step_size`` dates, as rows tagged ``(fold, role)``.
 
     A window trains on ``window_size`` dates (or on everything so far, if ``expanding``) and tests on the
-    next ``step_size`` dates, minus the horizon and embargo. By default the dates are divided evenly.
+    next ``step_size`` dates, minus the horizon and embargo. By default the dates are divided evenly. It is an error if
+    the dates do not hold so many whole windows, or if one would train on fewer than ``min_train_size`` rows.
+    ``n_windows=None`` takes all whole windows that there are, and the last also tests on the dates that remain.
     """
-    days = _indexed_dates(df, date_col)
-    n = days.count()
+    if n_windows is None and not window_size:
+        raise ValueError("give n_windows or window_size")
+    per_day = _rows_per_day(df, date_col, label_end_col)
+    n = per_day.select("_day").distinct().count()
     window = window_size or n // (n_windows + 1)
     step = step_size or window
-    bounds = [
-        (k, 0 if expanding else k * step, k * step + window, min(k * step + window + step, n))
-        for k in range(n_windows)
-        if window and k * step + window < n
-    ]
-    if not bounds:
-        raise ValueError(f"Not enough unique dates: {n} for a window of {window}")
-    return _assign(df, days, bounds, date_col, horizon_days + embargo_days, label_end_col)
-
-
-def folds(tagged: DataFrame) -> Iterator[tuple[DataFrame, DataFrame]]:
-    """(train, test) per fold of a tagged frame, in fold order."""
+    whole = (n - window) // step if window else 0
+    count = whole if n_windows is None else n_windows
+    if not 1 <= count <= whole:
+        raise ValueError(f"Not enough unique dates: {n} for {count} windows of {window} + {step}")
+    bounds = [(k, 0 if expanding else k * step, k * step + window, k * step + window + step) for k in range(count)]
+    if n_windows is None:
+        bounds[-1] = (*bounds[-1][:3], n)
+    return _tagged(df, per_day, bounds, date_col, horizon_days + embargo_days, label_end_col, min_train_size)
+
+
+def folds(tagged: DataFrame) -> Iterator[tuple[int, DataFrame, DataFrame]]:
+    """(fold, train, test) per fold of a tagged frame, in fold order."""
     for row in tagged.select("fold").distinct().orderBy("fold").collect():  # one row per fold
         part = tagged.where(F.col("fold") == row["fold"])
-        yield tuple(part.where(F.col("role") == r).drop("fold", "role") for r in ("train", "test"))
+        yield row["fold"], *(part.where(F.col("role") == r).drop("fold", "role") for r in ("train", "test"))
+
+
+def fold_sizes(tagged: DataFrame) -> DataFrame:
+    """Training and test rows of each fold."""
+    of = {r: F.count_if(F.col("role") == r).alias(f"n_{r}") for r in ("train", "test")}
+    return tagged.groupBy("fold").agg(of["train"], of["test"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
 
@@ -16,14 +16,23 @@ from ..operators.relational import dedupe_last, reorder, weekly_sample
 from ..operators.skew import MAX_GROUP_ROWS
 
 
-def market_features(bars: DataFrame, *, max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
-    """Behavioural features of raw bars; of several bars on one day the last stays.
+def market_features(
+    bars: DataFrame, order: Sequence[str] = (), *, max_rows: int | None = MAX_GROUP_ROWS
+) -> DataFrame:
+    """Behavioural features of raw bars.
 
-    With a calendar date as key a ticker then has at most 366 rows a year, so its size need not be checked.
+    ``order`` (say an ingest time and a position in the file) decides which of several bars of a ticker on one day
+    stays: the last. Without it the caller vouches for one bar a day. The bars are sorted once either way: the window
+    that finds a day's last bar has the order that the features need.
+    With a calendar date as key a ticker has at most 366 days a year, so its size need not be checked.
     """
     if isinstance(bars.schema["date"].dataType, DateType):
         max_rows = None
-    return behavioral.features(dedupe_last(bars, ["ts_code", "date"], []), max_rows=max_rows)
+    if order:
+        following = F.lead("date").over(Window.partitionBy("ts_code").orderBy("date", *order))
+        last = F.col("date").isNotNull() & ~F.col("date").eqNullSafe(F.col("_following"))
+        bars = bars.withColumn("_following", following).where(last).drop("_following")
+    return behavioral.features(bars, max_rows=max_rows)
 
 
 def fundamental_features(statements: DataFrame) -> DataFrame:
@@ -62,11 +71,12 @@ def panel_dataset(
 
     ``market`` and ``fundamentals`` are feature tables. Fridays are selected before the as-of join, which
     gives the same rows as selecting them afterwards on a fifth of the data. Normalisation runs within
-    industry and ``period``; ``period=None`` pools all dates.
+    industry and ``period``; ``period=None`` pools all reports up to ``end``. Reports before ``start`` take part,
+    since the one in force on the first dates is older than they are.
     """
     span = F.col("date").between(F.lit(start), F.lit(end))
     rows = weekly_sample(universe_filter(market.where(span), members))
-    reports = fundamentals.where(F.col("notice_date").between(F.lit(start), F.lit(end)))
+    reports = fundamentals.where(F.col("notice_date") <= F.lit(end))
     neutral = industry_neutral(
         reports, industry, factors, by=[period] if period else [], min_group_size=min_group_size
     )

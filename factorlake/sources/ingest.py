@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 from ..functions.codes import normalize_ts_code
 from ..functions.dates import normalize_date_column
 from ..operators.relational import dedupe_last, sum_by, union_vertical
-from ..operators.skew import join_sized
 from .specs import (
     KLINE,
     KLINE_FIELDS,
@@ -88,7 +87,7 @@ def bars_clean(df: DataFrame, date_format: str | None = "yyyy-MM-dd") -> DataFra
     """
     df = rename(df, STRING_BARS)
     flagged = df.where(F.col("is_st") == "1").select("ts_code").distinct()
-    kept = join_sized(df, flagged, "ts_code", "left_anti").drop("trade_status", "is_st")
+    kept = df.join(flagged, "ts_code", "left_anti").drop("trade_status", "is_st")
     kept = normalize_date_column(kept, "date", fmt=date_format)
     measures = ("open", "high", "low", "close", "volume", "turnover")
     return kept.withColumns(

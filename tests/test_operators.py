@@ -50,7 +50,7 @@ def test_kfold_moves_forward_without_leakage(spark):
     parts = list(splits.folds(tagged))
     assert len(parts) == 3
     last_end = None
-    for train, test in parts:
+    for _, train, test in parts:
         start, end, n_test = test.agg(F.min("date"), F.max("date"), F.count("*")).first()
         latest, n_train = train.agg(F.max("end"), F.count("*")).first()
         assert n_train >= 10 and n_test > 0
@@ -59,7 +59,11 @@ def test_kfold_moves_forward_without_leakage(spark):
         last_end = end
     assert last_end == DAY + timedelta(days=299)
     with pytest.raises(ValueError, match="Not enough unique dates"):
+        splits.purged_kfold(panel(spark, 2, 3), 3)
+    with pytest.raises(ValueError, match="training rows per fold"):
         splits.purged_kfold(panel(spark, 2, 5), 3, horizon_days=21, embargo_days=5)
+    with pytest.raises(ValueError, match="DATE"):
+        splits.purged_kfold(df.withColumn("date", F.col("date").cast("timestamp")), 3)
 
 
 @pytest.mark.parametrize("expanding", [True, False])
@@ -70,6 +74,11 @@ def test_walk_forward_sizes(spark, expanding):
     sizes = [r["count"] for r in tagged.where("role = 'train'").groupBy("fold").count().orderBy("fold").collect()]
     assert len(sizes) == 3
     assert sizes == sorted(sizes) if expanding else max(sizes) - min(sizes) <= 50
+    with pytest.raises(ValueError, match="Not enough unique dates"):
+        splits.walk_forward(panel(spark, 2, 300), 5, window_size=100, step_size=50, expanding=expanding)
+    every = splits.walk_forward(panel(spark, 2, 310), None, window_size=100, step_size=50, expanding=expanding)
+    last = every.where("role = 'test'").groupBy("fold").agg(F.count_distinct("date")).orderBy("fold").collect()
+    assert [r[1] for r in last] == [50, 50, 50, 60]
 
 
 # ---- labels and evaluation --------------------------------------------------------------------
@@ -159,8 +168,12 @@ def test_missing_inputs(spark):
 
 def test_duplicate_bars_keep_the_last(spark):
     df = ohlcv(spark, 30)
-    twice = df.unionByName(df.withColumn("close", F.col("close") / 2))
-    assert market_features(twice).count() == df.count()
+    first = df.withColumn("close", F.col("close") * 2).withColumn("seq", F.lit(1))
+    twice = df.withColumn("seq", F.lit(2)).unionByName(first)
+    got = market_features(twice, ["seq"])
+    assert got.exceptAll(market_features(df)).isEmpty() and got.count() == df.count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(" Sort [") == 1, "bars are sorted once"
 
 
 def test_fundamental_edges(spark):
@@ -261,6 +274,8 @@ def test_staged_metrics_contract(spark):
         staged_metrics(df, [FeatureGroup(inputs=("nope",))])
     with pytest.raises(ValueError):
         staged_metrics(df, [double], [], "other")
+    with pytest.raises(ValueError, match="must declare"):  # whatever the size of the data
+        staged_metrics(df, [double], order=["x"])
 
 
 def test_resample_and_adjust(spark):

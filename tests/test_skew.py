@@ -4,11 +4,13 @@ import random
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factorlake.operators import behavioral, crosssection, evaluate, labels
 from factorlake.operators.joins import asof_backward
-from factorlake.operators.skew import hot_keys, join_sized, positions
+from factorlake.operators.skew import hot_keys, positions
+from factorlake.operators.staged import FeatureGroup, staged_metrics
 
 DAY = date(2015, 1, 12)
 
@@ -113,16 +115,46 @@ def test_zscore_of_hot_groups(spark):
     )
 
 
-def test_join_sized_hints_only_small_sides(spark):
-    left, right = spark.range(10).toDF("k"), spark.range(50).toDF("k")
-    hinted = join_sized(left, right, "k")
-    plain = join_sized(left, right, "k", max_rows=10)
-    assert hinted.count() == plain.count() == 10
+def test_user_providers_on_both_routes(spark):
+    """Lags, rolling windows and running totals give the same whether a series is cut into blocks or not."""
+    rows = [("a", i, float(i % 7), None if i % 11 == 0 else float(i)) for i in range(90)] + [("b", i, 1.0, None) for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, i int, x double, y double")
+    lagged = FeatureGroup(("back3",), (lambda w: {"back3": F.lag("x", 3).over(w)},), back=3, ahead=0)
+    rolled = FeatureGroup(
+        ("mean4", "next2"),
+        (lambda w: {"mean4": F.avg("x").over(w.rowsBetween(-3, 0))}, lambda w: {"next2": F.lead("mean4", 2).over(w)}),
+        back=3,
+        ahead=2,
+    )
+    total = FeatureGroup(("share",), (lambda w: {"share": F.col("x") / (F.col("sum_x") + 1)},), back=0, ahead=0, running={"sum_x": F.col("x")})
+    gaps = FeatureGroup(("sum_y",), back=0, ahead=0, running={"sum_y": F.col("y")})
+
+    def run(max_rows):
+        return staged_metrics(df, [lagged, rolled, total, gaps], ["k", "i"], "select", by=["k"], order=["i"], max_rows=max_rows)
+
+    assert_same(run(None), run(40), ["k", "i"])
+
 
-    def plan(df):
-        return df._jdf.queryExecution().analyzed().toString()
+def test_size_check_of_asof_reads_keys_only(spark):
+    """The pass over group sizes computes none of the features of the left side."""
+    from factorlake.operators import joins, skew
 
-    assert "ResolvedHint" in plan(hinted) and "ResolvedHint" not in plan(plain)
+    seen = []
+    plain = skew.hot_keys
+
+    def spy(df, by, max_rows=None, sizes=None):
+        seen.append(df.groupBy(*by).count()._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df, by, max_rows, sizes)
+
+    left = spark.createDataFrame([("a", DAY, 1.0)], "ts_code string, date date, x double")
+    left = left.withColumn("feature", F.avg("x").over(Window.partitionBy("ts_code").orderBy("date")))
+    reports = spark.createDataFrame([("a", DAY, 1.0)], "ts_code string, notice_date date, v double")
+    skew.hot_keys = spy
+    try:
+        assert joins.asof_backward(left, reports).count() == 1
+    finally:
+        skew.hot_keys = plain
+    assert seen and all("Window" not in p for p in seen)
 
 
 def test_null_keys_can_be_hot(spark):
