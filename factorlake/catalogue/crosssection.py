@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -22,7 +23,9 @@ from ..operators.joins import (
     industry_l1,
     join_industry,
 )
-from ..operators.skew import durable
+from ..operators.skew import durable, shared_dir
+from ..sources.ingest import read_industry_level, read_industry_members
+from ..sources.specs import INDUSTRY_L1, INDUSTRY_L2, INDUSTRY_L3, INDUSTRY_MEMBERS
 from . import views as V
 from .fundamental import FACTORS, KEYS, TTM_STAGES
 from .registry import nums, query, views
@@ -51,6 +54,20 @@ def levels(spark, sf):
 query("build_classification", f"{CL} SELECT {CL_COLS} FROM classification")(classification)
 
 
+@query("industry_sheets", f"{CL} SELECT {CL_COLS} FROM classification")
+def sheets(spark, sf):
+    """The classification from landed sheets of the three levels and their members."""
+    frames = (*V.industry_levels(spark, sf), V.industry_members(spark, sf))
+    folders = []
+    for frame, names in zip(frames, (INDUSTRY_L1, INDUSTRY_L2, INDUSTRY_L3, INDUSTRY_MEMBERS)):
+        landed = {target: source for source, target in names.items() if target in frame.columns}
+        folders.append(f"{shared_dir(spark)}/sheet-{uuid.uuid4().hex}")
+        frame.withColumnsRenamed(landed).write.csv(folders[-1], header=True)
+    levels = [read_industry_level(spark, f, n) for f, n in zip(folders, (1, 2, 3))]
+    rows = read_industry_members(spark, folders[3])
+    return build_classification(rows, hierarchy_map(*levels), normalize_ts_code("ts_code_suffix"))
+
+
 def _latest(where: str, cols: str) -> str:
     return f"""{CL} SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY ts_code ORDER BY join_date DESC) AS rn
     FROM classification {where}) WHERE rn = 1"""
@@ -69,11 +86,13 @@ def l1(spark, sf):
 @query(
     "join_industry",
     f"{views('statements', 'industry')} SELECT ts_code, notice_date, sw_l1_code, {nums(['net_profit'], 4)} "
-    "FROM statements JOIN industry USING (ts_code)",
+    "FROM statements JOIN industry USING (ts_code) WHERE right(ts_code, 1) <> '7'",
     digits=4,
 )
 def with_industry(spark, sf):
-    return join_industry(V.statements(spark, sf), industry(spark, sf)).select(
+    """Every tenth code is not classified."""
+    known = industry(spark, sf).where("right(ts_code, 1) <> '7'")
+    return join_industry(V.statements(spark, sf), known).select(
         "ts_code", "notice_date", "sw_l1_code", "net_profit"
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators import macro
 from ..sources.ingest import index_bars, margin_merge, northbound_merge, qvix_bars, shibor_rename
-from ..sources.specs import SHIBOR
+from ..sources.specs import CHANNEL_FLOW, SHIBOR
 from ..sources.tables import macro_read_all
 from ..operators import behavioral
 from . import views as V
@@ -23,7 +23,9 @@ def _lag(x, n=1):
 
 
 def northbound(spark, sf):
-    return northbound_merge([V.channel(spark, sf, "F"), V.channel(spark, sf, "O")])
+    """From landed names."""
+    landed = {target: source for source, target in CHANNEL_FLOW.items()}
+    return northbound_merge([V.channel(spark, sf, s).withColumnsRenamed(landed) for s in ("F", "O")], CHANNEL_FLOW)
 
 
 def margin(spark, sf):

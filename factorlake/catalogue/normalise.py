@@ -131,22 +131,26 @@ def column_spec(spark, sf):
     views("statements")
     + " "
     + " UNION ALL ".join(
-        f"SELECT '{k}' AS report, ts_code, notice_date, report_period AS date, {len(f)}::BIGINT AS measures, "
-        f"round(total_revenue, 2)::DECIMAL(24,2)::VARCHAR AS first_measure FROM statements"
+        f"SELECT '{k}' AS report, ts_code, notice_date, report_period AS date, "
+        + " || ',' || ".join(
+            f"'{target}=' || (round(total_revenue, 2)::DECIMAL(24,2) + {i})::VARCHAR" for i, target in enumerate(f.values())
+        )
+        + " AS measures FROM statements"
         for k, f in QUARTER_REPORTS.items()
     ),
 )
 def quarter_reports(spark, sf):
-    """Six report layouts carrying the same figure in each of their fields."""
+    """Six report layouts with a figure of its own in each of their fields."""
     base = V.statements(spark, sf).select(
         F.concat(F.lit("sh."), "ts_code").alias("code"),
         F.date_format("notice_date", "yyyy-MM-dd").alias("pubDate"),
         F.date_format("report_period", "yyyy-MM-dd").alias("statDate"),
-        F.round("total_revenue", 2).cast("decimal(24,2)").cast("string").alias("v"),
+        F.round("total_revenue", 2).cast("decimal(24,2)").alias("v"),
     )
     out = None
     for kind, fields in QUARTER_REPORTS.items():
-        raw = base.select(*QUARTER_IDENTS, *[F.col("v").alias(f) for f in fields])
+        values = [(F.col("v") + i).cast("decimal(24,2)").cast("string").alias(f) for i, f in enumerate(fields)]
+        raw = base.select(*QUARTER_IDENTS, *values)
         rep = quarter_report(raw, kind)
         names = list(fields.values())
         rep = rep.select(
@@ -154,8 +158,7 @@ def quarter_reports(spark, sf):
             "ts_code",
             "notice_date",
             "date",
-            F.size(F.array(*names)).cast("long").alias("measures"),
-            F.col(names[0]).alias("first_measure"),
+            F.concat_ws(",", *[F.concat(F.lit(f"{n}="), F.col(n)) for n in names]).alias("measures"),
         )
         out = rep if out is None else out.unionByName(rep)
     return out
@@ -243,9 +246,15 @@ def strip(spark, sf):
     return raw_codes(spark, sf).select("p_partkey", codes.strip_ts_code("code").alias("stripped"))
 
 
-@query("st_name_filter", "SELECT p_partkey, p_name FROM part WHERE NOT contains(upper(p_name), 'ST')")
+_NAMES = "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '*ST ' WHEN 1 THEN 'st-' ELSE '' END || p_name AS name FROM part"
+
+
+@query("st_name_filter", f"SELECT p_partkey, name FROM ({_NAMES}) WHERE NOT contains(upper(name), 'ST')")
 def st_names(spark, sf):
-    return V.table(spark, sf, "part").where(codes.not_special_treatment("p_name")).select("p_partkey", "p_name")
+    """Half of the names carry the marker, in either case."""
+    mark = F.when(F.col("p_partkey") % 4 == 0, "*ST ").when(F.col("p_partkey") % 4 == 1, "st-").otherwise("")
+    named = V.table(spark, sf, "part").select("p_partkey", F.concat(mark, "p_name").alias("name"))
+    return named.where(codes.not_special_treatment("name"))
 
 
 # ---- dates ------------------------------------------------------------------------------------

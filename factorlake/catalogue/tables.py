@@ -59,6 +59,25 @@ def refresh(spark, sf):
     return T.read_table(spark, path).select("ts_code", "date", "close")
 
 
+@query(
+    "read_through",
+    f"""{BARS} SELECT ts_code, date, {nums({'close': 'CASE WHEN year(date) = 1995 THEN close + 1000 ELSE close END'})} FROM bars
+    WHERE year(date) IN (1995, 1996, 1997)""",
+)
+def through(spark, sf):
+    """Two books are stored, marked by a shifted price; one of them is stale, and a third is missing."""
+    bars = V.bars(spark, sf).select("ts_code", "date", "close", F.concat(F.lit("y"), F.year("date")).alias("book"))
+    path = scratch(spark, "books")
+    old = bars.where("book in ('y1995', 'y1996')").withColumn("close", F.col("close") + 1000)
+    T.write_table(old, path, ["book"])
+
+    def compute(books):
+        assert books == ["y1996", "y1997"], books
+        return bars.where(F.col("book").isin(books))
+
+    return T.read_through(spark, path, ["y1995", "y1996", "y1997"], compute, stale=["y1996"]).drop("book")
+
+
 @query(
     "missing_books",
     f"""{views('statements')} SELECT DISTINCT year(d) || '_Q' || quarter(d) AS book

@@ -44,7 +44,7 @@ def topk_per_rebalance(
     p = F.trunc(date_col, period)
     last = df.groupBy(p.alias("_period")).agg(F.max(date_col).alias("_day"))
     # One row per period of the calendar.
-    on_day = df.join(F.broadcast(last.select("_day")), F.col(date_col) == F.col("_day"), "left_semi")
+    on_day = df.join(last.select("_day"), F.col(date_col) == F.col("_day"), "left_semi")
     w = Window.partitionBy(date_col).orderBy(F.col(score).desc_nulls_last(), "ts_code")
     best = on_day.where(F.col(score).isNotNull()).withColumn("rank", F.row_number().over(w)).where(
         F.col("rank") <= top_k

@@ -17,6 +17,9 @@ from ..operators.relational import dedupe_last, sum_by, union_vertical
 from .specs import (
     KLINE,
     KLINE_FIELDS,
+    INDUSTRY_FIGURES,
+    INDUSTRY_LEVELS,
+    INDUSTRY_MEMBERS,
     MARGIN,
     MARGIN_DROPPED,
     QUARTER_IDENTS,
@@ -176,3 +179,23 @@ def margin_merge(
 
 def shibor_rename(df: DataFrame, date_format: str | None = None) -> DataFrame:
     return normalize_date_column(rename(df, SHIBOR), "date", fmt=date_format)
+
+
+# ---- industry classification ------------------------------------------------------------------
+
+
+def read_sheet(spark: SparkSession, path: str, names: Mapping[str, str]) -> DataFrame:
+    """Landed CSV sheet (a file or a folder of them) as strings, with the columns of ``names`` renamed."""
+    return rename(spark.read.csv(path, header=True, emptyValue="", nullValue="\u0000"), names)
+
+
+def read_industry_level(spark: SparkSession, path: str, level: int) -> DataFrame:
+    """Level 1, 2 or 3 of the industry hierarchy; figures of level 3 are doubles, those that do not parse null."""
+    sheet = read_sheet(spark, path, INDUSTRY_LEVELS[level])
+    figures = [c for c in INDUSTRY_FIGURES if c in sheet.columns]
+    return sheet.withColumns({c: F.col(c).try_cast("double") for c in figures}) if figures else sheet
+
+
+def read_industry_members(spark: SparkSession, path: str, date_format: str | None = "yyyy-MM-dd") -> DataFrame:
+    """Constituents of the level 3 industries, whose code the landed sheets carry as ``sw_l3_code``."""
+    return normalize_date_column(read_sheet(spark, path, INDUSTRY_MEMBERS), "join_date", fmt=date_format)

@@ -227,3 +227,5 @@ INDUSTRY_MEMBERS = {
     "申万2级": "sw_l2_name",
     "申万3级": "sw_l3_name",
 }
+INDUSTRY_LEVELS = {1: INDUSTRY_L1, 2: INDUSTRY_L2, 3: INDUSTRY_L3}
+INDUSTRY_FIGURES = ("constituent_count", "pe_static", "pe_ttm", "pb", "dividend_yield")

@@ -5,7 +5,7 @@ Writes replace only the partitions they contain, so a repeated or retried write
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
 
 from pyspark.errors import AnalysisException
@@ -53,6 +53,28 @@ def missing_books(requested: DataFrame, stored: DataFrame, key: str = "book") ->
     return requested.select(key).distinct().join(stored.select(key).distinct(), key, "left_anti")
 
 
+def read_through(
+    spark: SparkSession,
+    path: str,
+    books: Sequence[str],
+    compute: Callable[[list[str]], DataFrame],
+    *,
+    stale: Sequence[str] = (),
+    key: str = "book",
+) -> DataFrame:
+    """The requested books of a table, of which only those that are missing or ``stale`` are computed.
+
+    ``compute`` gets their names and returns their rows, ``key`` included; they are written as partitions, so books
+    that are stored stay untouched. Book names are as few as the quarters of a calendar.
+    """
+    stored = read_table(spark, path)
+    known = {r[0] for r in stored.select(F.col(key).cast("string")).distinct().collect()} if key in stored.columns else set()
+    todo = [b for b in dict.fromkeys(books) if b not in known or b in set(stale)]
+    if todo:
+        write_table(compute(todo), path, [key])
+    return read_books(spark, path, books, key)
+
+
 def has_columns(df: DataFrame, required: Sequence[str]) -> bool:
     return set(required) <= set(df.columns)
 
