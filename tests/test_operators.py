@@ -13,7 +13,7 @@ from factorlake.operators.staged import FeatureGroup, staged_metrics
 from factorlake.plans.panel import bars_adjust, bars_resample, market_features, panel_stack
 from factorlake.sources import ingest, specs, tables
 
-DAY = date(2015, 1, 12)
+DAY = date(1999, 3, 8)
 
 
 def panel(spark, n_stocks=4, n_days=100, seed=1):
@@ -23,7 +23,7 @@ def panel(spark, n_stocks=4, n_days=100, seed=1):
         close = 100.0
         for d in range(n_days):
             close = max(1.0, close + rnd.gauss(0, 2))
-            rows.append((DAY + timedelta(days=d), f"stock_{i:03d}", close, rnd.gauss(0, 0.02), f"industry_{i % 3}"))
+            rows.append((DAY + timedelta(days=d), f"K{i}", close, rnd.gauss(0, 0.02), "ABC"[i % 3]))
     return spark.createDataFrame(rows, "date date, ts_code string, close double, ret double, sw_l1_code string")
 
 
@@ -39,7 +39,7 @@ def test_time_split_purges_and_embargoes(spark):
     ended = df.withColumn("end", F.date_add("date", 21))
     train, _ = splits.purged_time_split(ended, cut, horizon_days=21, embargo_days=5, label_end_col="end")
     assert train.agg(F.max("end")).first()[0] < cut - timedelta(days=21)
-    for bad in (date(2025, 1, 1), date(2010, 1, 1)):
+    for bad in (date(2025, 1, 1), date(1990, 1, 1)):
         with pytest.raises(ValueError):
             splits.purged_time_split(df, bad)
 
@@ -97,7 +97,7 @@ def test_gaussian_label_is_monotone_and_complete(spark):
         assert sum(ordered) == pytest.approx(0, abs=1e-6)
     alone = labels.label_gaussian(df, "ret", by=["ts_code"]).agg(F.min("label_ret"), F.max("label_ret")).first()
     assert tuple(alone) == (0.0, 0.0)
-    holes = df.withColumn("ret", F.when(F.col("ts_code") != "stock_000", F.col("ret")))
+    holes = df.withColumn("ret", F.when(F.col("ts_code") != "K0", F.col("ret")))
     assert labels.label_gaussian(holes, "ret").count() == 180
 
 
@@ -144,8 +144,8 @@ def test_no_feature_looks_ahead(spark):
 
 def test_tickers_do_not_mix(spark):
     df = ohlcv(spark)
-    both = behavioral.features(df).where("ts_code = 'stock_001'")
-    alone = behavioral.features(df.where("ts_code = 'stock_001'"))
+    both = behavioral.features(df).where("ts_code = 'K1'")
+    alone = behavioral.features(df.where("ts_code = 'K1'"))
     assert both.exceptAll(alone).count() == 0
 
 
@@ -228,12 +228,12 @@ def test_asof_edges(spark):
 def test_panel_is_point_in_time(spark):
     market = panel(spark, 2, 60).select("ts_code", "date", "close")
     reports = spark.createDataFrame(
-        [("stock_000", DAY + timedelta(days=d), float(d)) for d in (10, 30)], "ts_code string, notice_date date, roe double"
+        [("K0", DAY + timedelta(days=d), float(d)) for d in (10, 30)], "ts_code string, notice_date date, roe double"
     )
     flow = market.select("date").distinct().withColumn("z", F.lit(1.0))
     out = panel_stack(market, reports, flow)
     assert out.count() == 120 and out.where("notice_date > date").count() == 0
-    assert out.where("ts_code = 'stock_001' and roe is not null").count() == 0
+    assert out.where("ts_code = 'K1' and roe is not null").count() == 0
 
 
 def test_sector_normalisation(spark):
@@ -280,13 +280,13 @@ def test_staged_metrics_contract(spark):
 
 def test_resample_and_adjust(spark):
     bars = ohlcv(spark, 14)
-    weekly = bars_resample(bars, "week").where("ts_code = 'stock_000'").orderBy("date").collect()
+    weekly = bars_resample(bars, "week").where("ts_code = 'K0'").orderBy("date").collect()
     assert [r["date"] for r in weekly] == [DAY + timedelta(days=6), DAY + timedelta(days=13)]
-    factors = spark.createDataFrame([("stock_000", DAY + timedelta(days=7), 2.0)], "ts_code string, date date, factor double")
+    factors = spark.createDataFrame([("K0", DAY + timedelta(days=7), 2.0)], "ts_code string, date date, factor double")
     for how, ratio in (("hfq", 2.0), ("qfq", 0.5)):
         got = bars_adjust(bars, factors, how).join(bars.select("ts_code", "date", F.col("close").alias("raw")), ["ts_code", "date"])
         late = F.col("date") >= DAY + timedelta(days=7)
-        expect = F.when(late & (F.col("ts_code") == "stock_000"), ratio).otherwise(1.0)
+        expect = F.when(late & (F.col("ts_code") == "K0"), ratio).otherwise(1.0)
         assert got.where(F.abs(F.col("close") / F.col("raw") - expect) > 1e-12).count() == 0
 
 

@@ -12,7 +12,7 @@ from factorlake.operators.joins import asof_backward
 from factorlake.operators.skew import hot_keys, positions
 from factorlake.operators.staged import FeatureGroup, staged_metrics
 
-DAY = date(2015, 1, 12)
+DAY = date(1999, 3, 8)
 
 
 @pytest.fixture(scope="module")
