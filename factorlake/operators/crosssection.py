@@ -9,16 +9,16 @@ from __future__ import annotations
 import logging
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, nan_to_null, nearest_index
 from .joins import join_industry
-from .skew import durable, hot_keys
+from .skew import counts_before, hot_keys, join_nullsafe
 
 log = logging.getLogger(__name__)
 
-# Above this many rows a group's exact quantile is found by bracketing instead of sorting its values.
+# Above this many rows a group's quantile is looked up in a distributed tally instead of a sorted array.
 QUANTILE_SORT_ROWS = 20_000
 
 # Fundamental factors normalised within industries by default.
@@ -60,72 +60,25 @@ def _small_group_stats(
     return (out.withColumns(picks) if picks else out).drop(*[f"_v_{c}" for c in factors])
 
 
-def bracketed_quantiles(
-    df: DataFrame, by: Sequence[str], qs: dict[str, tuple[str, float]], accuracy: int = 10_000
-) -> DataFrame:
-    """Exact nearest-rank quantiles of large groups in two distributed passes.
+def tallied_quantiles(df: DataFrame, by: Sequence[str], qs: dict[str, tuple[str, float]]) -> DataFrame:
+    """Exact nearest-rank quantiles of large groups: distinct values are counted, and ranks are sums of counts.
 
-    Pass one brackets each quantile with two approximate percentiles whose rank error is bounded by
-    ``n / accuracy``. Pass two counts what lies below the bracket and tallies the distinct values inside
-    it (a fraction of about 12 / accuracy of the rows), where the exact rank is then looked up. Groups
-    too small for the error bound are bracketed by their minimum and maximum. If a bracket ever missed
-    its rank the query fails instead of returning another value.
+    Values are combined per task before their shuffle and then range-partitioned, so neither a large group nor a value
+    that many rows share lands in one task.
     """
     by = list(by)
-    slack = 6.0 / accuracy
-    aggs = []
-    for name, (c, q) in qs.items():
-        x = _bare(df, c)
-        small = F.count(x) < accuracy
-        lo = F.percentile_approx(x, max(0.0, q - slack), accuracy)
-        hi = F.percentile_approx(x, min(1.0, q + slack), accuracy)
-        aggs += [
-            F.count(x).alias(f"_n_{name}"),
-            F.when(small, F.min(x)).otherwise(lo).alias(f"_lo_{name}"),
-            F.when(small, F.max(x)).otherwise(hi).alias(f"_hi_{name}"),
-        ]
-    brackets = durable(df.groupBy(*by).agg(*aggs))
-    joined = attach(df.select(*by, *dict.fromkeys(c for c, _ in qs.values())), brackets, by)
-
-    below = durable(
-        joined.groupBy(*by).agg(
-            *[F.count_if(_bare(df, c) < F.col(f"_lo_{name}")).alias(f"_below_{name}") for name, (c, _) in qs.items()]
-        )
-    )
-    picks = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    _bare(df, c).between(F.col(f"_lo_{name}"), F.col(f"_hi_{name}")),
-                    F.struct(F.lit(name).alias("_q"), _bare(df, c).cast("double").alias("_v")),
-                )
-                for name, (c, _) in qs.items()
-            ]
-        )
-    )
-    tally = joined.select(*by, F.explode(picks).alias("_p")).groupBy(*by, "_p._q", "_p._v").count()
-
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("_q"),
-                F.col(f"_n_{name}").alias("_n"),
-                (nearest_index(F.col(f"_n_{name}"), q).cast("long") - F.col(f"_below_{name}")).alias("_at"),
-            )
-            for name, (_, q) in qs.items()
-        ]
-    )
-    targets = attach(brackets, below, by).select(*by, F.inline(wanted)).where("_n > 0")
-    w = Window.partitionBy(*by, "_q").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = tally.withColumn("_upto", F.sum("count").over(w))
-    keyed = targets.select(*[F.col(k).alias(f"_k_{k}") for k in by], F.col("_q").alias("_k__q"), "_at")
-    found = ranked.join(keyed, _key_match(ranked, keyed, [*by, "_q"]), "right")
-    value = F.min(F.when(F.col("_upto") > F.col("_at"), F.col("_v")))
-    checked = F.when(F.min("_at") < 0, F.raise_error(F.lit("quantile bracket missed")).cast("double")).otherwise(
-        F.coalesce(value, F.raise_error(F.lit("quantile bracket missed")).cast("double"))
-    )
-    per_q = found.groupBy(*[F.col(f"_k_{k}").alias(k) for k in by], F.col("_k__q").alias("_q")).agg(checked.alias("_v"))
-    return per_q.groupBy(*by).agg(*[F.max(F.when(F.col("_q") == name, F.col("_v"))).alias(name) for name in qs])
+    factors = dict.fromkeys(c for c, _ in qs.values())
+    cells = F.array(*[F.struct(F.lit(c).alias("_f"), _bare(df, c).cast("double").alias("_v")) for c in factors])
+    values = df.select(*by, F.explode(cells).alias("_p")).select(*by, "_p._f", "_p._v")
+    tally = values.groupBy(*by, "_f", "_v").agg(F.count("_v").alias("_c"))
+    totals = tally.groupBy(*by, "_f").agg(F.sum("_c").alias("_n"))
+    ranked = join_nullsafe(counts_before(tally, [*by, "_f"], "_v", "_c"), totals, [*by, "_f"])
+
+    def pick(c: str, q: float) -> Column:
+        at = nearest_index(F.col("_n"), q) - F.col("_before")
+        return F.max(F.when((F.col("_f") == c) & (at >= 0) & (at < F.col("_c")), F.col("_v")))
+
+    return ranked.groupBy(*by).agg(*[pick(c, q).alias(name) for name, (c, q) in qs.items()])
 
 
 def group_stats(
@@ -155,7 +108,7 @@ def group_stats(
     cold = df.join(keyed, match, "left_anti")
     big = df.join(keyed, match, "left_semi")
     small_stats = _small_group_stats(cold, by, moments, qs)
-    big_stats = attach(big.groupBy(*by).agg(*moments), bracketed_quantiles(big, by, qs), by)
+    big_stats = attach(big.groupBy(*by).agg(*moments), tallied_quantiles(big, by, qs), by)
     return small_stats.unionByName(big_stats)
 
 

@@ -122,6 +122,22 @@ def positions(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str
     )
 
 
+def counts_before(tally: DataFrame, by: Sequence[str], value: str, count: str, name: str = "_before") -> DataFrame:
+    """Add to each distinct ``value`` of a tally how many rows of its group have a smaller one.
+
+    Values are range-partitioned, so a group of any size is spread; ties have been counted together before.
+    """
+    by = list(by)
+    runs = durable(tally.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = runs.groupBy(*by, "_part").agg(F.sum(count).alias("_n"))
+    heads = heads.select(*by, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = runs.withColumn("_in", F.coalesce(F.sum(count).over(inside), F.lit(0)))
+    both = join_nullsafe(placed, heads, [*by, "_part"])
+    return both.withColumn(name, F.col("_in") + F.col("_shift")).drop("_in", "_shift", "_part")
+
+
 def over_series(
     df: DataFrame,
     by: Sequence[str],
@@ -231,10 +247,10 @@ def rank_and_count(
         )
 
     def spread(f: DataFrame) -> DataFrame:
-        placed = positions(f, by, [value])
-        ranks = placed.groupBy(*by, value).agg((F.min("_pos") + 1).alias("_rank"))
-        counts = f.groupBy(*by).agg(F.count(F.lit(1)).alias("_count"))
-        return join_nullsafe(join_nullsafe(placed.drop("_pos"), ranks, [*by, value]), counts, by)
+        tally = f.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+        ranks = counts_before(tally, by, value, "_c").select(*by, value, (F.col("_before") + 1).alias("_rank"))
+        counts = tally.groupBy(*by).agg(F.sum("_c").alias("_count"))
+        return join_nullsafe(join_nullsafe(f, ranks, [*by, value]), counts, by)
 
     return route(df, by, plain, spread, max_rows, sizes)
 

@@ -92,12 +92,12 @@ def test_ranks_in_blocks(spark):
 
 
 @pytest.mark.parametrize("q", [0.0, 0.01, 0.25, 0.5, 0.95, 0.99, 1.0])
-def test_bracketed_quantile_against_brute_force(spark, q):
+def test_tallied_quantile_against_brute_force(spark, q):
     rnd = random.Random(11)
     groups = {"big": [rnd.gauss(0, 1) for _ in range(3000)] + [0.0] * 1500, "ties": [1.0] * 2000, "few": [3.0, 1.0, 2.0]}
     rows = [(g, x) for g, xs in groups.items() for x in xs] + [("big", None), ("big", float("nan")), ("none", None)]
     df = spark.createDataFrame(rows, "g string, x double").repartition(7)
-    got = {r["g"]: r["v"] for r in crosssection.bracketed_quantiles(df, ["g"], {"v": ("x", q)}, accuracy=200).collect()}
+    got = {r["g"]: r["v"] for r in crosssection.tallied_quantiles(df, ["g"], {"v": ("x", q)}).collect()}
     for g, xs in groups.items():
         xs = sorted(xs)
         assert got[g] == xs[int((len(xs) - 1) * q + 0.5)], g
