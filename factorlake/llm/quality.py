@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import SPACE, Words, flat, mix, pieces, span_hashes, words_of
+from .words import SPACE, Words, mix, pieces, span_hashes, words_of
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True

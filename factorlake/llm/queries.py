@@ -92,7 +92,10 @@ MIX_WEIGHTS = {
     "lang": {"en": 70, "de": 10, "fr": 10, "es": 10},
 }
 # A table of sources has no domains, so they follow the number in the source's name.
-MIX_DOMAIN = "CASE WHEN source = 'src0' THEN 'crawl' WHEN source LIKE '%0' OR source LIKE '%2' OR source LIKE '%4' OR source LIKE '%6' OR source LIKE '%8' THEN 'reference' ELSE 'forum' END"
+MIX_DOMAIN = (
+    "CASE WHEN source = 'src0' THEN 'crawl' WHEN right(source, 1) IN ('0', '2', '4', '6', '8') THEN 'reference' "
+    "ELSE 'forum' END"
+)
 MIX_LEVELS = {"domain": MIX_DOMAIN, "lang": "lang", "source": "source"}
 MIX_SEED = 7
 
