@@ -5,8 +5,9 @@
    nearest neighbours inside each block.
 3. Each round joins every vector's neighbours, forward and reverse, with each other and keeps the best of each list,
    until hardly any list gains a neighbour near the threshold.
-4. Pairs at the threshold are confirmed in double precision and give the components. A block or local join also sends a
-   spanning forest of its pairs at the threshold, so that full lists cannot hide how groups hang together.
+4. Pairs at the threshold are confirmed in double precision and give the components. A block or local join also sends
+   the edges of a spanning forest of its pairs at the threshold, and the pairs too close to it to tell that the forest
+   leaves apart, so that full lists cannot hide how groups hang together.
 5. A list whose neighbours all reach the threshold is saturated: it is enlarged to the whole component, compared in
    pairs of blocks, of which only counts leave the task. No list length limits the number of links.
 6. Recall is audited: a fixed number of vectors is compared with all rows; below the target, the graph is built on
@@ -26,6 +27,7 @@ from .graph import Forest, components
 from .store import block_pairs, over_groups, stored
 
 BLOCK = 512
+ROUNDED = 1e-6  # more than the error of a cosine in single precision
 QUANTISED = 0.03  # more than the error of a cosine of 8-bit codes
 AUDITED = 1024  # vectors of the recall audit
 
@@ -70,16 +72,22 @@ def unit_vectors(vectors: DataFrame, dim: int) -> DataFrame:
 # ---- graph -------------------------------------------------------------------------------------
 
 
-def _forest_of(close: np.ndarray, ids: np.ndarray, a: list, b: list) -> None:
-    """Add a spanning forest of the pairs marked in ``close`` (a square matrix) to the link lists."""
-    x, y = np.nonzero(np.triu(close, 1))
+def _forest_of(cosines: np.ndarray, threshold: float, error: float, ids: np.ndarray, a: list, b: list) -> None:
+    """Add pairs to the link lists that hold together what the pairs at the threshold of a square matrix do.
+
+    Pairs above the threshold by more than ``error`` give the edges of a spanning forest. Pairs within ``error`` may
+    fail in double precision, so no tree may rest on them: all of them that the forest leaves apart are added.
+    """
+    x, y = np.nonzero(np.triu(cosines >= threshold - error, 1))
+    sure = cosines[x, y] >= threshold + error
     forest = Forest(len(ids))
-    for i, j in zip(x.tolist(), y.tolist()):
-        forest.join(i, j)
+    tree = [(i, j) for i, j in zip(x[sure].tolist(), y[sure].tolist()) if forest.join(i, j)]
     root = forest.roots()
-    away = np.flatnonzero(root != np.arange(len(ids)))
-    a.append(ids[away])
-    b.append(ids[root[away]])
+    x, y = x[~sure], y[~sure]
+    apart = root[x] != root[y]
+    i, j = np.array(tree, np.int64).reshape(-1, 2).T
+    a.append(ids[np.concatenate((i, x[apart]))])
+    b.append(ids[np.concatenate((j, y[apart]))])
 
 
 def _edges(src: list, dst: list, sim: list, kind: list) -> pa.RecordBatch:
@@ -111,7 +119,7 @@ def _cells(units: DataFrame, dim: int, tables: range, bits: int) -> DataFrame:
 
 
 def first_graph(units: DataFrame, dim: int, tables: range, bits: int, k: int, threshold: float) -> DataFrame:
-    """Nearest neighbours inside blocks of random cells (``link``: an edge of a spanning forest at the threshold)."""
+    """Nearest neighbours inside blocks of random cells (``link``: a pair that holds a block's groups at the threshold together)."""
 
     def run(table: pa.Table, at: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids = table.column("id").to_numpy()
@@ -123,7 +131,7 @@ def first_graph(units: DataFrame, dim: int, tables: range, bits: int, k: int, th
             own, n = ids[s:e], e - s
             cosines = rows[s:e] @ rows[s:e].T
             a, b = [], []
-            _forest_of(cosines >= threshold - 1e-6, own, a, b)
+            _forest_of(cosines, threshold, ROUNDED, own, a, b)
             np.fill_diagonal(cosines, -2)
             top = np.argpartition(-cosines, min(k, n - 1) - 1, axis=1)[:, : min(k, n - 1)]
             src += [np.repeat(own, top.shape[1]), a[0]]
@@ -164,8 +172,8 @@ def local_joins(lists: DataFrame, codes: DataFrame, dim: int, k: int, turn: int,
             np.fill_diagonal(cosines, -2)
             x, y = np.nonzero(cosines > bar[s:e, None])
             a, b = [], []
-            if (cosines >= threshold + QUANTISED / 3).any():
-                _forest_of(cosines >= threshold + QUANTISED / 3, own, a, b)
+            if (cosines >= threshold - QUANTISED).any():
+                _forest_of(cosines, threshold, QUANTISED, own, a, b)
             src += [own[x], *a]
             dst += [own[y], *b]
             sim += [cosines[x, y], *[np.full(len(f), threshold, np.float32) for f in a]]

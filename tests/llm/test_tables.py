@@ -138,6 +138,31 @@ def test_vectors(spark, monkeypatch):
     assert near_vectors(df.where("false")).count() == 0
 
 
+def test_bridge_between_full_lists(spark):
+    # Two dense groups on a circle, each larger than a list, and one pair at cosine 0.956 between their outposts.
+    pick = np.random.default_rng(3)
+    rows = []
+    for base, degrees, size in ((100, 0, 30), (200, 5, 1), (300, 22, 1), (400, 27, 30)):
+        for n in range(size):
+            turn = math.radians(degrees)
+            rows.append((base + n, [math.cos(turn), math.sin(turn), *(0.01 * pick.standard_normal(6) * (size > 1)).tolist()]))
+    want = vectors_brute(rows, 0.95)
+    assert {c for _, _, c in want} == {100}
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = near_vectors(df, threshold=0.95, k=10).collect()
+    assert Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == want
+
+
+def test_forest_edges_reach_the_threshold():
+    chain = np.array([[1, 0.96, 0.93], [0.96, 1, 0.96], [0.93, 0.96, 1]], np.float32)
+    a, b = [], []
+    neighbours._forest_of(chain, 0.95, neighbours.ROUNDED, np.array([7, 8, 9]), a, b)
+    assert list(zip(a[0].tolist(), b[0].tolist())) == [(7, 8), (8, 9)]
+    a, b = [], []  # pairs that 8-bit codes leave in doubt are all sent
+    neighbours._forest_of(chain, 0.95, neighbours.QUANTISED, np.array([7, 8, 9]), a, b)
+    assert list(zip(a[0].tolist(), b[0].tolist())) == [(7, 8), (7, 9), (8, 9)]
+
+
 # ---- toxicity ----------------------------------------------------------------------------------
 
 
