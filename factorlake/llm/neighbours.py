@@ -4,14 +4,15 @@
 2. The first graph comes from several tables of random-hyperplane cells, cut into blocks of bounded size: exact
    nearest neighbours inside each block.
 3. Each round joins every vector's neighbours, forward and reverse, with each other and keeps the best of each list,
-   until hardly any list gains a neighbour near the threshold.
+   until hardly any list that is not saturated gains a neighbour near the threshold.
 4. Pairs at the threshold are confirmed in double precision and give the components. A block or local join also sends
    the edges of a spanning forest of its pairs at the threshold, and the pairs too close to it to tell that the forest
    leaves apart, so that full lists cannot hide how groups hang together.
 5. A list whose neighbours all reach the threshold is saturated: it is enlarged to the whole component, compared in
    pairs of blocks, of which only counts leave the task. No list length limits the number of links.
-6. Recall is audited: a fixed number of vectors is compared with all rows; below the target, the graph is built on
-   with further tables.
+6. Recall is audited: a bounded sample of vectors is compared with all rows, each vector weighing the same, saturated
+   ones apart. Below the target, the graph is built on with further tables; if ``attempts`` have passed and one more
+   does not raise recall, the call fails.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from .store import block_pairs, over_groups, stored
 BLOCK = 512
 ROUNDED = 1e-6  # more than the error of a cosine in single precision
 QUANTISED = 0.03  # more than the error of a cosine of 8-bit codes
-AUDITED = 1024  # vectors of the recall audit
+AUDITED = 1024  # vectors that one pass of the recall audit compares with all rows, saturated and other ones each
+LINKED = 200  # audited vectors with a link that a recall of either kind should rest on
+PASSES = 8  # of the audit, at most
 
 
 # ---- vectors -----------------------------------------------------------------------------------
@@ -251,14 +254,37 @@ def component_links(members: DataFrame, dim: int, threshold: float) -> DataFrame
     )
 
 
-def audit(units: DataFrame, found: DataFrame, dim: int, threshold: float) -> float:
-    """Share of the links of ``AUDITED`` vectors (those with the smallest hash of their id) that were found.
+def audit(units: DataFrame, found: DataFrame, dim: int, threshold: float) -> float | None:
+    """Share of its links that an audited vector has found: the mean over those with a link, so that each weighs the same.
 
-    The vectors of the audit are a fixed number and are sent to all tasks; everything else is compared in place.
+    Saturated vectors and others are averaged apart, and the lower mean counts: links of large groups cannot hide
+    lost ones of small groups. Vectors are taken by the hash of their id, ``AUDITED`` of either kind in a pass, until
+    ``LINKED`` of the kind have links, all were compared, or ``PASSES`` are over. Without any link there is no recall.
     """
-    sample = units.orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(AUDITED).select("id", "unit").collect()
-    ids = np.array([r["id"] for r in sample], np.int64)
-    asked = np.frombuffer(b"".join(bytes(r["unit"]) for r in sample), np.float64).reshape(len(ids), dim)
+    shares: dict[bool, list[float]] = {True: [], False: []}
+    open_kinds = [True, False]
+    for turn in range(PASSES):
+        taken = []
+        for kind in list(open_kinds):
+            some = found.where(F.col("saturated") == kind).select("id", "links").orderBy(F.xxhash64("id", F.lit("audit")), "id")
+            some = some.offset(turn * AUDITED).limit(AUDITED).join(units.select("id", "unit"), "id").collect()
+            taken += [(r["id"], r["links"], kind, bytes(r["unit"])) for r in some]
+            if len(some) < AUDITED:
+                open_kinds.remove(kind)
+        if taken:
+            true = _true_links(units, np.array([r[0] for r in taken]), [r[3] for r in taken], dim, threshold)
+            for i, links, kind, _ in taken:
+                if true[i]:
+                    shares[kind].append(min(links, true[i]) / true[i])
+        open_kinds = [kind for kind in open_kinds if len(shares[kind]) < LINKED]
+        if not open_kinds:
+            break
+    return min((float(np.mean(x)) for x in shares.values() if x), default=None)
+
+
+def _true_links(units: DataFrame, ids: np.ndarray, asked: list[bytes], dim: int, threshold: float) -> dict[int, int]:
+    """Links of a bounded number of vectors, which are sent to all tasks; everything else is compared in place."""
+    asked = np.frombuffer(b"".join(asked), np.float64).reshape(len(ids), dim)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(ids), np.int64)
@@ -272,13 +298,19 @@ def audit(units: DataFrame, found: DataFrame, dim: int, threshold: float) -> flo
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["id", "links"])
 
     true = units.select("id", "copies", "unit").mapInArrow(run, "id bigint, links bigint")
-    true = true.groupBy("id").agg(F.sum("links").alias("true"))
-    row = (
-        true.join(found.select("id", "links"), "id", "left")
-        .agg(F.sum("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0)))))
-        .first()
-    )
-    return float(row[1]) / float(row[0]) if row[0] else 1.0
+    return {r["id"]: r["true"] for r in true.groupBy("id").agg(F.sum("links").alias("true")).collect()}
+
+
+def _near_counts(lists: DataFrame, threshold: float) -> DataFrame:
+    return lists.groupBy("src").agg(F.count_if(F.col("sim") >= threshold - QUANTISED).alias("n"))
+
+
+def gains(before: DataFrame, after: DataFrame, k: int, threshold: float) -> tuple[int, int]:
+    """Near neighbours that the lists not saturated before have gained, and how many they hold now."""
+    was = _near_counts(before, threshold).where(F.col("n") < k).withColumnRenamed("n", "was")
+    both = was.join(_near_counts(after, threshold), "src")
+    row = both.agg(F.sum(F.greatest(F.col("n") - F.col("was"), F.lit(0))), F.sum("n")).first()
+    return row[0] or 0, row[1] or 0
 
 
 def near_vectors(
@@ -300,6 +332,7 @@ def near_vectors(
     a null or non-finite component, or has another number of components than most rows links with nothing and is
     kept. Repeated rows of one id are counted like other rows and each get that id's largest number of links and its
     smallest component; a row with a null id links with nothing and has a null component. An empty table gives an empty result. Labels and other columns are not read.
+    ``audit_recall`` is null where no audited vector has a link.
     """
     rows = vectors.select(F.col(id).cast("bigint").alias("id"), F.col(vector).alias("vector"))
     sizes = rows.where("id is not null and vector is not null").groupBy(F.size("vector").alias("dim"))
@@ -316,34 +349,34 @@ def near_vectors(
     total = classes.count()
     bits = max(1, int(np.ceil(np.log2(max(total, 2) / 128)))) if total > 128 else 1
     codes = stored(codes_of(classes, dim), "codes")
-    edges, recall, table = None, 0.0, 0
-    for _ in range(attempts):
+    edges, recall, table, attempt = None, None, 0, 0
+    while True:
         more = stored(first_graph(classes, dim, range(table, table + tables), bits, k, threshold), "graph")
         table += tables
         edges = more if edges is None else edges.unionByName(more)
         forest = edges.where("link")
         lists = stored(best_lists(edges, k), "lists")
-        near = -1
         for turn in range(rounds):
             gained = stored(local_joins(lists, codes, dim, k, table + turn, threshold), "joins")
             forest = forest.unionByName(gained.where("link"))
             merged = lists.select("src", "dst", "sim").unionByName(gained.where("not link").select("src", "dst", "sim"))
-            lists = stored(best_lists(merged, k), "lists")
-            now = lists.where(F.col("sim") >= threshold - QUANTISED).count()
-            if now - near <= settled * now:
+            before, lists = lists, stored(best_lists(merged, k), "lists")
+            gained_now, now = gains(before, lists, k, threshold)
+            if turn and gained_now <= settled * now:
                 break
-            near = now
         close = lists.where(F.col("sim") >= threshold - QUANTISED)
         pairs = stored(confirmed(close.select("src", "dst").unionByName(forest.select("src", "dst")), classes, dim, threshold), "links")
         place = stored(components(pairs), "components")
         full = close.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("src").alias("id"), F.lit(True).alias("saturated"))
         found = stored(_counted(classes, place, pairs, full, dim, threshold), "found")
-        recall = audit(classes, found, dim, threshold)
+        last, recall, attempt = recall, audit(classes, found, dim, threshold), attempt + 1
         edges = lists.select("src", "dst", "sim", F.lit(False).alias("link")).unionByName(
             forest.select("src", "dst", "sim", "link")
         )
-        if recall >= target_recall:
+        if recall is None or recall >= target_recall:
             break
+        if attempt >= attempts and recall <= (last or 0.0):
+            raise RuntimeError(f"audited recall {recall:.4f} is below {target_recall} and no longer rises after {attempt} attempts")
     result = (
         keyed.select("id", "key_a", "key_b")
         .join(found.select("key_a", "key_b", "links", "component", "copies"), ["key_a", "key_b"])
@@ -358,7 +391,7 @@ def near_vectors(
             F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
             F.coalesce("component", "id").alias("component_id"),
             F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"),
-            F.lit(recall).alias("audit_recall"),
+            F.lit(recall).cast("double").alias("audit_recall"),
         )
     )
 
@@ -386,12 +419,14 @@ def _counted(classes: DataFrame, place: DataFrame, pairs: DataFrame, full: DataF
         .join(listed, "id", "left")
         .join(exact, "id", "left")
         .join(place.withColumnRenamed("node", "id"), "id", "left")
+        .join(full, "id", "left")
         .select(
             "id",
             "key_a",
             "key_b",
             "copies",
             F.coalesce("exact", "links", F.lit(0)).alias("links"),
+            F.coalesce("saturated", F.lit(False)).alias("saturated"),
             F.coalesce("component", "id").alias("component"),
         )
     )

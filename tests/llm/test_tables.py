@@ -163,6 +163,30 @@ def test_forest_edges_reach_the_threshold():
     assert list(zip(a[0].tolist(), b[0].tolist())) == [(7, 8), (7, 9), (8, 9)]
 
 
+def test_audit_sees_lost_links_of_small_groups(spark):
+    # One group of 300 with all its links, and 30 pairs of which none was found.
+    at = [(i, 0) for i in range(300)] + [(1000 + 2 * p + n, p + 1) for p in range(30) for n in range(2)]
+    pick = np.random.default_rng(1)
+    centres = pick.standard_normal((31, 64))
+    units = [centres[c] + 0.01 * pick.standard_normal(64) for _, c in at]
+    rows = [(i, 1, bytearray((u / np.linalg.norm(u)).tobytes())) for (i, _), u in zip(at, units)]
+    classes = spark.createDataFrame(rows, "id bigint, copies bigint, unit binary")
+    found = spark.createDataFrame([(i, 299 if i < 1000 else 0, i < 300) for i, _ in at], "id bigint, links bigint, saturated boolean")
+    assert neighbours.audit(classes, found, 64, 0.95) == 0.0
+    assert neighbours.audit(classes, found.withColumn("links", F.when(F.col("saturated"), 299).otherwise(1)), 64, 0.95) == 1.0
+    assert neighbours.audit(classes.where("id % 2 = 0 and id >= 1000"), found.where("id % 2 = 0 and id >= 1000"), 64, 0.95) is None
+    lists = spark.createDataFrame([(1, 2, 0.99), (1, 3, 0.99), (4, 5, 0.5)], "src bigint, dst bigint, sim float")
+    more = spark.createDataFrame([(1, 2, 0.99), (1, 6, 0.99), (4, 7, 0.97)], "src bigint, dst bigint, sim float")
+    assert neighbours.gains(lists, more, 2, 0.95) == (1, 1)
+
+
+def test_low_recall_is_not_returned(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "audit", lambda *_: 0.5)
+    df = spark.createDataFrame([(i, [1.0, 0.1 * i]) for i in range(4)], "vec_id bigint, embedding array<double>")
+    with pytest.raises(RuntimeError, match="recall"):
+        near_vectors(df, attempts=1, rounds=1).count()
+
+
 # ---- toxicity ----------------------------------------------------------------------------------
 
 
