@@ -113,6 +113,7 @@ def decode_token(token: str, model: np.ndarray, spaced: bool) -> str:
     return min((cost - float(model[a, b, 0]), text) for (a, b), (cost, text) in states.items())[1]
 
 
+_BETWEEN_LETTERS = ".-_*~/·\u200b"
 _IN_WORD = re.compile(r"[^\W\d_]", re.UNICODE)
 _EDGES = re.compile(r"^[^\w@$!|+(]+|[^\w]+$|^([^\w])\1+")
 _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~/]{1,2}[^\W_]){3,}(?![^\W_])")
@@ -151,7 +152,7 @@ class Restorer:
                 out += [text[done:place], self.one(core)]
                 done = place + len(core)
         text = "".join([*out, text[done:]])
-        return _SPACED.sub(lambda m: self.run(m[0]) if len(m[0]) <= 4 * LONGEST else m[0], text)
+        return _SPACED.sub(lambda m: self.run(m[0]) if len(m[0]) <= 4 * LONGEST and _IN_WORD.search(m[0]) else m[0], text)
 
 
 def _mask(chars: str) -> np.ndarray:
@@ -160,39 +161,69 @@ def _mask(chars: str) -> np.ndarray:
     return mask
 
 
-_ODD = _mask("0123456789@$!|+(")
 _LETTER = _mask("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") | (np.arange(256) >= 0x80)
-_SEPARATOR = _mask(".-_*~/") | (np.arange(256) >= 0x80)
 
 
-def _suspects(data: np.ndarray, words) -> np.ndarray:
-    """Words (indexes) worth a closer look: odd characters before letters, triples, single letters in a row."""
-    n = len(data)
-    if n < 4:
+def _among(codes: np.ndarray, chars: str) -> np.ndarray:
+    table = np.zeros(128, bool)
+    table[[ord(c) for c in chars if ord(c) < 128]] = True
+    found = table[np.minimum(codes, 127)] & (codes < 128)
+    for c in chars:
+        if ord(c) >= 128:
+            found |= codes == ord(c)
+    return found
+
+
+def _suspects(words, points: np.ndarray) -> np.ndarray:
+    """Words (indexes) worth a closer look: every word that ``disguised`` accepts, and the singles of spaced runs.
+
+    Works on code points; ``points`` has the code points before each byte. A word needs two letters and an odd
+    character anywhere, a triple, or two separators that each have one character on either side.
+    """
+    codes = np.frombuffer(words.data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    n, start, end = len(codes), points[words.start], points[words.end]
+    if n < 3 or not len(start):
         return np.zeros(0, np.int64)
-    lower = LOWER[data]
-    letter = _LETTER[data]
-    mark = np.zeros(n, bool)
-    mark[:-1] |= _ODD[data[:-1]] & letter[1:]
-    mark[:-2] |= letter[:-2] & (lower[:-2] == lower[1:-1]) & (lower[1:-1] == lower[2:]) & (data[:-2] < 0x80)
-    mark[:-3] |= letter[:-3] & _SEPARATOR[data[1:-2]] & ~_LETTER[data[1:-2]] & letter[2:-1] & _SEPARATOR[data[3:]]
-    if len(words.start) >= 4:
-        single = (words.end - words.start <= 2) & letter[words.start]
-        row = single[:-3] & single[1:-2] & single[2:-1] & single[3:]
-        mark[words.start[:-3][row]] = True
-    hit = np.flatnonzero(mark)
-    return np.unique(np.searchsorted(words.start, hit, "right") - 1)
+    digit = (codes >= 48) & (codes <= 57)
+    separator = _among(codes, _BETWEEN_LETTERS)
+    odd = _among(codes, "@$!|+(€") | digit
+    letter = (_among(codes, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") | (codes >= 128)) & ~separator & ~odd
+
+    def count(mask: np.ndarray) -> np.ndarray:
+        total = np.zeros(n + 1, np.int64)
+        np.cumsum(mask, out=total[1:])
+        return total[end] - total[start]
+
+    mark = odd.copy()
+    mark[:-2] |= (codes[:-2] == codes[1:-1]) & (codes[1:-1] == codes[2:])
+    mark[1:-3] |= letter[:-4] & separator[1:-3] & letter[2:-2] & separator[3:-1] & letter[4:]
+    letters = count(letter)
+    hit = (count(mark) > 0) & (letters >= 2) & (2 * letters >= count(digit))
+    # Single letters or digits, four or more in a row with one or two separators between them.
+    member = letter | digit
+    edge = np.zeros(n + 1, bool)
+    edge[points[words.text_at]] = True
+    open_before = np.concatenate(([True], ~member[:-1])) | edge[:-1]
+    open_after = np.concatenate((~member[1:], [True])) | edge[1:]
+    single = np.flatnonzero(member & open_before & open_after)
+    if len(single) >= 4:
+        between = separator | (codes == 32)
+        gap = np.diff(single)
+        near = between[single[:-1] + 1] & ((gap == 2) | (gap == 3) & between[single[1:] - 1])
+        row = single[:-3][near[:-2] & near[1:-1] & near[2:]]
+        hit[np.searchsorted(start, row, "right") - 1] = True
+    return np.flatnonzero(hit)
 
 
 def restored(column: pa.Array, restorer: Restorer) -> pa.Array:
     """Texts with disguised words restored; most texts have none and are not touched (null becomes empty)."""
     words = words_of(column)
-    suspects = _suspects(words.data, words)
+    points = np.zeros(len(words.data) + 1, np.int64)
+    np.cumsum((words.data & 0xC0) != 0x80, out=points[1:])
+    suspects = _suspects(words, points)
     if not len(suspects):
         return column.fill_null("")
     out = column.fill_null("").to_pylist()
-    points = np.zeros(len(words.data) + 1, np.int64)
-    np.cumsum((words.data & 0xC0) != 0x80, out=points[1:])
     for i in np.unique(words.text[suspects]).tolist():
         own = suspects[words.text[suspects] == i]
         base = points[words.text_at[i]]

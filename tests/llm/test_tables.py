@@ -11,6 +11,7 @@ import brute
 import duckdb
 import edge
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from factorlake.llm.bpe import decode, encode
 from factorlake.llm.mixing import divide, mix, mix_sql
 from factorlake.llm.neighbours import near_vectors
 from factorlake.llm.queries import QUERIES, SQL
-from factorlake.llm.toxicity import LETTERS, SYMBOLS, Restorer, disguised, toxicity
+from factorlake.llm.toxicity import LETTERS, SYMBOLS, Restorer, disguised, restored, toxicity
 from factorlake.llm.vocab import encoding
 from factorlake.llm.warc import capture_index, loser_tree, url_key
 
@@ -214,6 +215,22 @@ def test_spaced_words_and_clean_text(restorer):
     assert disguised("plain") is None and disguised("2024-01-02") is None and disguised("jo@mail.example.com") is None
 
 
+def test_every_disguised_word_is_restored(restorer):
+    shown = ["sh17", "whor3", "slu7", "idi07", "s\u200bc\u200bu\u200bm", "s·c·u·m", "€diot", "tr€sh", "a.1.b", "ééé", "lóóóser", "a---b", "4é", "é4é",
+             "x1", "2024-01-02", "(idi0t)", "jo@mail.example.com", "plain", "m-o-r-o-n", "ß.ß.ß", "cl0wn!"]
+    pick = random.Random(4)
+    shown += ["".join(pick.choices("abé1€.-·\u200b@(o", k=pick.randint(1, 9))) for _ in range(3000)]
+    assert sum(disguised(w) is not None for w in shown) > 500
+    for word in shown:
+        core = disguised(word)
+        want = word if core is None else word.replace(core, restorer.one(core), 1)
+        assert restored(pa.array([f"es gibt {word} hier"]), restorer)[0].as_py() == f"es gibt {want} hier", word
+    assert restored(pa.array(["rows 1 2 3 4 5 of 6"]), restorer)[0].as_py() == "rows 1 2 3 4 5 of 6"
+    texts = ["so s c u m it", None, "é. c. u. m. x", "", "ab", *shown]
+    assert restored(pa.array(texts), restorer).to_pylist()[5:] == [restored(pa.array([w]), restorer)[0].as_py() for w in shown]
+    assert restored(pa.array(texts), restorer)[0].as_py() == "so scum it"
+
+
 def test_toxicity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
