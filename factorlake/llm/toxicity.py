@@ -76,7 +76,8 @@ STANDS_FOR = {
 BETWEEN = " .-_*~/·​"
 SUBSTITUTED, SKIPPED, PARTED = 0.5, 0.3, 0.5  # channel costs (negative log)
 DROPPED_PAIR, DROPPED_RUN = 4.0, 0.1  # of a repeated character: doubles are mostly meant, longer runs are not
-LONGEST = 40  # a longer token is no disguised word
+LONGEST = 40  # a longer token, repetitions aside, is no disguised word
+CACHED = 160  # longer tokens and runs are decoded each time
 
 
 def decode_token(token: str, model: np.ndarray, spaced: bool) -> str:
@@ -85,16 +86,17 @@ def decode_token(token: str, model: np.ndarray, spaced: bool) -> str:
     A character may be itself, a letter it stands for, a repetition (dropped) or a separator (skipped); in a
     spaced run a word may also end before any letter.
     """
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # Texts are chains of (chain before, letters), so that a step costs the same wherever in the token it is.
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     before, token = "", token.lower()
     in_run = {i for m in _TRIPLE.finditer(token) for i in range(*m.span())}
     for i, c in enumerate(token):
         dropped = DROPPED_RUN if i in in_run else DROPPED_PAIR
         own = LETTERS.find(c)
         options = [(own, 0.0)] if own >= 0 else [(LETTERS.index(x), SUBSTITUTED) for x in STANDS_FOR.get(c, "")]
-        moved: dict[tuple[int, int], tuple[float, str]] = {}
+        moved: dict[tuple[int, int], tuple[float, tuple | None]] = {}
 
-        def put(state: tuple[int, int], cost: float, text: str) -> None:
+        def put(state: tuple[int, int], cost: float, text: tuple | None) -> None:
             if state not in moved or cost < moved[state][0]:
                 moved[state] = (cost, text)
 
@@ -105,19 +107,30 @@ def decode_token(token: str, model: np.ndarray, spaced: bool) -> str:
                 put((a, b), cost + SKIPPED, text)
             for letter, price in options:
                 n = letter + 1
-                put((b, n), cost + price - float(model[a, b, n]), text + LETTERS[letter])
+                put((b, n), cost + price - float(model[a, b, n]), (text, LETTERS[letter]))
                 if spaced and text:
                     end = cost + price + PARTED - float(model[a, b, 0]) - float(model[b, 0, n])
-                    put((0, n), end, text + " " + LETTERS[letter])
+                    put((0, n), end, (text, " " + LETTERS[letter]))
         states, before = moved or states, c
-    return min((cost - float(model[a, b, 0]), text) for (a, b), (cost, text) in states.items())[1]
+    ends = [(cost - float(model[a, b, 0]), text) for (a, b), (cost, text) in states.items()]
+    least = min(cost for cost, _ in ends)
+    return min(_spelled(text) for cost, text in ends if cost == least)
+
+
+def _spelled(chain: tuple | None) -> str:
+    out = []
+    while chain:
+        chain, letters = chain
+        out.append(letters)
+    return "".join(reversed(out))
 
 
 _BETWEEN_LETTERS = ".-_*~/·\u200b"
 _IN_WORD = re.compile(r"[^\W\d_]", re.UNICODE)
 _EDGES = re.compile(r"^[^\w@$!|+(]+|[^\w]+$|^([^\w])\1+")
-_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~/]{1,2}[^\W_]){3,}(?![^\W_])")
+_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~/·\u200b]{1,2}[^\W_]){3,}(?![^\W_])")
 _LEET = re.compile(r"[0-9@$!|+(€]")
+_REPEATED = re.compile(r"(.)\1+")
 _TRIPLE = re.compile(r"(.)\1\1+")
 _ADDRESS = re.compile(r"://|^www\.|\w@\w+\.\w")
 _SPLIT = re.compile(r"(?:[^\W\d_][.\-_*~/·​]){2,}[^\W\d_]")
@@ -127,7 +140,7 @@ def disguised(word: str) -> str | None:
     """The part of a word that looks like a disguised one, if any."""
     core = _EDGES.sub("", word)
     letters = len(_IN_WORD.findall(core))
-    if not 2 <= letters or not 3 <= len(core) <= LONGEST:
+    if not 2 <= letters or not 3 <= len(core) or len(core) > LONGEST and len(_REPEATED.sub(r"\1", core)) > LONGEST:
         return None
     if _ADDRESS.search(core):
         return None
@@ -136,11 +149,18 @@ def disguised(word: str) -> str | None:
 
 
 class Restorer:
-    """Restores texts with one language model; tokens are decoded once per worker."""
+    """Restores texts with one language model; all but very long tokens are decoded once per worker."""
 
     def __init__(self, model: np.ndarray):
-        self.one = lru_cache(maxsize=100_000)(lambda token: decode_token(token, model, False))
-        self.run = lru_cache(maxsize=10_000)(lambda token: decode_token(token, model, True))
+        self.model = model
+        self._one = lru_cache(maxsize=100_000)(lambda token: decode_token(token, model, False))
+        self._run = lru_cache(maxsize=10_000)(lambda token: decode_token(token, model, True))
+
+    def one(self, token: str) -> str:
+        return self._one(token) if len(token) <= CACHED else decode_token(token, self.model, False)
+
+    def run(self, token: str) -> str:
+        return self._run(token) if len(token) <= CACHED else decode_token(token, self.model, True)
 
     def text(self, text: str, at: list[tuple[int, int]]) -> str:
         """``text`` with the words at the given places restored, and with spaced runs joined."""
@@ -152,7 +172,7 @@ class Restorer:
                 out += [text[done:place], self.one(core)]
                 done = place + len(core)
         text = "".join([*out, text[done:]])
-        return _SPACED.sub(lambda m: self.run(m[0]) if len(m[0]) <= 4 * LONGEST and _IN_WORD.search(m[0]) else m[0], text)
+        return _SPACED.sub(lambda m: self.run(m[0]) if _IN_WORD.search(m[0]) else m[0], text)
 
 
 def _mask(chars: str) -> np.ndarray:
