@@ -2,7 +2,7 @@
 
 Ordinary words and names cost few tokens for their length, random strings many. A run of at least ``MIN_RUN``
 characters of ``[A-Za-z0-9+/_=-]`` with fewer than ``max_ratio`` characters per token is taken for random,
-after known digests (hex of a usual length), UUIDs, dates and times, plain numbers and plain words are excluded.
+after known digests (hex of a usual length), UUIDs, dates and times and plain numbers are excluded.
 
 Byte-wide passes over whole pieces find the runs and the texts that need the pattern with keywords; only those
 reach Python's regular expressions. Offsets are code points, ends exclusive.
@@ -66,8 +66,6 @@ def looks_random(run: str, max_ratio: float, vocabulary: str) -> bool:
     letters = sum(c.isalpha() for c in rest)
     if len(rest) < MIN_RUN or not letters:
         return False
-    if letters == len(rest) and (rest.islower() or rest[1:].islower() or rest.isupper()):
-        return False
     encode = encoding(vocabulary).encode_ordinary
     tokens = sum(len(encode(rest[i : i + ENCODE_AT_ONCE])) for i in range(0, len(rest), ENCODE_AT_ONCE))
     return len(rest) < max_ratio * tokens

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import string
 import zlib
 from collections import Counter
 
@@ -113,6 +115,16 @@ def test_random_strings_and_redaction(spark):
     assert out[:2] == ['é [SECRET]" and more', "plain [SECRET] inside"] and out[3] == texts[3] and out[5:] == [None, ""]
 
 
+def test_random_letters_of_one_case():
+    pick = random.Random(2)
+    for letters in (string.ascii_lowercase, string.ascii_uppercase):
+        keys = ["".join(pick.choices(letters, k=32)) for _ in range(200)]
+        assert sum(looks_random(k, 2.0, BYTE_BPE) for k in keys) > 190
+        assert sum(looks_random(k.capitalize(), 2.0, BYTE_BPE) for k in keys) > 190
+    for word in ("internationalization", "counterrevolutionaries", "Donaudampfschifffahrtsgesellschaft", "Verantwortungsbewusstsein"):
+        assert not looks_random(word, 2.0, BYTE_BPE)
+
+
 def test_remove_repeats(docs, rows):
     got = remove_repeats(docs, window=13, chunk_units=25).collect()
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got) == Counter(
