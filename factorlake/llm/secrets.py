@@ -4,6 +4,9 @@ Ordinary words and names cost few tokens for their length, random strings many.
 characters of ``[A-Za-z0-9+/_=-]`` with fewer than ``max_ratio`` characters per token is taken for random,
 after known digests (hex of a usual length), UUIDs, dates and times and plain numbers are excluded.
 
+If a whole run is not, its parts of that length between ``/ = - _`` are judged one by one; what a fixed pattern leaves
+of a run is a run of its own.
+
 Byte-wide passes over whole pieces find the runs and the texts that need the pattern with keywords; only those
 reach Python's regular expressions. Offsets are code points, ends exclusive.
 """
@@ -31,6 +34,7 @@ HEX_RUN, MIN_RUN = 24, 20
 DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))
 HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+", re.ASCII)
 UUID = re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.ASCII | re.IGNORECASE)
+PART = re.compile(rf"(?<![A-Za-z0-9]){UUID.pattern}(?![A-Za-z0-9])|[^=/_-]+", re.ASCII | re.IGNORECASE)
 DATED = re.compile(r"\d{4}-\d{2}-\d{2}([T_-]?\d{2}[-_]?\d{2}([-_]?\d{2})?)?", re.ASCII)
 ENCODE_AT_ONCE = 1024
 
@@ -71,6 +75,50 @@ def looks_random(run: str, max_ratio: float, vocabulary: str) -> bool:
     return len(rest) < max_ratio * tokens
 
 
+def random_spans(run: str, max_ratio: float, vocabulary: str) -> list[tuple[int, int]]:
+    """Where ``run`` looks random: all of it, or else its parts between separators, which readable parts cannot dilute.
+
+    Neighbouring parts that each cost many tokens are one part, as random strings may hold separators. A part of the
+    form of a UUID stands for itself.
+    """
+    if looks_random(run, max_ratio, vocabulary):
+        return [(0, len(run))]
+    encode = encoding(vocabulary).encode_ordinary
+    spans, start, end = [], 0, 0
+
+    def close() -> None:
+        if end - start >= MIN_RUN and looks_random(run[start:end], max_ratio, vocabulary):
+            spans.append((start, end))
+
+    for m in PART.finditer(run):
+        a, b = m.span()
+        if b - a >= MIN_RUN or UUID.fullmatch(m[0]):
+            dense = looks_random(m[0], max_ratio, vocabulary)
+        else:
+            dense = b - a < max_ratio * len(encode(m[0]))
+        if not dense:
+            close()
+            start = end = b
+        elif end > start and a - end == 1:
+            end = b
+        else:
+            close()
+            start, end = a, b
+    close()
+    return spans
+
+
+def _outside(start: int, end: int, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Parts of ``start`` to ``end`` that no span covers."""
+    for a, _, b in sorted(spans):
+        if start < a < end:
+            yield start, a
+        if a < end:
+            start = max(start, b)
+    if start < end:
+        yield start, end
+
+
 def piece_spans(texts: pa.Array, max_ratio: float, vocabulary: str) -> list[list[tuple[int, int, int]]]:
     """Spans (start, kind, end) of each text, sorted; kinds index ``KINDS``."""
     data, at = flat(texts)
@@ -109,11 +157,14 @@ def piece_spans(texts: pa.Array, max_ratio: float, vocabulary: str) -> list[list
         position = whole.find(b"AKIA", int(at[i + 1]))
     for start, end in zip(*_long_runs(_IS_HEX[data], at, HEX_RUN)):
         add(2, start, end)
+    base = [list(spans) for spans in found]
     for start, end in zip(*_long_runs(_IS_RUN[data], at, MIN_RUN)):
         i = text_of(start)
         a, b = int(points[start] - points[at[i]]), int(points[end] - points[at[i]])
-        if not any(x < b and a < y for x, _, y in found[i]) and looks_random(whole[start:end].decode(), max_ratio, vocabulary):
-            found[i].append((a, 3, b))
+        run = whole[start:end].decode()
+        for x, y in list(_outside(a, b, base[i])):
+            if y - x >= MIN_RUN:
+                found[i].extend((x + p, 3, x + q) for p, q in random_spans(run[x - a : y - a], max_ratio, vocabulary))
     for spans in found:
         spans.sort()
     return found
