@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import decode, encode
+from .merkle import audit, audit_sql
 from .mixing import mix, mix_sql
 from .near_dedup import near_duplicates
 from .neighbours import near_vectors
@@ -112,3 +113,11 @@ def op4_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op4_hierarchical_mixing"] = mix_sql("documents", MIX_LEVELS, MIX_WEIGHTS, seed=MIX_SEED)
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_merkle_manifest"] = audit_sql("documents")
