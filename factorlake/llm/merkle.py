@@ -163,10 +163,11 @@ def manifest(
     leaves = placed.join(named, placed["group"].eqNullSafe(named["of"])).select("tree", "rank", "height", "digest", "group", "kept")
     leaves = stored(leaves, "placed")
     groups = climb(leaves.select("tree", "rank", "height", "digest"), sizes.select("tree", "n", "height"), fan, levels)
-    count = groups.roots.groupBy(F.lit(0).cast("bigint").alias("tree")).agg(F.count(F.lit(1)).alias("n"))
-    whole = stored(count.withColumn("height", _height(F.col("n"), fan)), "top")
-    tops = groups.roots.select(F.lit(0).cast("bigint").alias("of"), F.col("tree").alias("rank"), "digest")
-    top = climb(tops.join(whole, tops["of"] == whole["tree"]).select("tree", "rank", "height", "digest"), whole, fan, levels)
+    count = groups.roots.count()
+    whole = docs.sparkSession.range(min(count, 1)).select(F.lit(0).cast("bigint").alias("tree"), F.lit(count).cast("bigint").alias("n"))
+    whole = whole.withColumn("height", _height(F.col("n"), fan))
+    tops = groups.roots.select(F.lit(0).cast("bigint").alias("tree"), F.col("tree").alias("rank"), _height(F.lit(count), fan).alias("height"), "digest")
+    top = climb(tops, whole, fan, levels)
     return Manifest(leaves, groups, top, fan, levels)
 
 
@@ -205,9 +206,9 @@ def descend(tree: Tree, starts: DataFrame, requests: DataFrame, fan: int, levels
         return min(max(bundle["height"] - r * levels, 0), levels)
 
     at = starts.select("tree", F.lit(0).cast("bigint").alias("rank"), "digest", "path", "n", "height", "carried")
-    for r in range(len(tree.segments) - 1, 0, -1):
 
-        def part(table: pa.Table, r: int = r) -> pa.Table:
+    def parted(r: int):
+        def part(table: pa.Table) -> pa.Table:
             (bundle,) = table.to_pylist()
             below = -(-bundle["n"] // size**r)  # nodes of this tree at the foot of the segment
             ranks = range(bundle["rank"] * size, min((bundle["rank"] + 1) * size, below)) if depth(bundle, r) else [bundle["rank"]]
@@ -225,7 +226,10 @@ def descend(tree: Tree, starts: DataFrame, requests: DataFrame, fan: int, levels
                 }
             )
 
-        at = opened(at, tree.segments[r]).groupBy("tree", "rank").applyInArrow(part, state)
+        return part
+
+    for r in range(len(tree.segments) - 1, 0, -1):
+        at = opened(at, tree.segments[r]).groupBy("tree", "rank").applyInArrow(parted(r), state)
 
     def meet(asked: pa.Table, table: pa.Table) -> pa.Table:
         if not asked.num_rows:
