@@ -16,6 +16,7 @@ from .quality import quality
 from .secrets import secret_spans, span_digests
 from .shards import ring_shards
 from .substrings import remove_repeats
+from .topk import top_k, top_k_sql
 from .toxicity import toxicity
 from .warc import capture_index
 
@@ -121,3 +122,11 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op13_merkle_manifest"] = audit_sql("documents")
+
+
+@query
+def op12_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 50 == 0, k=5)
+
+
+SQL["op12_block_top_k"] = top_k_sql("embeddings", "vec_id % 50 = 0")
