@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .align import alignment_counts
 from .bpe import decode, encode
 from .merkle import audit, audit_sql
 from .mixing import mix, mix_sql
@@ -130,3 +131,8 @@ def op12_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op12_block_top_k"] = top_k_sql("embeddings", "vec_id % 50 = 0")
+
+
+@query
+def op11_token_byte_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_counts(table(spark, sf_dir, "documents"))

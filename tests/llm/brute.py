@@ -114,3 +114,76 @@ def remove_repeats(rows: list[tuple[int | None, str | None]], size: int = 13) ->
                 gone.update(range(k, k + size))
         out.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
     return out
+
+
+def alignment(rows: list[tuple[int | None, str | None]]) -> list[tuple]:
+    """Per row: id, n_a, n_b, n_groups, n_links, n_best, count_sum, group text; token by token."""
+    from collections import Counter
+
+    import public_tokenizers as P
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    decode = {}
+    for byte in range(256):  # a single byte is encoded as its own entry
+        plain = 33 <= byte <= 126 or 161 <= byte <= 172 or byte >= 174
+        decode[chr(byte) if plain else chr(256 + len([c for c in decode if ord(c) > 255]))] = byte
+
+    def spans(tokens: list[bytes]) -> list[tuple[int, int]]:
+        out, at = [], 0
+        for t in tokens:
+            out.append((at, at + len(t)))
+            at += len(t)
+        return out
+
+    def piece(i: int) -> bytes:
+        p = b.id_to_piece(i)
+        return bytes([int(p[1:-1], 16)]) if p.startswith("<0x") else p.replace("▁", " ").encode()
+
+    found, pairs = [], Counter()
+    for id, text in rows:
+        ia = a.encode(" " + text, add_special_tokens=False).ids if text else []
+        ib = b.encode(text) if text else []
+        ta = [bytes(decode[c] for c in a.id_to_token(i)) for i in ia]
+        tb = [piece(i) for i in ib]
+        whole = (" " + (text or "")).encode()
+        if not text or b"".join(ta) != whole or b"".join(tb) != whole:
+            ia, ib, ta, tb = [], [], [], []
+        sa, sb = spans(ta), spans(tb)
+        links, j = [], 0
+        for i, (s, e) in enumerate(sa):
+            while j and sb[j][0] > s:
+                j -= 1
+            while sb[j][1] <= s:
+                j += 1
+            while j < len(sb) and sb[j][0] < e:
+                links.append((ia[i], ib[j]))
+                j += 1
+            j -= 1
+        ends = sorted({e for _, e in sa} & {e for _, e in sb})
+        groups, s = [], 0
+        for e in ends:
+            groups.append((s, e))
+            s = e
+        names, pa, pb = [], 0, 0
+        for _, e in groups:
+            one, two = [], []
+            while pa < len(sa) and sa[pa][1] <= e:
+                one.append(str(ia[pa]))
+                pa += 1
+            while pb < len(sb) and sb[pb][1] <= e:
+                two.append(str(ib[pb]))
+                pb += 1
+            names.append(",".join(one) + "|" + ",".join(two))
+        pairs.update(links)
+        found.append((id, len(ia), len(ib), len(groups), links, ";".join(names)))
+    most: Counter = Counter()
+    for (_, y), n in pairs.items():
+        most[y] = max(most[y], n)
+    return [
+        (id, na, nb, ng, len(links), sum(pairs[p] == most[p[1]] for p in links), sum(pairs[p] for p in links), names)
+        for id, na, nb, ng, links, names in found
+    ]
