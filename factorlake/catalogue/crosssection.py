@@ -21,6 +21,7 @@ from ..operators.joins import (
     classification_asof,
     hierarchy_map,
     industry_l1,
+    industry_spans,
     join_industry,
 )
 from ..operators.skew import durable, shared_dir
@@ -42,10 +43,26 @@ def classification(spark, sf):
 
 
 def industry(spark, sf):
-    """The L1 dimension, written once."""
+    """The latest L1 industry of each code, written once."""
     return durable(industry_l1(classification(spark, sf)))
 
 
+def spans(spark, sf):
+    """The L1 industries with the dates between which they hold, written once."""
+    return durable(industry_spans(classification(spark, sf)))
+
+
+@query(
+    "industry_spans",
+    f"""{CL}, v AS (SELECT *, lag(sw_l1_code) OVER (PARTITION BY ts_code ORDER BY join_date) AS old FROM classification)
+    SELECT ts_code, sw_l1_code, sw_l1_name, join_date AS valid_from, (SELECT min(w.join_date) FROM v w WHERE w.ts_code = v.ts_code
+      AND w.join_date > v.join_date AND w.sw_l1_code <> v.sw_l1_code) AS valid_to
+    FROM v WHERE old IS DISTINCT FROM sw_l1_code""",
+)
+def spans_with_names(spark, sf):
+    return industry_spans(classification(spark, sf), include_names=True)
+
+
 @query("hierarchy_map", f"{views('levels')} SELECT * FROM levels")
 def levels(spark, sf):
     return hierarchy_map(*V.industry_levels(spark, sf))
@@ -164,6 +181,17 @@ INDUSTRY_FUND = f"{views('statements', 'industry')}, {FUND}, fi AS (SELECT f.*,
 _SSTAGE, _SCOLS = _zscore_sql("fi", "sw_l1_code, notice_date", SOME, False, 5)
 
 
+@query(
+    "join_industry_in_force",
+    f"""{views('statements', 'classification')} SELECT s.ts_code, s.notice_date, c.sw_l1_code, {nums({'net_profit': 's.net_profit'}, 4)}
+    FROM statements s ASOF JOIN classification c ON c.ts_code = s.ts_code AND s.notice_date >= c.join_date""",
+    digits=4,
+)
+def in_force(spark, sf):
+    """Each report with the industry of its own day; reports from before the first classification drop out."""
+    return join_industry(V.statements(spark, sf), spans(spark, sf)).select("ts_code", "notice_date", "sw_l1_code", "net_profit")
+
+
 @query("sector_normalize", f"{INDUSTRY_FUND}, {_SSTAGE} SELECT ts_code, notice_date, sw_l1_code, {_SCOLS} FROM z2", digits=4)
 def sector(spark, sf):
     df = join_industry(fundamentals(spark, sf), industry(spark, sf))
@@ -173,8 +201,10 @@ def sector(spark, sf):
 
 
 DEFAULTS = list(DEFAULT_SECTOR_FACTORS)
-FUND_TTM = f"""{views('statements', 'industry')}, {FUND}, {TTM_STAGES},
-    ft AS (SELECT f.*, ttm.ttm_roe, ttm.ttm_cfo_yield, sw_l1_code FROM f JOIN industry USING (ts_code) LEFT JOIN ttm
+# The industry of a report: the last one joined on or before the day of its notice.
+FUND_TTM = f"""{views('statements', 'classification')}, {FUND}, {TTM_STAGES},
+    ft AS (SELECT f.*, ttm.ttm_roe, ttm.ttm_cfo_yield, sw_l1_code FROM f
+      ASOF JOIN classification c ON c.ts_code = f.ts_code AND f.notice_date >= c.join_date LEFT JOIN ttm
       ON ttm.ts_code = f.ts_code AND ttm.report_date = (date_trunc('quarter', f.notice_date) - INTERVAL 9 MONTH)::DATE)"""
 
 
@@ -194,7 +224,7 @@ def _neutral(name, by_sql, by):
 
     @query(name, f"{FUND_TTM}, {stage} SELECT ts_code, notice_date, sw_l1_code, {cols} FROM z2", digits=4)
     def run(spark, sf):
-        out = industry_neutral(fundamentals_ttm(spark, sf), industry(spark, sf), by=by)
+        out = industry_neutral(fundamentals_ttm(spark, sf), spans(spark, sf), by=by)
         return out.select("ts_code", "notice_date", "sw_l1_code", *[c for c in out.columns if c.startswith("cs_")])
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import (
     asof_backward,
     join_macro_left,
+    membership_spans,
     suspended_filter,
     tradable_universe,
     universe_filter,
@@ -19,7 +20,7 @@ from ..operators.skew import durable, shared_dir
 from ..plans.panel import fundamental_features, market_features, panel_dataset, panel_stack
 from ..sources.tables import write_table
 from . import views as V
-from .crosssection import FUND, _zscore_sql, industry
+from .crosssection import FUND, _zscore_sql, spans
 from .macro import FLOW_STAGES, margin, northbound
 from .market import ALL_STAGES, BARS
 from .registry import clip_sql, nums, query, views
@@ -63,13 +64,52 @@ MEMBERS = "members_in AS (SELECT lpad(s_suppkey::VARCHAR, 6, '0') AS ts_code FRO
 
 
 @query(
-    "universe_filter",
+    "universe_filter_any_date",
     f"{BARS}, {MEMBERS} SELECT ts_code, date, {nums(['close'])} FROM bars WHERE ts_code IN (SELECT ts_code FROM members_in)",
 )
-def universe(spark, sf):
+def universe_of_codes(spark, sf):
     return universe_filter(V.bars(spark, sf), members(spark, sf)).select("ts_code", "date", "close")
 
 
+def snapshots(spark, sf):
+    """Constituents at the start of each quarter: suppliers that shipped no less than the average in the one before."""
+    shipped = (
+        V.table(spark, sf, "lineitem")
+        .groupBy(F.trunc(F.col("l_shipdate").cast("date"), "quarter").alias("qs"), V._code("l_suppkey").alias("ts_code"))
+        .agg(F.sum(F.col("l_quantity").cast("bigint")).alias("q"))
+    )
+    totals = shipped.groupBy("qs").agg(F.sum("q").alias("all_q"), F.count(F.lit(1)).alias("n"))
+    return shipped.join(totals, "qs").where("q * n >= all_q").select(F.add_months("qs", 3).alias("date"), "ts_code")
+
+
+SNAPSHOTS = """snapshots AS (SELECT (qs + INTERVAL 3 MONTH)::DATE AS date, ts_code FROM (
+      SELECT date_trunc('quarter', l_shipdate)::DATE AS qs, lpad(l_suppkey::VARCHAR, 6, '0') AS ts_code, sum(l_quantity::BIGINT) AS q
+      FROM lineitem GROUP BY 1, 2) QUALIFY q * count(*) OVER (PARTITION BY qs) >= sum(q) OVER (PARTITION BY qs)),
+    lists AS (SELECT DISTINCT date AS listed FROM snapshots)"""
+
+
+def listed_rows(src: str) -> str:
+    """Rows of ``src`` whose code is on the last list before their day or on it."""
+    return f"""(SELECT r.* FROM {src} r ASOF JOIN lists l ON r.date >= l.listed
+      WHERE EXISTS (SELECT 1 FROM snapshots s WHERE s.ts_code = r.ts_code AND s.date = l.listed))"""
+
+
+@query("universe_filter", f"{BARS}, {SNAPSHOTS} SELECT ts_code, date, {nums(['close'])} FROM {listed_rows('bars')}")
+def universe(spark, sf):
+    """Members leave and return with every quarterly list."""
+    return universe_filter(V.bars(spark, sf), membership_spans(snapshots(spark, sf))).select("ts_code", "date", "close")
+
+
+@query(
+    "membership_spans",
+    f"""WITH {SNAPSHOTS}, n AS (SELECT listed, row_number() OVER (ORDER BY listed) AS no FROM lists),
+    i AS (SELECT s.ts_code, s.date, no, no - row_number() OVER (PARTITION BY s.ts_code ORDER BY no) AS island FROM snapshots s JOIN n ON listed = date)
+    SELECT ts_code, min(date) AS valid_from, (SELECT listed FROM n WHERE n.no = max(i.no) + 1) AS valid_to FROM i GROUP BY ts_code, island""",
+)
+def spans_of_members(spark, sf):
+    return membership_spans(snapshots(spark, sf))
+
+
 LISTED = """WITH listed AS (SELECT lpad(c_custkey::VARCHAR, 6, '0') AS ts_code, CASE WHEN c_acctbal < 0 THEN '*ST ' ELSE '' END || c_mktsegment AS name, min(o_orderdate)::DATE AS publish_date,
       max(o_orderdate)::DATE AS off_date FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2)"""
 
@@ -143,13 +183,13 @@ _PANEL_Z = [f"cs_{c}_{s}" for c in FUND_COLS for s in ("win", "z")]
 
 @query(
     "panel_dataset",
-    f"""{views('bars', 'statements', 'northbound', 'industry')}, {MEMBERS}, {_MARKET}, {FUND}, {FLOW_STAGES},
-    fi AS (SELECT f.*, sw_l1_code FROM f JOIN industry USING (ts_code) WHERE notice_date <= DATE '{END}'),
+    f"""{views('bars', 'statements', 'northbound', 'classification')}, {SNAPSHOTS}, {_MARKET}, {FUND}, {FLOW_STAGES},
+    fi AS (SELECT f.*, sw_l1_code FROM f ASOF JOIN classification c ON c.ts_code = f.ts_code AND f.notice_date >= c.join_date
+      WHERE notice_date <= DATE '{END}'),
     {_ZSTAGE}, z AS (SELECT ts_code, name, notice_date, sw_l1_code, {', '.join(FUND_COLS)}, {_ZCOLS} FROM z2)
     SELECT m.ts_code, m.date, z.name, z.notice_date, z.sw_l1_code, {nums({c: f'm.{c}' for c in MARKET_COLS} |
     {c: f'z.{c}' for c in FUND_COLS} | {c: f'n.{c}' for c in MACRO_COLS}, 5)}, {nums({c: f'z.{c}' for c in _PANEL_Z}, 5)}
-    FROM (SELECT * FROM mk WHERE isodow(date) = 5 AND date BETWEEN DATE '{START}' AND DATE '{END}'
-          AND ts_code IN (SELECT ts_code FROM members_in)) m
+    FROM (SELECT * FROM {listed_rows('mk')} WHERE isodow(date) = 5 AND date BETWEEN DATE '{START}' AND DATE '{END}') m
     ASOF LEFT JOIN z ON m.ts_code = z.ts_code AND m.date >= z.notice_date LEFT JOIN f3 n ON n.date = m.date""",
     digits=5,
 )
@@ -159,8 +199,8 @@ def dataset(spark, sf, min_group_size=5):
         market,
         fund,
         flow,
-        industry(spark, sf),
-        members(spark, sf),
+        spans(spark, sf),
+        membership_spans(snapshots(spark, sf)),
         factors=FUND_COLS,
         start=START,
         end=END,

@@ -181,6 +181,7 @@ def industry_neutral(
     factors: Sequence[str] = DEFAULT_SECTOR_FACTORS,
     *,
     by: Sequence[str] = (),
+    at: str = "notice_date",
     winsorize: bool = True,
     limits: tuple[float, float] = (0.01, 0.99),
     min_group_size: int = 5,
@@ -189,12 +190,12 @@ def industry_neutral(
     """Attach the L1 industry and normalise within ``[sw_l1_code, *by]``.
 
     Pass the report period in ``by``: pooling all dates (``by=()``) lets later reports shift earlier
-    scores.
+    scores. Pass the industry with its validity spans (``industry_spans``): the one in force on the date ``at`` counts.
     """
     if "ts_code" not in df.columns:
         raise ValueError("missing column ts_code")
     return sector_normalize(
-        join_industry(df, industry),
+        join_industry(df, industry, at=at),
         ["sw_l1_code", *by],
         factors,
         winsorize=winsorize,

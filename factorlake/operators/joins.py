@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import not_special_treatment
@@ -98,9 +98,70 @@ def join_dates(frames: Sequence[DataFrame], on: str = "date") -> DataFrame:
     return reduce(lambda a, b: a.join(b, on), frames)
 
 
-def join_industry(df: DataFrame, industry: DataFrame, on: str = "ts_code") -> DataFrame:
-    """Attach the industry of each code; unclassified codes drop out."""
-    return df.join(industry, on)
+# ---- what is in force at a date ----------------------------------------------------------------
+
+SPAN = ("valid_from", "valid_to")
+
+
+def version_spans(versions: DataFrame, by: Sequence[str], since: str, values: Sequence[str]) -> DataFrame:
+    """Validity of each version of a dimension: ``by``, ``values``, ``valid_from`` and ``valid_to`` (exclusive, null for
+    the version in force).
+
+    ``versions`` has one row per ``by`` and ``since``. A version that repeats the values before it extends them. Versions
+    without a key or a date are never in force. A key has one version a day at most, so the calendar bounds its window.
+    """
+    w = Window.partitionBy(*by).orderBy("valid_from")
+    value = F.struct(*values)
+    rows = versions.where(F.col(since).isNotNull() & reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in by]))
+    rows = rows.select(*by, *values, F.col(since).alias("valid_from"))
+    changed = rows.withColumn("_before", F.lag(value).over(w)).where(~F.col("_before").eqNullSafe(value)).drop("_before")
+    return changed.withColumn("valid_to", F.lead("valid_from").over(w))
+
+
+def membership_spans(
+    snapshots: DataFrame, on: str = "ts_code", date_col: str = "date", by: Sequence[str] = ()
+) -> DataFrame:
+    """When each code belonged: ``by``, ``on``, ``valid_from`` and ``valid_to`` (exclusive, null while it still does).
+
+    ``snapshots`` lists all members at each of its dates. A list holds until the next one; before the first there are no
+    members. A code that leaves and returns has several spans. Dates are numbered once (they are as few as the
+    days of a calendar); consecutive numbers of a code are one island, since number and rank grow together.
+    """
+    by = list(by)
+    rows = snapshots.where(F.col(on).isNotNull() & F.col(date_col).isNotNull()).select(*by, on, F.col(date_col).alias("_day"))
+    along = Window.partitionBy(*by or [F.lit(0)]).orderBy("_day")
+    days = rows.select(*by, "_day").distinct().withColumns({"_no": F.row_number().over(along), "_next": F.lead("_day").over(along)})
+    numbered = rows.distinct().join(days, [*by, "_day"])
+    island = F.col("_no") - F.row_number().over(Window.partitionBy(*by, on).orderBy("_no"))
+    spans = numbered.withColumn("_island", island).groupBy(*by, on, "_island")
+    return spans.agg(F.min("_day").alias("valid_from"), F.max_by("_next", "_no").alias("valid_to")).drop("_island")
+
+
+def _in_force(df: DataFrame, spans: DataFrame, on: str, at: str) -> tuple[DataFrame, Column]:
+    """``spans`` under names of their own, and the condition that one of them holds for a row."""
+    named = spans.withColumnsRenamed({c: f"_in_force_{c}" for c in (on, *SPAN)})
+    code, since, until = (F.col(f"_in_force_{c}") for c in (on, *SPAN))
+    return named, (df[on] == code) & (df[at] >= since) & (until.isNull() | (df[at] < until))
+
+
+def join_in_force(df: DataFrame, spans: DataFrame, on: str = "ts_code", at: str = "date") -> DataFrame:
+    """Attach the version of a dimension (see ``version_spans``) that is in force on each row's date.
+
+    Rows without one drop out. The join is an equality on the key with the dates as a further condition, so a small
+    dimension is broadcast and the rows are not shuffled. A key's versions should be few; use ``asof_backward`` on
+    a dimension whose keys change daily.
+    """
+    named, holds = _in_force(df, spans, on, at)
+    return df.join(named, holds).drop(*[f"_in_force_{c}" for c in (on, *SPAN)])
+
+
+def join_industry(df: DataFrame, industry: DataFrame, on: str = "ts_code", at: str = "notice_date") -> DataFrame:
+    """Attach the industry of each code; unclassified codes drop out.
+
+    An ``industry`` with validity spans (see ``industry_spans``) is matched on the date ``at`` of each row, so that
+    a code that moved keeps the industry it had. Otherwise it holds for all dates.
+    """
+    return join_in_force(df, industry, on, at) if set(SPAN) <= set(industry.columns) else df.join(industry, on)
 
 
 def hierarchy_map(l1: DataFrame, l2: DataFrame, l3: DataFrame) -> DataFrame:
@@ -146,9 +207,15 @@ def hierarchy_map(l1: DataFrame, l2: DataFrame, l3: DataFrame) -> DataFrame:
     )
 
 
-def universe_filter(df: DataFrame, members: DataFrame, on: str = "ts_code") -> DataFrame:
-    """Rows of the member codes only."""
-    return df.join(members.select(on), on, "left_semi")
+def universe_filter(df: DataFrame, members: DataFrame, on: str = "ts_code", at: str = "date") -> DataFrame:
+    """Rows of the member codes only.
+
+    ``members`` with validity spans (see ``membership_spans``) keep a row if its code is a member on its date ``at``.
+    """
+    if not set(SPAN) <= set(members.columns):
+        return df.join(members.select(on), on, "left_semi")
+    named, holds = _in_force(df, members.select(on, *SPAN), on, at)
+    return df.join(named, holds, "left_semi")
 
 
 def tradable_universe(
@@ -201,3 +268,13 @@ def industry_l1(classification: DataFrame, *, as_of: date | None = None, include
         else dedupe_last(classification, ["ts_code"], ["join_date", "sw_l3_code"])
     )
     return latest.select("ts_code", "sw_l1_code", *(["sw_l1_name"] if include_names else []))
+
+
+def industry_spans(classification: DataFrame, *, include_names: bool = False) -> DataFrame:
+    """``ts_code -> sw_l1_code [, sw_l1_name]`` with the dates from and until which it holds.
+
+    A code is classified from its first join date on. Moves inside an L1 industry do not end a span.
+    """
+    values = ["sw_l1_code", *(["sw_l1_name"] if include_names else [])]
+    rows = dedupe_last(classification, ["ts_code", "join_date"], ["sw_l3_code"])
+    return version_spans(rows, ["ts_code"], "join_date", values)

@@ -73,6 +73,8 @@ def panel_dataset(
     gives the same rows as selecting them afterwards on a fifth of the data. Normalisation runs within
     industry and ``period``; ``period=None`` pools all reports up to ``end``. Reports before ``start`` take part,
     since the one in force on the first dates is older than they are.
+    Nothing looks ahead if ``industry`` and ``members`` come with validity spans (``industry_spans``,
+    ``membership_spans``): a report is normalised in the industry of its day, a code is in the panel while it is a member.
     """
     span = F.col("date").between(F.lit(start), F.lit(end))
     rows = weekly_sample(universe_filter(market.where(span), members))

@@ -328,3 +328,82 @@ def test_tables(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(year" in plan
     tables.write_predictions(stored, str(tmp_path / "csv"), date(2020, 1, 1), date(2020, 12, 31), fmt="csv")
     assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 1
+
+
+# ---- what is in force at a date ----------------------------------------------------------------
+
+
+def test_industry_in_force(spark):
+    from factorlake.operators.joins import industry_spans, join_industry
+
+    d = date
+    rows = [
+        ("a", d(2000, 1, 10), "L1", "x1"), ("a", d(2000, 2, 10), "L1", "x2"), ("a", d(2001, 1, 1), "L2", "y1"), ("a", d(2002, 1, 1), "L1", "x1"),
+        ("b", d(2000, 5, 1), "L2", "y1"), ("c", None, "L2", "y1"), (None, d(2000, 1, 1), "L1", "x1"),
+    ]
+    cls = spark.createDataFrame(rows, "ts_code string, join_date date, sw_l1_code string, sw_l3_code string")
+    spans = {(r["ts_code"], r["sw_l1_code"], r["valid_from"], r["valid_to"]) for r in industry_spans(cls).collect()}
+    assert spans == {
+        ("a", "L1", d(2000, 1, 10), d(2001, 1, 1)), ("a", "L2", d(2001, 1, 1), d(2002, 1, 1)), ("a", "L1", d(2002, 1, 1), None),
+        ("b", "L2", d(2000, 5, 1), None),
+    }
+    days = [("a", d(2000, 1, 9)), ("a", d(2000, 1, 10)), ("a", d(2000, 12, 31)), ("a", d(2001, 1, 1)), ("a", d(2030, 1, 1)), ("b", None), ("c", d(2030, 1, 1)), (None, d(2030, 1, 1))]
+    reports = spark.createDataFrame(days, "ts_code string, notice_date date")
+    got = {tuple(r) for r in join_industry(reports, industry_spans(cls)).collect()}
+    assert got == {("a", d(2000, 1, 10), "L1"), ("a", d(2000, 12, 31), "L1"), ("a", d(2001, 1, 1), "L2"), ("a", d(2030, 1, 1), "L1")}
+
+
+def test_membership_by_date(spark):
+    from factorlake.operators.joins import membership_spans, universe_filter
+
+    d = date
+    lists = {d(2000, 1, 1): "ab", d(2000, 4, 1): "b", d(2000, 7, 1): "abc", d(2000, 10, 1): "ac"}
+    rows = [(day, code) for day, codes in lists.items() for code in codes] + [(d(2000, 1, 1), "a"), (d(2000, 1, 1), None)]
+    spans = membership_spans(spark.createDataFrame(rows, "date date, ts_code string"))
+    assert {tuple(r) for r in spans.collect()} == {
+        ("a", d(2000, 1, 1), d(2000, 4, 1)), ("a", d(2000, 7, 1), None), ("b", d(2000, 1, 1), d(2000, 10, 1)), ("c", d(2000, 7, 1), None),
+    }
+    asked = [(c, day) for c in "abc" for day in (d(1999, 12, 31), d(2000, 1, 1), d(2000, 3, 31), d(2000, 4, 1), d(2000, 9, 30), d(2000, 10, 1), None)]
+    bars = spark.createDataFrame(asked, "ts_code string, date date")
+    got = {tuple(r) for r in universe_filter(bars, spans).collect()}
+    held = lambda day: next((lists[s] for s in sorted(lists, reverse=True) if s <= day), "")
+    assert got == {(c, day) for c, day in asked if day and c in held(day)}
+
+
+def test_spans_of_several_indexes(spark):
+    from factorlake.operators.joins import membership_spans
+
+    rows = [("i", 1, "a"), ("i", 2, "a"), ("j", 1, "a"), ("j", 3, "b")]
+    df = spark.createDataFrame(rows, "idx string, n int, ts_code string").selectExpr("idx", "ts_code", "date_add(date'2000-01-01', n) AS date")
+    got = {(r["idx"], r["ts_code"], r["valid_from"].day, r["valid_to"] and r["valid_to"].day) for r in membership_spans(df, by=["idx"]).collect()}
+    assert got == {("i", "a", 2, None), ("j", "a", 2, 4), ("j", "b", 4, None)}
+
+
+def test_the_future_changes_no_past_row_of_the_panel(spark):
+    """Classification, lists, reports and bars that come in later leave the panel as it was."""
+    from factorlake.catalogue import panel as P
+    from factorlake.catalogue import views as V
+    from factorlake.catalogue.crosssection import classification
+    from factorlake.operators.joins import industry_spans, membership_spans
+    from factorlake.plans.panel import fundamental_features, market_features, panel_dataset
+    from factorlake.operators.skew import durable
+
+    sf, cut = "/root/testdata/sf0.001", date(1998, 6, 30)
+    bars, reports = durable(V.bars(spark, sf)), durable(V.statements(spark, sf))
+    kinds, lists = durable(classification(spark, sf)), durable(P.snapshots(spark, sf))
+    macro = bars.groupBy("date").agg(F.count("*").alias("n_bars"))
+
+    def panel(until):
+        keep = lambda df, c: df.where(F.col(c) <= F.lit(until))
+        market = market_features(keep(bars, "date")).select("ts_code", "date", "roc_4", "vola_20", "ret_1q")
+        return panel_dataset(
+            market, fundamental_features(keep(reports, "notice_date")).select("ts_code", "name", "notice_date", "roe"),
+            keep(macro, "date"), industry_spans(keep(kinds, "join_date")), membership_spans(keep(lists, "date")),
+            factors=["roe"], start=date(1996, 1, 1), end=date(2000, 12, 31), label="ret_1q", min_group_size=1,
+        ).where(F.col("date") <= F.lit(cut)).drop("ret_1q")
+
+    early, late = panel(cut).collect(), panel(date(2100, 1, 1)).collect()
+    assert len(early) > 20 and sum(r["cs_roe_z"] is not None for r in early) > 5
+    assert {r["sw_l1_code"] for r in early} - {None}
+    key = lambda rows: sorted(map(str, rows))
+    assert key(early) == key(late)
