@@ -233,22 +233,76 @@ def ndcg(spark, sf):
     return evaluate.ndcg_at_k(df, label="label_ret_1m")
 
 
-@query("fit_walk_forward")
+_WINDOWS = f"""{DAYS}, fo AS (SELECT unnest([0, 1, 2]) AS fold), b AS (SELECT fold, fold * (n // 4) AS fr, (fold + 1) * (n // 4) AS lo,
+      (fold + 2) * (n // 4) AS hi FROM fo, (SELECT max(n) AS n FROM ds)),
+    c AS (SELECT b.*, date - {GAP} AS cutoff FROM b JOIN ds ON i = lo),
+    r AS (SELECT fold::INT AS fold, CASE WHEN i >= lo THEN 'test' WHEN date < cutoff THEN 'train' END AS role, date
+      FROM ds JOIN c ON i >= fr AND i < hi),
+    tr AS (SELECT fold, role, lp.* FROM r JOIN lp USING (date) WHERE ret_1m IS NOT NULL AND NOT isnan(ret_1m) AND role IS NOT NULL)"""
+
+
+def _ridge_sql(features: list[str], label: str, alpha: float) -> str:
+    """Normal equations per fold, solved by Gaussian elimination: a stage per unknown, then from the last one back."""
+    x = ["1", *[f"coalesce(CASE WHEN NOT isnan({c}) THEN {c} END, 0)" for c in features]]
+    p = range(len(x))
+    sums = [f"sum({x[i]} * {x[j]}){f' + {alpha}::DOUBLE' if i == j > 0 else ''} AS a{i}_{j}" for i in p for j in p]
+    sums += [f"sum({x[i]} * {label}) AS b{i}" for i in p]
+    stages = [f"e0 AS (SELECT fold, count(*) AS n_train, {', '.join(sums)} FROM tr WHERE role = 'train' GROUP BY fold)"]
+    for k in p[:-1]:
+        cols = ["fold", "n_train"]
+        for i in p:
+            f = f"a{i}_{k} / a{k}_{k}"
+            cols += [f"a{i}_{j} - {f} * a{k}_{j} AS a{i}_{j}" if i > k else f"a{i}_{j}" for j in p]
+            cols.append(f"b{i} - {f} * b{k} AS b{i}" if i > k else f"b{i}")
+        stages.append(f"e{k + 1} AS (SELECT {', '.join(cols)} FROM e{k})")
+    last = f"e{len(x) - 1}"
+    for i in reversed(p):
+        known = "".join(f" - a{i}_{j} * w{j}" for j in p if j > i)
+        stages.append(f"s{i} AS (SELECT *, (b{i}{known}) / a{i}_{i} AS w{i} FROM {last})")
+        last = f"s{i}"
+    predicted = " + ".join(f"w{i} * {x[i]}" for i in p)
+    stages.append(f"""er AS (SELECT fold, count(*) AS n_test, sqrt(avg(miss * miss)) AS rmse, avg(abs(miss)) AS mae FROM (
+        SELECT fold, {predicted} - {label} AS miss FROM tr JOIN {last} USING (fold) WHERE role = 'test') GROUP BY fold)""")
+    named = {"rmse": "rmse", "mae": "mae", "intercept": "w0"} | {f"w_{c}": f"w{i + 1}" for i, c in enumerate(features)}
+    return f"{', '.join(stages)} SELECT fold, n_train, n_test, {nums(named)} FROM {last} JOIN er USING (fold)"
+
+
+def _windows(spark, sf):
+    panel = stored_panel(spark, sf)
+    return panel, splits.walk_forward_spans(panel, 3, horizon_days=HORIZON, embargo_days=EMBARGO)
+
+
+@query("fit_walk_forward", f"{BASE}, {_WINDOWS}, {_ridge_sql(FEATURES, 'ret_1m', 1.0)}")
 def fit(spark, sf):
-    """Gradient-boosted trees on three walk-forward windows; no SQL counterpart."""
-    tagged = splits.walk_forward(stored_panel(spark, sf), 3, horizon_days=HORIZON, embargo_days=EMBARGO)
-    return evaluate.fit_walk_forward(tagged, FEATURES, "ret_1m")
+    """Ridge models of three walk-forward windows from one aggregate of moments per date."""
+    panel, windows = _windows(spark, sf)
+    return evaluate.fit_walk_forward(panel, windows, FEATURES, "ret_1m")
+
+
+@query("fit_walk_forward_trees")
+def fit_trees(spark, sf):
+    """Gradient-boosted trees on the same windows; no SQL counterpart."""
+    panel, windows = _windows(spark, sf)
+    return evaluate.fit_trees_walk_forward(windows.expand(panel), FEATURES, "ret_1m")
+
+
+@query(
+    "fold_memberships",
+    f"""{BASE}, {_WINDOWS}, ro AS (SELECT ts_code, date, string_agg(fold || role, ',' ORDER BY fold) AS folds
+      FROM (SELECT * FROM r WHERE role IS NOT NULL) JOIN lp USING (date) GROUP BY ts_code, date)
+    SELECT lp.ts_code, lp.date, coalesce(folds, '') AS folds FROM lp LEFT JOIN ro ON ro.ts_code = lp.ts_code AND ro.date = lp.date""",
+)
+def memberships(spark, sf):
+    """Every row once, with the folds it belongs to."""
+    panel, windows = _windows(spark, sf)
+    text = F.array_join(F.transform("folds", lambda m: F.concat(m["fold"].cast("string"), m["role"])), ",")
+    return windows.tag(panel).select("ts_code", "date", text.alias("folds"))
 
 
 @query(
     "fold_sizes",
-    f"""{BASE}, {DAYS}, fo AS (SELECT unnest([0, 1, 2]) AS fold), b AS (SELECT fold, fold * (n // 4) AS fr, (fold + 1) * (n // 4) AS lo,
-      (fold + 2) * (n // 4) AS hi FROM fo, (SELECT max(n) AS n FROM ds)),
-    c AS (SELECT b.*, date - {GAP} AS cutoff FROM b JOIN ds ON i = lo),
-    r AS (SELECT fold::INT AS fold, CASE WHEN i >= lo THEN 'test' WHEN date < cutoff THEN 'train' END AS role, date
-      FROM ds JOIN c ON i >= fr AND i < hi)
-    SELECT fold, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'test') AS n_test
-    FROM r JOIN lp USING (date) WHERE ret_1m IS NOT NULL AND NOT isnan(ret_1m) GROUP BY fold""",
+    f"""{BASE}, {_WINDOWS} SELECT fold, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'test') AS n_test
+    FROM tr GROUP BY fold""",
 )
 def sizes(spark, sf):
     """Rows that each window of ``fit_walk_forward`` trains and tests on."""

@@ -1,15 +1,16 @@
 """Time-ordered train/test splits without leakage.
 
-Fold bounds are computed on the distinct dates (bounded by the calendar) and joined to the data as a
-small date table; no data row passes through the driver.
+Fold bounds are computed on the distinct dates (bounded by the calendar). A fold is a pair of date intervals, so the
+folds of a row follow from its date; no data row passes through the driver or a join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,49 +52,73 @@ def _rows_per_day(df: DataFrame, date_col: str, label_end_col: str | None) -> Da
     return durable(rows.agg(F.count(F.lit(1)).alias("_rows")))
 
 
-def _tagged(
-    df: DataFrame,
+@dataclass(frozen=True)
+class Fold:
+    """Dates of one fold: train on ``[train_from, cutoff)``, test on ``[test_from, test_to]``."""
+
+    fold: int
+    train_from: date
+    cutoff: date
+    test_from: date
+    test_to: date
+
+
+@dataclass(frozen=True)
+class Folds:
+    """Folds as date intervals. What a row belongs to is an expression of its date, so rows are neither joined nor copied."""
+
+    spans: tuple[Fold, ...]
+    date_col: str = "date"
+    label_end_col: str | None = None
+
+    def in_train(self, f: Fold) -> Column:
+        hit = (F.col(self.date_col) >= F.lit(f.train_from)) & (F.col(self.date_col) < F.lit(f.cutoff))
+        return hit & (F.col(self.label_end_col) < F.lit(f.cutoff)) if self.label_end_col else hit
+
+    def in_test(self, f: Fold) -> Column:
+        return F.col(self.date_col).between(F.lit(f.test_from), F.lit(f.test_to))
+
+    def memberships(self) -> Column:
+        """``array<struct<fold, role>>`` of a row, in fold order; empty for rows in no fold."""
+        role = lambda f: F.when(self.in_test(f), "test").when(self.in_train(f), "train")
+        each = [F.when(role(f).isNotNull(), F.struct(F.lit(f.fold).alias("fold"), role(f).alias("role"))) for f in self.spans]
+        return F.array_compact(F.array(*each))
+
+    def tag(self, df: DataFrame, name: str = "folds") -> DataFrame:
+        """Every row once, with its memberships."""
+        return df.withColumn(name, self.memberships())
+
+    def expand(self, df: DataFrame) -> DataFrame:
+        """Rows tagged ``fold`` and ``role``, one copy for each fold a row belongs to."""
+        return self.tag(df, "_folds").select(F.inline("_folds"), *df.columns)
+
+
+def _spans(
     per_day: DataFrame,
     bounds: list[tuple[int, int, int, int]],
     date_col: str,
     gap_days: int,
     label_end_col: str | None,
     min_train_size: int,
-) -> DataFrame:
-    """Rows tagged ``fold`` and ``role``. ``bounds``: (fold, first train index, first test index, end of test).
+) -> Folds:
+    """Dates of ``bounds``: (fold, first train index, first test index, end of test), in numbers of distinct dates.
 
-    Folds are decided on dates times folds; a fold with too few training rows is an error. The rows are expanded once.
+    A fold with too few training rows is an error. Only the bounding dates and one count per fold reach the driver.
     """
-    spark = df.sparkSession
-    # At most one row per calendar day, so one window and small sides of joins.
+    # At most one row per calendar day, so one window.
     days = per_day.select("_day").distinct().withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_day")) - 1)
-    starts = spark.createDataFrame(bounds, "fold int, _train_from int, _test_from int, _test_to int")
-    starts = days.join(starts, F.col("_i") == F.col("_test_from")).select(
-        "fold", "_train_from", "_test_from", "_test_to", F.date_sub("_day", gap_days).alias("_cutoff")
-    )
-    spans = starts.withColumn("_i", F.explode(F.sequence("_train_from", F.col("_test_to") - 1)))
-    in_test = F.col("_i") >= F.col("_test_from")
-    in_train = (F.col("_i") < F.col("_test_from")) & (F.col("_day") < F.col("_cutoff"))
-    plan = durable(
-        days.join(spans, "_i")
-        .withColumn("role", F.when(in_test, "test").when(in_train, "train"))
-        .where(F.col("role").isNotNull())
-        .select("fold", "role", "_day", "_cutoff")
-    )
-    used = per_day.join(plan, "_day").where("role = 'train'")
-    if label_end_col:
-        used = used.where("_end < _cutoff")
-    sizes = dict(used.groupBy("fold").agg(F.sum("_rows")).collect())  # one row per fold
-    small = {k: sizes.get(k, 0) for k, *_ in bounds if sizes.get(k, 0) < min_train_size}
+    wanted = sorted({i for _, a, b, c in bounds for i in (a, b, c - 1)})
+    at = {r["_i"]: r["_day"] for r in days.where(F.col("_i").isin(wanted)).collect()}
+    spans = [Fold(k, at[a], at[b] - timedelta(days=gap_days), at[b], at[c - 1]) for k, a, b, c in bounds]
+    by_day = Folds(tuple(spans), "_day", "_end" if label_end_col else None)
+    sizes = per_day.agg(*[F.sum(F.when(by_day.in_train(f), F.col("_rows"))).alias(f"_{f.fold}") for f in spans]).first()
+    small = {f.fold: sizes[f"_{f.fold}"] or 0 for f in spans if (sizes[f"_{f.fold}"] or 0) < min_train_size}
     if small:
         raise ValueError(f"training rows per fold {small}, fewer than {min_train_size}")
-    out = df.join(plan, F.col(date_col) == F.col("_day"))
-    if label_end_col:
-        out = out.where((F.col("role") == "test") | (F.col(label_end_col) < F.col("_cutoff")))
-    return out.select("fold", "role", *df.columns)
+    return Folds(tuple(spans), date_col, label_end_col)
 
 
-def purged_kfold(
+def kfold_spans(
     df: DataFrame,
     n_splits: int = 5,
     *,
@@ -102,8 +127,8 @@ def purged_kfold(
     min_train_size: int = 1,
     date_col: str = "date",
     label_end_col: str | None = None,
-) -> DataFrame:
-    """``n_splits`` forward folds as rows tagged ``(fold, role)``.
+) -> Folds:
+    """``n_splits`` forward folds.
 
     The dates are cut into ``n_splits + 1`` equal blocks (the last takes the remainder); fold *k* tests
     on block *k + 1* and trains on what lies before ``test start - (horizon + embargo)`` calendar days. It is an error
@@ -115,10 +140,10 @@ def purged_kfold(
     if size < 1:
         raise ValueError(f"Not enough unique dates: {n} for {n_splits} splits")
     bounds = [(k, 0, (k + 1) * size, (k + 2) * size if k < n_splits - 1 else n) for k in range(n_splits)]
-    return _tagged(df, per_day, bounds, date_col, horizon_days + embargo_days, label_end_col, min_train_size)
+    return _spans(per_day, bounds, date_col, horizon_days + embargo_days, label_end_col, min_train_size)
 
 
-def walk_forward(
+def walk_forward_spans(
     df: DataFrame,
     n_windows: int | None = 5,
     *,
@@ -130,12 +155,13 @@ def walk_forward(
     expanding: bool = False,
     date_col: str = "date",
     label_end_col: str | None = None,
-) -> DataFrame:
-    """``n_windows`` windows moving forward by ``step_size`` dates, as rows tagged ``(fold, role)``.
+) -> Folds:
+    """``n_windows`` windows moving forward by ``step_size`` dates.
 
     A window trains on ``window_size`` dates (or on everything so far, if ``expanding``) and tests on the
-    next ``step_size`` dates, minus the horizon and embargo. By default the dates are divided evenly. It is an error if
-    the dates do not hold so many whole windows, or if one would train on fewer than ``min_train_size`` rows.
+    next ``step_size`` dates, minus the horizon and embargo. By default the dates are divided evenly, and dates beyond
+    the last whole window (fewer than there are windows) are not tested. It is an error if the dates do not hold so
+    many whole windows, or if one would train on fewer than ``min_train_size`` rows.
     ``n_windows=None`` takes all whole windows that there are, and the last also tests on the dates that remain.
     """
     if n_windows is None and not window_size:
@@ -151,7 +177,20 @@ def walk_forward(
     bounds = [(k, 0 if expanding else k * step, k * step + window, k * step + window + step) for k in range(count)]
     if n_windows is None:
         bounds[-1] = (*bounds[-1][:3], n)
-    return _tagged(df, per_day, bounds, date_col, horizon_days + embargo_days, label_end_col, min_train_size)
+    return _spans(per_day, bounds, date_col, horizon_days + embargo_days, label_end_col, min_train_size)
+
+
+def purged_kfold(df: DataFrame, n_splits: int = 5, **options) -> DataFrame:
+    """The folds of ``kfold_spans`` as rows tagged ``(fold, role)``: a row is copied for each fold it belongs to.
+
+    ``kfold_spans(df, ...).tag(df)`` keeps every row once.
+    """
+    return kfold_spans(df, n_splits, **options).expand(df)
+
+
+def walk_forward(df: DataFrame, n_windows: int | None = 5, **options) -> DataFrame:
+    """The windows of ``walk_forward_spans`` as rows tagged ``(fold, role)``: a row is copied for each fold it belongs to."""
+    return walk_forward_spans(df, n_windows, **options).expand(df)
 
 
 def folds(tagged: DataFrame) -> Iterator[tuple[int, DataFrame, DataFrame]]:

@@ -18,7 +18,7 @@ def con():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n != "fit_walk_forward"])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n != "fit_walk_forward_trees"])
 def test_query(spark, con, name):
     if name in NEED_LARGER:
         assert compare(spark, connect(LARGER), name, LARGER) is None
@@ -28,13 +28,13 @@ def test_query(spark, con, name):
 
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(QUERIES) - set(SQL) == {"fit_walk_forward"}
+    assert set(QUERIES) - set(SQL) == {"fit_walk_forward_trees"}
     panel = entry.entry(spark)
     rows, roe, z, known = panel.agg(F.count("*"), F.count("roe"), F.count("cs_roe_z"), F.count("sw_l1_code")).first()
     assert rows > 0 and roe > 0 and z > 0 and known > 0
 
 
 def test_model_per_window(spark):
-    rows = QUERIES["fit_walk_forward"](spark, SMALL).collect()
+    rows = QUERIES["fit_walk_forward_trees"](spark, SMALL).collect()
     assert [r["fold"] for r in rows] == [0, 1, 2]
     assert all(r["n_train"] > 0 and r["n_test"] > 0 and r["rmse"] >= r["mae"] >= 0 for r in rows)
