@@ -15,6 +15,7 @@ joins both back to the chunks, where links look them up.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,11 +25,13 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import packed, unpacked
 from .store import stored
+from .vocab import PATTERN
 from .words import pieces
 
 BYTE_BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -98,6 +101,31 @@ def product(a: Csr, b: Csr) -> Csr:
     return Csr(np.append(0, np.cumsum(np.bincount(row, minlength=len(a)))), col, b.width, added)
 
 
+# A regular expression may need a step back for each character of a run, and libraries limit those.
+RANKED_CHARS = 500_000
+
+
+def _by_ranks(path: str, table: list[bytes]):
+    """The same encoder by merge ranks, or None if the file's rules are not exactly those that ranks express.
+
+    Merges must be numbered in order behind the 256 bytes, and words split by the pattern of ``vocab`` with nothing changed
+    before. Both libraries then give the same ids, as a test over all characters shows; ranks take a fifth of the time.
+    """
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    model, split = rules["model"], rules["pre_tokenizer"] or {}
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", ())]
+    ordered = all(model["vocab"].get(left + right) == 256 + i for i, (left, right) in enumerate(pairs))
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    extra = [model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")]
+    if model["type"] != "BPE" or not ordered or not plain or rules["normalizer"] or any(extra):
+        return None
+    ranks = {token: i for i, token in enumerate(table[: 256 + len(pairs)])}
+    if len(ranks) != 256 + len(pairs):
+        return None
+    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 @lru_cache(maxsize=2)
 def byte_bpe(path: str):
     """Tokenizer A: an encoder of many texts, and the bytes of its ids."""
@@ -113,7 +141,16 @@ def byte_bpe(path: str):
     table = [b""] * tokenizer.get_vocab_size(with_added_tokens=True)
     for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
         table[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
-    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], table
+    ranked = _by_ranks(path, table)
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        slow = [i for i, t in enumerate(texts) if ranked is None or len(t) > RANKED_CHARS]
+        out = [ranked(t) if ranked is not None and len(t) <= RANKED_CHARS else [] for t in texts]
+        for i, e in zip(slow, tokenizer.encode_batch_fast([texts[i] for i in slow], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
+    return encode, table
 
 
 @lru_cache(maxsize=2)

@@ -51,6 +51,22 @@ def test_alignments_hold_what_is_counted(docs):
         assert all(x["bytes"] > 0 and x["a"] < c["n_a"] and x["b"] < c["n_b"] for x in r["links"])
 
 
+def test_ranks_give_the_ids_of_the_vocabulary_file():
+    """Every character between letters, digits, signs and spaces, and runs of one character."""
+    from tokenizers import Tokenizer
+
+    from factorlake.llm import align
+
+    slow = Tokenizer.from_file(align.BYTE_BPE_JSON)
+    slow.encode_special_tokens = True
+    assert align._by_ranks(align.BYTE_BPE_JSON, align.byte_bpe(align.BYTE_BPE_JSON)[1]) is not None
+    texts = [f"a{chr(c)}a1{chr(c)}1.{chr(c)}. {chr(c)}  {chr(c)}{chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts += [c * n for c in " a.\n" for n in (2, 7, 5000)] + ["x" + " " * 5000 + "y", "<|endoftext|>'LL 'll", "a" * 600_000]
+    for i in range(0, len(texts), 20_000):
+        part = texts[i : i + 20_000]
+        assert align.byte_bpe(align.BYTE_BPE_JSON)[0](part) == [e.ids for e in slow.encode_batch_fast(part, add_special_tokens=False)]
+
+
 def test_alignment_of_no_rows(docs):
     assert alignment_counts(docs.where("false")).count() == 0 and alignments(docs.where("false")).count() == 0
 
