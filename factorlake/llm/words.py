@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 PIECE_BYTES = 1 << 20
 SPACE = np.zeros(256, bool)
@@ -19,12 +20,13 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+LONG_SPAN = 512
+
 _random = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = int(_random.integers(1, 2**60)) * 8 + 5
+_SEED, _LENGTH, _BLOCK = (_random.integers(1, 2**63, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).tolist()
 _STEP = _random.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _NONE = np.zeros(0, np.uint64)
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -34,21 +36,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64."""
-    global _powers
-    if len(_powers[0]) <= n:
-        size = max(n + 1, PIECE_BYTES + 1)
-        inverse = pow(_BASE, -1, 1 << 64)
-        both = []
-        for base in (_BASE, inverse):
-            steps = np.full(size, np.uint64(base))
-            steps[0] = 1
-            both.append(np.multiply.accumulate(steps))
-        _powers = both[0], both[1]
-    return _powers
-
-
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts in one array, and where each text starts (one more entry at the end). Null is empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -75,11 +62,28 @@ def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = PIECE_BYTES) ->
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span: a polynomial over random byte values, then mixed."""
-    up, down = _power_tables(len(data))
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=prefix[1:])
-    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
+    """64-bit hash of each byte span.
+
+    A span is read eight bytes at a time; each block is folded into the state and the state mixed by a bijection, starting
+    from the length. So spans of one length differ from their first different block on, unless a later block happens
+    to undo it, and no arithmetic structure of the bytes (as of polynomials modulo a power of two) can bring that about.
+    Spans above ``LONG_SPAN`` bytes are few and hashed one by one.
+    """
+    size = end - start
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    blocks = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    out = mix(np.uint64(_SEED) ^ (size.astype(np.uint64) * np.uint64(_LENGTH)))
+    long = np.flatnonzero(size > LONG_SPAN)
+    for i in long.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), _SEED >> 1)
+    rows = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    at, left = start[rows], size[rows]
+    while len(rows):
+        out[rows] = mix((out[rows] ^ (blocks[at] & _MASK[np.minimum(left, 8)])) * np.uint64(_BLOCK))
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    return out
 
 
 @dataclass
@@ -150,12 +154,6 @@ def shingle_sets(words: Words, hashes: np.ndarray, size: int = 5) -> tuple[np.nd
     return (np.concatenate(sets) if sets else _NONE), where
 
 
-
-
-
 def prefix_hasher(data: np.ndarray):
     """``span_hashes`` for many sets of spans of the same bytes; a number tells the sets apart."""
-    up, down = _power_tables(len(data))
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=prefix[1:])
-    return lambda start, end, kind: mix((prefix[end] - prefix[start]) * down[start] + np.uint64(kind))
+    return lambda start, end, kind: mix(span_hashes(data, start, end) ^ mix(np.full(1, kind, np.uint64)))

@@ -187,3 +187,9 @@ def alignment(rows: list[tuple[int | None, str | None]]) -> list[tuple]:
         (id, na, nb, ng, len(links), sum(pairs[p] == most[p[1]] for p in links), sum(pairs[p] for p in links), names)
         for id, na, nb, ng, links, names in found
     ]
+
+
+def parity_words(n: int = 10) -> tuple[str, str]:
+    """Two words of 2**n letters, the parity sequence and its complement: equal under any polynomial modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
