@@ -7,11 +7,15 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from ..operators import behavioral
 from ..operators import relational as R
 from ..operators.joins import join_dates, join_keys
 from ..operators.skew import shared_dir
+from ..operators.staged import FeatureGroup
 from ..sources import tables as T
+from ..sources.incremental import GrowingFeatures
 from . import views as V
+from .market import ALL_STAGES
 from .registry import nums, query, roll_sql, views
 
 BARS = views("bars")
@@ -59,6 +63,27 @@ def refresh(spark, sf):
     return T.read_table(spark, path).select("ts_code", "date", "close")
 
 
+_CUTS = (date(1996, 12, 31), date(1998, 2, 14), date(1998, 2, 16))
+
+
+@query(
+    "refresh_appended",
+    f"""{BARS}, {ALL_STAGES.format(src='bars')}, v AS (SELECT ts_code, date, sum(volume) OVER (PARTITION BY ts_code ORDER BY date) AS traded FROM bars)
+    SELECT t3.ts_code, t3.date, {nums({'ret_1q': 'ret_1q', 'roc_4': 'roc_4', 'vola_20': 'vola_20', 'traded': 'traded'}, 5)}
+    FROM t3 JOIN v ON v.ts_code = t3.ts_code AND v.date = t3.date""",
+    digits=5,
+)
+def appended(spark, sf):
+    """Features of bars that come in four lots; each lot recomputes what it reaches, a running total goes on."""
+    bars = V.bars(spark, sf)
+    traded = FeatureGroup(("traded",), (lambda w: {},), ("volume",), back=0, ahead=0, running={"traded": F.col("volume")})
+    groups = [behavioral.GROUPS[g](bars.columns) for g in ("momentum", "volatility")]
+    table = GrowingFeatures(spark, scratch(spark, "growing"), [*groups, traded])
+    for since, until in zip((date(1900, 1, 1), *_CUTS), (*_CUTS, date(2100, 1, 1))):
+        table.append(bars.where((F.col("date") > F.lit(since)) & (F.col("date") <= F.lit(until))))
+    return table.read().select("ts_code", "date", "ret_1q", "roc_4", "vola_20", "traded")
+
+
 @query(
     "read_through",
     f"""{BARS} SELECT ts_code, date, {nums({'close': 'CASE WHEN year(date) = 1995 THEN close + 1000 ELSE close END'})} FROM bars
@@ -117,10 +142,35 @@ def cached(spark, sf):
     'volume': "CASE WHEN year(date) >= 1998 THEN volume END"})} FROM bars""",
 )
 def stack_read(spark, sf):
+    """Folders of single tickers, whose older files hold amounts and whose newer ones hold volumes."""
+    path, bars = scratch(spark, "tickers"), V.bars(spark, sf)
+    T.write_tickers(bars.where(F.year("date") < 1998).select("ts_code", "date", "close", "amount"), path)
+    T.write_tickers(bars.where(F.year("date") >= 1998).select("ts_code", "date", "close", "volume"), path)
+    return T.market_stack_read(spark, path)
+
+
+@query(
+    "market_stack_some",
+    f"{BARS} SELECT ts_code, date, {nums(['close'])} FROM bars WHERE right(ts_code, 1) IN ('3', '8')",
+)
+def stack_some(spark, sf):
+    """Only the folders of the tickers asked for."""
+    path, bars = scratch(spark, "tickers"), V.bars(spark, sf).select("ts_code", "date", "close")
+    T.write_tickers(bars, path)
+    asked = V.table(spark, sf, "supplier").select(V._code("s_suppkey").alias("ts_code")).where("right(ts_code, 1) IN ('3', '8')")
+    return T.market_stack_read(spark, path, asked, bars.schema)
+
+
+@query(
+    "market_stack_frames",
+    f"""{BARS} SELECT ts_code, date, {nums({'close': 'close', 'amount': "CASE WHEN year(date) < 1998 THEN amount END",
+    'volume': "CASE WHEN year(date) >= 1998 THEN volume END"})} FROM bars""",
+)
+def stack_frames(spark, sf):
     bars = V.bars(spark, sf)
     old = bars.where(F.year("date") < 1998).select("ts_code", "date", "close", "amount")
     new = bars.where(F.year("date") >= 1998).select("ts_code", "date", "close", "volume")
-    return T.market_stack_read([old, new])
+    return T.market_stack([old, new])
 
 
 @query(
@@ -192,8 +242,6 @@ def date_inner(spark, sf):
 )
 def idents(spark, sf):
     """Identifying columns ride along with the features; nothing is joined back."""
-    from ..operators import behavioral
-
     names = V.table(spark, sf, "supplier").select(V._code("s_suppkey").alias("ts_code"), F.col("s_name").alias("name"))
     out = behavioral.features(V.bars(spark, sf).join(names, "ts_code"), ["momentum"])
     return out.select("ts_code", "date", "name", F.round("ma_4", 3).alias("ma_4"))

@@ -30,9 +30,10 @@ def statement_join(
     (pushed to all three scans).
     """
     frames = [income, balance, cashflow]
-    if start is not None or end is not None:
-        lo, hi = start or date.min, end or date.max
-        frames = [f.where(F.col("notice_date").between(F.lit(lo), F.lit(hi))) for f in frames]
+    if start is not None:
+        frames = [f.where(F.col("notice_date") >= F.lit(start)) for f in frames]
+    if end is not None:
+        frames = [f.where(F.col("notice_date") <= F.lit(end)) for f in frames]
     keys = list(STATEMENT_KEYS)
     out = frames[0]
     for f in frames[1:]:

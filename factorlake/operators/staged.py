@@ -46,7 +46,7 @@ class FeatureGroup:
     running: Mapping[str, Column] = field(default_factory=dict)
 
 
-def _reach(providers: Sequence[MetricProvider]) -> dict[str, int]:
+def reach(providers: Sequence[MetricProvider]) -> dict[str, int]:
     """Largest declared reach; a provider with stages that does not declare it is an error, whatever the data."""
     for p in providers:
         for side in ("back", "ahead"):
@@ -92,9 +92,9 @@ def staged_metrics(
     stages = [merged(i) for i in range(max((len(p.stages) for p in providers), default=0))]
     running = {name: c for p in providers for name, c in getattr(p, "running", {}).items()}
     if order:
-        reach = _reach(providers)
+        rows = reach(providers)
         series = df if by else df.withColumn("_series", F.lit(0))
-        out = over_series(series, by or ["_series"], order, stages, running=running, max_rows=max_rows, **reach)
+        out = over_series(series, by or ["_series"], order, stages, running=running, max_rows=max_rows, **rows)
         out = out if by else out.drop("_series")
     elif running:
         raise ValueError("running totals need an order")

@@ -28,7 +28,8 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), *, c
     writer.parquet(path)
 
 
-# Recomputing books is the same write: partitions not in the frame stay as they are.
+# Recomputing books is the same write: partitions not in the frame stay as they are. Where rows are only ever added,
+# ``incremental.GrowingFeatures`` recomputes less than a book.
 refresh_partition = write_table
 
 
@@ -89,11 +90,40 @@ def cached_dim(spark: SparkSession, path: str, required: Sequence[str], build, *
     return spark.read.parquet(path)
 
 
-def market_stack_read(frames: Sequence[DataFrame]) -> DataFrame:
-    """Tickers stored apart, as one table; columns a ticker lacks are null."""
+def market_stack(frames: Sequence[DataFrame]) -> DataFrame:
+    """Frames of single tickers as one; columns a ticker lacks are null."""
     return union_diagonal(*frames)
 
 
+def write_tickers(df: DataFrame, path: str, key: str = "ts_code") -> None:
+    """Add rows to the folders of their tickers (``<key>=<ticker>``); tickers may have different columns."""
+    df.hint("rebalance", key).write.mode("append").partitionBy(key).parquet(path)
+
+
+def market_stack_read(
+    spark: SparkSession,
+    path: str,
+    tickers: Sequence[str] | DataFrame | None = None,
+    schema: T.StructType | str | None = None,
+    key: str = "ts_code",
+) -> DataFrame:
+    """Tickers stored in folders of their own (see ``write_tickers``), as one table; columns a ticker lacks are null.
+
+    One scan, whatever the number of tickers: they are partitions, so a list (or frame) of them prunes folders. Without
+    ``schema`` the schemas of all files are merged, which Spark does in tasks; give it where there are very many files.
+    """
+    if schema is None:
+        merged = spark.read.option("mergeSchema", True).parquet(path).schema
+        # Tickers are text, also where all of them look like numbers.
+        schema = T.StructType([*[f for f in merged if f.name != key], T.StructField(key, T.StringType())])
+    out = spark.read.schema(schema).parquet(path)
+    if tickers is None:
+        return out
+    if isinstance(tickers, DataFrame):
+        return out.join(tickers.select(key).distinct(), key, "left_semi")
+    return out.where(F.col(key).isin(list(tickers)))
+
+
 def range_read(
     df: DataFrame, start: date, end: date, *, codes: DataFrame | None = None, date_col: str = "date", year: str = "year"
 ) -> DataFrame:

@@ -407,3 +407,123 @@ def test_the_future_changes_no_past_row_of_the_panel(spark):
     assert {r["sw_l1_code"] for r in early} - {None}
     key = lambda rows: sorted(map(str, rows))
     assert key(early) == key(late)
+
+
+# ---- tables that grow --------------------------------------------------------------------------
+
+
+def test_appended_rows_recompute_what_they_reach(spark, tmp_path):
+    """Any cut of a series into appends gives the table of one append; only bounded state is read."""
+    from factorlake.operators.skew import over_series
+    from factorlake.sources.incremental import GrowingFeatures
+
+    pick = random.Random(8)
+    rows = [(c, d, pick.random() if pick.random() > 0.1 else None) for c, n in (("a", 40), ("b", 3), ("c", 25), (None, 12)) for d in range(n)]
+    df = spark.createDataFrame(rows, "k string, d int, x double")
+    group = FeatureGroup(
+        ("ahead2", "back3", "both", "total"),
+        (lambda w: {"ahead2": F.lead("x", 2).over(w), "back3": F.sum("x").over(w.rowsBetween(-3, 0))}, lambda w: {"both": F.lag("ahead2", 4).over(w)}),
+        ("x",), back=7, ahead=2, running={"total": F.col("x")},
+    )
+    want = staged_metrics(df, [group], ["k", "d"], "select", by=["k"], order=["d"]).collect()
+    key = lambda r: (r["k"] or "", r["d"])
+
+    def same(got):
+        assert len(got) == len(want)
+        for g, w in zip(sorted(got, key=key), sorted(want, key=key)):
+            assert (g["k"], g["d"]) == (w["k"], w["d"])
+            for c in group.outputs:
+                assert g[c] == (None if w[c] is None else pytest.approx(w[c], abs=1e-12)), (g, w, c)
+
+    for name, cuts in (("once", [100]), ("three", [5, 12, 13, 100]), ("daily", [1, 2, 3, 4, 30, 31, 100])):
+        table = GrowingFeatures(spark, str(tmp_path / name), [group], ["k"], "d", ["k", "d"])
+        with pytest.raises(ValueError):
+            table.read()
+        before = -1
+        for cut in cuts:
+            table.append(df.where((F.col("d") > before) & (F.col("d") <= cut)))
+            before = cut
+            sizes = dict(table.state().groupBy("k").count().collect())
+            assert all(sizes[c] == min(9, n, cut + 1) for c, n in (("a", 40), ("b", 3), ("c", 25), (None, 12)))
+        same(table.read().collect())
+    table.append(df.where("false"))
+    same(table.read().collect())
+    with pytest.raises(ValueError, match="not later"):
+        table.append(df.where("k = 'a' and d = 39"))
+    same(table.read().collect())
+
+
+def test_a_failed_append_is_repeated(spark, tmp_path):
+    from factorlake.sources.incremental import GrowingFeatures
+
+    df = spark.createDataFrame([("a", i, float(i)) for i in range(10)], "k string, d int, x double")
+    group = FeatureGroup(("next",), (lambda w: {"next": F.lead("x").over(w)},), ("x",), back=0, ahead=1)
+    table = GrowingFeatures(spark, str(tmp_path / "t"), [group], ["k"], "d", ["k", "d"])
+    table.append(df.where("d < 4"))
+    for part in ("settled", "open"):  # written, but without the state that makes them valid
+        table.read().where("d < 2").write.parquet(table._folder(part, 2))
+    assert table.last_batch() == 1 and table.read().count() == 4
+    table.append(df.where("d >= 4"))
+    assert [r["next"] for r in table.read().orderBy("d").collect()] == [*map(float, range(1, 10)), None]
+
+
+def test_tickers_are_one_scan(spark, tmp_path):
+    path = str(tmp_path / "tickers")
+    for i in range(40):
+        columns = "ts_code string, date date, close double" + (", amount double" if i % 2 else ", volume bigint")
+        row = (f"{i:06d}", date(2000, 1, 1 + i % 9), float(i), float(i) if i % 2 else i)
+        tables.write_tickers(spark.createDataFrame([row], columns), path)
+    stack = tables.market_stack_read(spark, path)
+    plan = stack._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Union" not in plan
+    got = {r["ts_code"]: r for r in stack.collect()}
+    assert len(got) == 40 and got["000007"]["amount"] == 7.0 and got["000007"]["volume"] is None and got["000008"]["volume"] == 8
+    some = tables.market_stack_read(spark, path, ["000003", "000004"])
+    assert {r["ts_code"] for r in some.collect()} == {"000003", "000004"}
+    scan = some._jdf.queryExecution().executedPlan().toString()
+    assert "IN (000003,000004)]" in scan and "PushedFilters: []" in scan and "Filter " not in scan  # folders only
+    again = tables.market_stack_read(spark, path, spark.createDataFrame([("000003",), ("000003",)], "ts_code string"), stack.schema)
+    assert again.count() == 1
+
+
+def test_folds_of_a_row(spark):
+    from factorlake.operators.splits import purged_kfold, walk_forward_spans
+
+    df = spark.createDataFrame([(date(2000, 1, 1) + timedelta(days=i), i) for i in range(60)], "date date, i int")
+    spans = walk_forward_spans(df, 3, horizon_days=2)
+    tagged = spans.tag(df)
+    assert tagged.count() == 60 and "Join" not in tagged._jdf.queryExecution().executedPlan().toString()
+    rows = {r["i"]: [(m["fold"], m["role"]) for m in r["folds"]] for r in tagged.collect()}
+    assert rows[0] == [(0, "train")] and rows[13] == [] and rows[15] == [(0, "test"), (1, "train")] and rows[59] == [(2, "test")]
+    wide = {(r["i"], r["fold"], r["role"]) for r in spans.expand(df).collect()}
+    assert wide == {(i, *m) for i, ms in rows.items() for m in ms}
+    assert "Join" not in purged_kfold(df, 3)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ridge_per_fold(spark):
+    import numpy as np
+
+    from factorlake.operators.evaluate import fit_walk_forward
+    from factorlake.operators.splits import walk_forward_spans
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(120):
+        for c in "abc":
+            x, y = rng.normal(size=2)
+            rows.append((date(2000, 1, 1) + timedelta(days=i), c, float(x), None if c == "a" and i % 9 == 0 else float(y), float(2 * x - y + rng.normal() / 9) if i % 7 else None))
+    df = spark.createDataFrame(rows, "date date, ts_code string, x double, y double, z double")
+    spans = walk_forward_spans(df, 2, horizon_days=3, expanding=True)
+    got = {r["fold"]: r for r in fit_walk_forward(df, spans, ["x", "y"], "z", alpha=0.5).collect()}
+    for f in spans.spans:
+        part = [(np.array([1, r[2], r[3] or 0]), r[4], r[0]) for r in rows if r[4] is not None]
+        train = [(a, b) for a, b, d in part if f.train_from <= d < f.cutoff]
+        test = [(a, b) for a, b, d in part if f.test_from <= d <= f.test_to]
+        a, b = np.array([t[0] for t in train]), np.array([t[1] for t in train])
+        w = np.linalg.solve(a.T @ a + np.diag([0, 0.5, 0.5]), a.T @ b)
+        r = got[f.fold]
+        assert (r["n_train"], r["n_test"]) == (len(train), len(test))
+        assert [r["intercept"], r["w_x"], r["w_y"]] == pytest.approx(w.tolist())
+        miss = np.array([t[0] @ w - t[1] for t in test])
+        assert r["rmse"] == pytest.approx(float(np.sqrt((miss**2).mean()))) and r["mae"] == pytest.approx(float(np.abs(miss).mean()))
+    assert fit_walk_forward(df.where("z is null"), spans, ["x"], "z").count() == 0
