@@ -76,7 +76,7 @@ STANDS_FOR = {
 BETWEEN = " .-_*~/·​"
 SUBSTITUTED, SKIPPED, PARTED = 0.5, 0.3, 0.5  # channel costs (negative log)
 DROPPED_PAIR, DROPPED_RUN = 4.0, 0.1  # of a repeated character: doubles are mostly meant, longer runs are not
-LONGEST = 40  # a longer token, repetitions aside, is no disguised word
+LONGEST = 40  # a longer token, repetitions aside, is more than one word: its parts are judged
 CACHED = 160  # longer tokens and runs are decoded each time
 
 
@@ -132,20 +132,37 @@ _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~/·\u200b]{1,2}[^\W_]){3,}(?!
 _LEET = re.compile(r"[0-9@$!|+(€]")
 _REPEATED = re.compile(r"(.)\1+")
 _TRIPLE = re.compile(r"(.)\1\1+")
+_PART = re.compile(r"(?:(?!\d{4})[^.\-_*~/·\u200b])+")
 _ADDRESS = re.compile(r"://|^www\.|\w@\w+\.\w")
 _SPLIT = re.compile(r"(?:[^\W\d_][.\-_*~/·​]){2,}[^\W\d_]")
 
 
-def disguised(word: str) -> str | None:
-    """The part of a word that looks like a disguised one, if any."""
-    core = _EDGES.sub("", word)
+def _odd(core: str, most: int | None = None) -> bool:
+    """Whether ``core`` looks like a disguised word: two letters, a third of it letters, and something odd."""
     letters = len(_IN_WORD.findall(core))
-    if not 2 <= letters or not 3 <= len(core) or len(core) > LONGEST and len(_REPEATED.sub(r"\1", core)) > LONGEST:
-        return None
+    if not 2 <= letters or not 3 <= len(core) or most and len(core) > most and len(_REPEATED.sub(r"\1", core)) > most:
+        return False
+    return bool(_LEET.search(core) or _TRIPLE.search(core) or _SPLIT.search(core)) and 3 * letters >= len(core)
+
+
+def disguised(word: str) -> list[tuple[int, int]]:
+    """Where the parts of a word are that look like disguised ones, each to be decoded by itself.
+
+    Mostly that is the word without its edges. A longer one, or one with few letters, is judged by its parts between
+    separators and long numbers; a part may be of any length.
+    """
+    edge = _EDGES.match(word)
+    start = edge.end() if edge and edge.group(0) else 0
+    core = _EDGES.sub("", word)
+    start = word.find(core, start) if core else 0
     if _ADDRESS.search(core):
-        return None
-    odd = _LEET.search(core) or _TRIPLE.search(core) or _SPLIT.search(core)
-    return core if odd and 3 * letters >= len(core) else None
+        return []
+    if _odd(core, LONGEST):
+        return [(start, start + len(core))]
+    parts = [m.span() for m in _PART.finditer(core)]
+    if len(parts) < 2 and len(core) <= LONGEST:
+        return []
+    return [(start + a, start + b) for a, b in parts if _odd(core[a:b])]
 
 
 class Restorer:
@@ -166,11 +183,9 @@ class Restorer:
         """``text`` with the words at the given places restored, and with spaced runs joined."""
         out, done = [], 0
         for start, end in at:
-            core = disguised(text[start:end])
-            if core is not None:
-                place = text.index(core, start)
-                out += [text[done:place], self.one(core)]
-                done = place + len(core)
+            for a, b in disguised(text[start:end]):
+                out += [text[done : start + a], self.one(text[start + a : start + b])]
+                done = start + b
         text = "".join([*out, text[done:]])
         return _SPACED.sub(lambda m: self.run(m[0]) if _IN_WORD.search(m[0]) else m[0], text)
 
@@ -218,7 +233,7 @@ def _suspects(words, points: np.ndarray) -> np.ndarray:
     mark[:-2] |= (codes[:-2] == codes[1:-1]) & (codes[1:-1] == codes[2:])
     mark[1:-3] |= letter[:-4] & separator[1:-3] & letter[2:-2] & separator[3:-1] & letter[4:]
     letters = count(letter)
-    hit = (count(mark) > 0) & (letters >= 2) & (2 * letters >= count(digit))
+    hit = (count(mark) > 0) & (letters >= 2)
     # Single letters or digits, four or more in a row with one or two separators between them.
     member = letter | digit
     edge = np.zeros(n + 1, bool)
@@ -343,7 +358,7 @@ def held_out(id):
     return F.coalesce(F.crc32(id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _weigh(sample: DataFrame, model: np.ndarray) -> Weights:
+def _weigh(sample: DataFrame, model: np.ndarray, features_at_most: int = FIT_FEATURES) -> Weights:
     """Log odds of features over the first half of the sample; equal texts count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +386,7 @@ def _weigh(sample: DataFrame, model: np.ndarray) -> Weights:
         .withColumn("weight", weight)
         .where(F.col("weight") >= LEAST_WEIGHT)
         .orderBy(F.desc("weight"), "feature")
-        .limit(FIT_FEATURES)
+        .limit(features_at_most)
         .select("feature", "weight")
         .collect()
     )
@@ -412,7 +427,7 @@ def _calibrate(sample: DataFrame, weights: Weights, model: np.ndarray) -> np.nda
     rows = sample.where("half = 1").select("text", "toxic").mapInArrow(run, "top double, total double, toxic int")
     got = np.array([(r["top"], r["total"], r["toxic"]) for r in rows.collect()], np.float64).reshape(-1, 3)
     if not len(got):
-        return np.zeros(3)
+        return np.array([-1.0, 0.0, 0.0])  # nothing is known to be toxic
     return _logistic(_inputs(got[:, 0], got[:, 1]), got[:, 2])
 
 
@@ -437,17 +452,20 @@ def toxicity(
     label: str = "toxic",
     *,
     fit_rows: int = FIT_ROWS,
+    fit_features: int = FIT_FEATURES,
 ) -> DataFrame:
     """Per row of ``docs``: ``id``, ``held_out``, ``score`` (0 to 1), ``predicted`` (1 from 0.5 on).
 
     The language model is counted over all texts. The classifier is fitted on at most ``fit_rows`` labelled rows, none
     of them held out; scores use the text alone. A null or empty text has no evidence and gets the lowest score.
     Rows with a null id are scored and not held out. Several labels of one id count as toxic if one is. Without
-    labels every score is 0.5; an empty table gives an empty result.
+    labels every score is the same and below 0.5; an empty table gives an empty result. Texts of any length are
+    restored and scored whole, a piece at a time. ``fit_features`` bounds the features with a weight: those with the
+    highest, which reach the driver.
     """
     model = language_model(docs, text)
     sample = stored(_fit_rows(docs, labels, id, text, label, fit_rows), "labelled")
-    weights = _weigh(sample, model)
+    weights = _weigh(sample, model, fit_features)
     beta = _calibrate(sample, weights, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

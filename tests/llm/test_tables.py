@@ -201,18 +201,22 @@ def restorer():
     return Restorer(np.log(counts / counts.sum(axis=2, keepdims=True)).astype(np.float32))
 
 
+def parts(word):
+    return [word[a:b] for a, b in disguised(word)]
+
+
 @pytest.mark.parametrize(
     ("shown", "meant"),
     [("1d10t", "idiot"), ("$tup1d", "stupid"), ("p.a.t.h.e.t.i.c", "pathetic"), ("loooser", "loser"), ("tr@sh", "trash"),
      ("m-o-r-o-n", "moron"), ("cl0wn", "clown")],
 )
 def test_restored_words(restorer, shown, meant):
-    assert restorer.one(disguised(shown)) == meant
+    assert parts(shown) == [shown] and restorer.one(shown) == meant
 
 
 def test_spaced_words_and_clean_text(restorer):
     assert restorer.text("so s c u m it is", []) == "so scum it is"
-    assert disguised("plain") is None and disguised("2024-01-02") is None and disguised("jo@mail.example.com") is None
+    assert not any(map(disguised, ("plain", "2024-01-02", "jo@mail.example.com", "well-known", "")))
 
 
 def test_every_disguised_word_is_restored(restorer):
@@ -220,10 +224,13 @@ def test_every_disguised_word_is_restored(restorer):
              "x1", "2024-01-02", "(idi0t)", "jo@mail.example.com", "plain", "m-o-r-o-n", "ß.ß.ß", "cl0wn!"]
     pick = random.Random(4)
     shown += ["".join(pick.choices("abé1€.-·\u200b@(o", k=pick.randint(1, 9))) for _ in range(3000)]
-    assert sum(disguised(w) is not None for w in shown) > 500
+    shown += ["-".join(["1d10t", "m0r0n", "plain"] * 8), "id1ot2024010203040506", "20240102030405", "http://x.org/1d10t-m0r0n"]
+    assert sum(bool(disguised(w)) for w in shown) > 500
     for word in shown:
-        core = disguised(word)
-        want = word if core is None else word.replace(core, restorer.one(core), 1)
+        want, done = "", 0
+        for a, b in disguised(word):
+            want, done = want + word[done:a] + restorer.one(word[a:b]), b
+        want += word[done:]
         assert restored(pa.array([f"es gibt {word} hier"]), restorer)[0].as_py() == restorer.text(f"es gibt {want} hier", []), word
     assert restored(pa.array(["rows 1 2 3 4 5 of 6"]), restorer)[0].as_py() == "rows 1 2 3 4 5 of 6"
     texts = ["so s c u m it", None, "é. c. u. m. x", "", "ab", *shown]
@@ -240,10 +247,48 @@ def test_long_runs_and_stretched_words(restorer):
         spelled = mark.join(words.replace(" ", ""))
         assert len(spelled) > 400 and all(w in of(spelled) for w in ("worthless", "clown", "moron", "pathetic", "trash", "idiot"))
     assert of("st" + "u" * 200 + "pid it is") == "stupid it is"
+    assert of("-".join(["1d10t", "m0r0n"] * 9)) == "-".join(["idiot", "moron"] * 9)
+    assert of("id1ot2024010203040506") == "idiot2024010203040506"
     long = " ".join("idiot" * 4000)
     assert of(long).replace(" ", "") == long.replace(" ", "")
 
 
+def test_the_lattice_is_searched_whole(restorer):
+    """Viterbi against all ways to read a short token."""
+    from itertools import product
+
+    from factorlake.llm import toxicity as tox
+
+    def cheapest(token):
+        triple = {i for m in tox._TRIPLE.finditer(token) for i in range(*m.span())}
+        best = []
+        ways = []
+        for c in token:
+            own = [(c, 0.0)] if c in LETTERS else [(x, tox.SUBSTITUTED) for x in tox.STANDS_FOR.get(c, "")]
+            ways.append([*own, ("drop", None), *([("skip", tox.SKIPPED)] if c in tox.BETWEEN or not own else [])])
+        for way in product(*ways):
+            text, cost, at = "", 0.0, (0, 0)
+            for i, (c, (letter, price)) in enumerate(zip(token, way)):
+                if letter == "drop":
+                    if not (i and token[i - 1] == c and text):
+                        break
+                    cost += tox.DROPPED_RUN if i in triple else tox.DROPPED_PAIR
+                elif letter == "skip":
+                    cost += price
+                else:
+                    n = LETTERS.index(letter) + 1
+                    cost, text, at = cost + price - float(restorer.model[at[0], at[1], n]), text + letter, (at[1], n)
+            else:
+                best.append((cost - float(restorer.model[at[0], at[1], 0]), text))
+        return min(best)
+
+    pick = random.Random(9)
+    for token in ["1d10t", "m0r0n", "tr@sh", "$cum", *("".join(pick.choices("aios01$!.-", k=pick.randint(3, 7))) for _ in range(150))]:
+        cost, text = cheapest(token)
+        got = restorer.one(token)
+        assert got == text, (token, got, text, cost)
+
+
 def test_toxicity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -258,7 +303,8 @@ def test_toxicity(spark):
     assert right > 0.93 and sum(caught) / len(caught) > 0.5
     assert sum(r["predicted"] for r in got.where("doc_id between 100000 and 150000").collect()) == 0
     assert toxicity(every.where("false"), labels).count() == 0
-    assert {r["score"] for r in toxicity(own, labels.where("false")).collect()} == {0.5}
+    (blind,) = {(r["score"], r["predicted"]) for r in toxicity(own, labels.where("false")).collect()}
+    assert blind[0] < 0.5 and blind[1] == 0
 
 
 # ---- pipeline and registry ---------------------------------------------------------------------
