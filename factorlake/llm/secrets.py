@@ -108,15 +108,34 @@ def random_spans(run: str, max_ratio: float, vocabulary: str) -> list[tuple[int,
     return spans
 
 
-def _outside(start: int, end: int, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Parts of ``start`` to ``end`` that no span covers."""
+def _merged(spans: list[tuple[int, int, int]]) -> list[list[int]]:
+    """The union of spans, as sorted intervals that do not touch."""
+    out: list[list[int]] = []
     for a, _, b in sorted(spans):
-        if start < a < end:
-            yield start, a
-        if a < end:
-            start = max(start, b)
-    if start < end:
-        yield start, end
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+class _Outside:
+    """Parts of intervals, asked in order of their starts, that no span covers: both lists are walked once."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.covered, self.at = _merged(spans), 0
+
+    def parts(self, start: int, end: int) -> Iterator[tuple[int, int]]:
+        while self.at < len(self.covered) and self.covered[self.at][1] <= start:
+            self.at += 1
+        k = self.at
+        while start < end:
+            a, b = self.covered[k] if k < len(self.covered) else (end, end)
+            if start < min(a, end):
+                yield start, min(a, end)
+            start, k = max(start, b), k + 1
+            if a >= end:
+                return
 
 
 def piece_spans(texts: pa.Array, max_ratio: float, vocabulary: str) -> list[list[tuple[int, int, int]]]:
@@ -157,12 +176,14 @@ def piece_spans(texts: pa.Array, max_ratio: float, vocabulary: str) -> list[list
         position = whole.find(b"AKIA", int(at[i + 1]))
     for start, end in zip(*_long_runs(_IS_HEX[data], at, HEX_RUN)):
         add(2, start, end)
-    base = [list(spans) for spans in found]
+    outside: dict[int, _Outside] = {}
     for start, end in zip(*_long_runs(_IS_RUN[data], at, MIN_RUN)):
         i = text_of(start)
         a, b = int(points[start] - points[at[i]]), int(points[end] - points[at[i]])
         run = whole[start:end].decode()
-        for x, y in list(_outside(a, b, base[i])):
+        if i not in outside:  # runs come text by text; what they add is no base span
+            outside[i] = _Outside(found[i])
+        for x, y in outside[i].parts(a, b):
             if y - x >= MIN_RUN:
                 found[i].extend((x + p, 3, x + q) for p, q in random_spans(run[x - a : y - a], max_ratio, vocabulary))
     for spans in found:
