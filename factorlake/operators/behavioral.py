@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import (
     clip,
@@ -233,10 +234,13 @@ def features(
     """Date, the identifiers present, and the features of the chosen groups.
 
     ``by=None`` treats the frame as one series (index, volatility index). A frame without a date column
-    has nothing to compute and is an error.
+    has nothing to compute and is an error. With a calendar date as key a series has at most 366 rows a year, so unless
+    ``max_rows`` is set lower its size is not checked.
     """
     if "date" not in df.columns:
         raise ValueError("bars need a date column")
+    if isinstance(df.schema["date"].dataType, T.DateType) and max_rows == MAX_GROUP_ROWS:
+        max_rows = None
     keep = dict.fromkeys(["date", *([by] if by else []), *[c for c in idents if c in df.columns]])
     return staged_metrics(
         df,

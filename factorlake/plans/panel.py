@@ -7,7 +7,6 @@ from datetime import date
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType
 
 from ..operators import behavioral, fundamental
 from ..operators.crosssection import industry_neutral
@@ -24,10 +23,7 @@ def market_features(
     ``order`` (say an ingest time and a position in the file) decides which of several bars of a ticker on one day
     stays: the last. Without it the caller vouches for one bar a day. The bars are sorted once either way: the window
     that finds a day's last bar has the order that the features need.
-    With a calendar date as key a ticker has at most 366 days a year, so its size need not be checked.
     """
-    if isinstance(bars.schema["date"].dataType, DateType):
-        max_rows = None
     if order:
         following = F.lead("date").over(Window.partitionBy("ts_code").orderBy("date", *order))
         last = F.col("date").isNotNull() & ~F.col("date").eqNullSafe(F.col("_following"))

@@ -66,13 +66,16 @@ def read_through(
     """The requested books of a table, of which only those that are missing or ``stale`` are computed.
 
     ``compute`` gets their names and returns their rows, ``key`` included; they are written as partitions, so books
-    that are stored stay untouched. Book names are as few as the quarters of a calendar.
+    that are stored stay untouched. Book names are as few as the quarters of a calendar. What was computed is noted
+    beside the table, so that a book without rows is not computed again.
     """
-    stored = read_table(spark, path)
+    stored, noted = read_table(spark, path), f"{path.rstrip('/')}/_computed"  # readers pass over such folders
     known = {r[0] for r in stored.select(F.col(key).cast("string")).distinct().collect()} if key in stored.columns else set()
+    known |= {r[0] for r in read_table(spark, noted, "book string").distinct().collect()}
     todo = [b for b in dict.fromkeys(books) if b not in known or b in set(stale)]
     if todo:
         write_table(compute(todo), path, [key])
+        spark.createDataFrame([(str(b),) for b in todo], "book string").coalesce(1).write.mode("append").parquet(noted)
     return read_books(spark, path, books, key)
 
 

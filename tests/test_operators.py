@@ -527,3 +527,17 @@ def test_ridge_per_fold(spark):
         miss = np.array([t[0] @ w - t[1] for t in test])
         assert r["rmse"] == pytest.approx(float(np.sqrt((miss**2).mean()))) and r["mae"] == pytest.approx(float(np.abs(miss).mean()))
     assert fit_walk_forward(df.where("z is null"), spans, ["x"], "z").count() == 0
+
+
+def test_books_without_rows_are_computed_once(spark, tmp_path):
+    asked = []
+
+    def compute(books):
+        asked.append(list(books))
+        return spark.createDataFrame([(b, 1) for b in books if b != "empty"], "book string, x int")
+
+    path = str(tmp_path / "books")
+    for _ in range(2):
+        assert tables.read_through(spark, path, ["a", "empty"], compute).count() == 1
+    assert tables.read_through(spark, path, ["a", "b", "empty"], compute, stale=["empty"]).count() == 2
+    assert asked == [["a", "empty"], ["b", "empty"]]
