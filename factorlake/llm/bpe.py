@@ -1,9 +1,10 @@
 """Byte-level BPE: every distinct pre-token is encoded once, ids return to their places, and ids decode to bytes.
 
-Pre-tokens are the matches of a pattern, each encoded by itself. A chunk of texts sends its distinct pre-tokens to
-buckets by hash; a bucket encodes each distinct one of all its chunks once and answers with ids in the order asked;
-the chunk puts them back by position. Decoding looks ids up in the table of token bytes, whose size is that of the
-vocabulary.
+Pre-tokens ("words") are the matches of a pattern, each encoded by itself. A task splits the texts of a chunk once and
+keeps, for each position, the number of its word in the chunk; each distinct word of a chunk is one row (chunk, place,
+word). Shuffled and sorted by word, each distinct word of all chunks is encoded once, and its ids go back to the chunks that
+asked, where they take their places. Decoding looks ids up in the table of token bytes, whose size is that of the
+vocabulary. What is shuffled grows in proportion to the table: positions once, and a row per chunk and distinct word.
 """
 
 from __future__ import annotations
@@ -14,13 +15,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import CHUNK_UNITS, packed, round_trip, unpacked
-from .vocab import BYTE_BPE, PATTERN, encoding, ranks
+from .chunks import joined, packed, parted, planes, unpacked, unplanes
+from .vocab import BYTE_BPE, PATTERN, ranks, single
+from .words import PIECE_BYTES, flat, pieces
+
+CHUNK_BYTES = 16 << 20
+ANSWER_ROWS = 1 << 18
 
 
 @lru_cache(maxsize=4)
@@ -38,37 +43,6 @@ def token_bytes(vocabulary: str = BYTE_BPE) -> np.ndarray:
     return out
 
 
-def distinct_words(texts: pa.Table, pattern: str, buckets: int) -> list[list[str]]:
-    """A chunk's distinct pre-tokens by bucket, sorted: the same order whenever the chunk is read."""
-    find = _splitter(pattern)
-    seen: set[str] = set()
-    for batch in texts.column("text").chunks:
-        for text in batch.to_pylist():
-            if text:
-                seen.update(find(text))
-    out: list[list[str]] = [[] for _ in range(buckets)]
-    for word in sorted(seen):
-        out[xxhash.xxh64_intdigest(word) % buckets].append(word)
-    return out
-
-
-def _answers(vocabulary: str, messages: list[bytes]) -> list[bytes]:
-    """Ids of each message's words: how many tokens a word has, then all tokens."""
-    encode = encoding(vocabulary)._encode_single_piece
-    known: dict[str, list[int]] = {}
-    out = []
-    for message in messages:
-        words = unpacked(message).column("word").to_pylist()
-        for word in words:
-            if word not in known:
-                known[word] = encode(word)
-        ids = [known[w] for w in words]
-        sizes = pa.array([len(i) for i in ids], pa.int32())
-        flat = pa.array([t for i in ids for t in i], pa.int32())
-        out.append(packed(pa.table({"ids": pa.ListArray.from_arrays(_offsets(sizes), flat)})))
-    return out
-
-
 def _offsets(sizes: pa.Array) -> pa.Array:
     at = np.zeros(len(sizes) + 1, np.int32)
     np.cumsum(sizes.to_numpy(), out=at[1:])
@@ -84,6 +58,100 @@ def _gather(place: np.ndarray, at: np.ndarray, flat: np.ndarray) -> np.ndarray:
     return flat[np.repeat(start - ends + size, size) + np.arange(ends[-1])]
 
 
+def _positions(pattern: str, chunk_bytes: int):
+    """Rows (chunk, blob): the distinct words of a chunk in order of their numbers, its documents' ids and lengths, and
+    the numbers of all their words. The pattern runs over each text once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, chunk = _splitter(pattern), TaskContext.get().partitionId() << 33
+        number: dict[str, int] = {}
+        parts, numbers, held = [], [], 0
+
+        def close() -> pa.RecordBatch:
+            words = pa.table({"word": pa.array(list(number), pa.large_string())})
+            blob = joined(packed(words), packed(pa.concat_tables(parts).combine_chunks()), planes(np.concatenate(numbers)))
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([blob], pa.binary())], ["chunk", "blob"])
+
+        for batch in batches:
+            for piece in pieces(batch, "text", PIECE_BYTES):
+                sizes = []
+                for text in piece.column("text"):
+                    words = find(text.as_py()) if text.is_valid else []
+                    numbers.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+                    sizes.append(len(words))
+                parts.append(pa.table({"id": piece.column("id"), "size": pa.array(sizes, pa.int64())}))
+                held += piece.column("text").nbytes + 64 * len(piece)
+                if held >= chunk_bytes:
+                    yield close()
+                    chunk, parts, numbers, held = chunk + 1, [], [], 0
+                    number.clear()
+        if parts:
+            yield close()
+
+    return run
+
+
+HEAD = 12  # bytes before a word: its chunk and its number there
+
+
+def _asked(table: pa.Table) -> pa.Table:
+    """A row for each distinct word of a chunk: chunk, number and word in one value, which shuffles small."""
+    ((chunk, blob),) = zip(table.column("chunk"), table.column("blob"))
+    data, at = flat(unpacked(parted(blob.as_buffer())[0]).column("word"))
+    n = len(at) - 1
+    head = np.empty((n, HEAD), np.uint8)
+    head[:, :8] = np.frombuffer(np.int64(chunk.as_py()).tobytes(), np.uint8)
+    head[:, 8:] = np.arange(n, dtype="<i4").view(np.uint8).reshape(n, 4)
+    start = at[:-1] + HEAD * np.arange(n)  # of each value
+    out = np.empty(len(data) + HEAD * n, np.uint8)
+    out[start[:, None] + np.arange(HEAD)] = head
+    out[np.arange(len(data)) + HEAD * np.repeat(np.arange(1, n + 1), np.diff(at))] = data
+    ends = pa.py_buffer(np.append(start, len(out)).astype(np.int64))
+    return pa.table({"word": pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, ends, pa.py_buffer(out)]).cast(pa.binary())})
+
+
+def _encoded(vocabulary: str):
+    """Encode words that come sorted, each once; answers of one chunk travel together, as far as a task holds them."""
+
+    def answers(held: list[tuple]) -> pa.RecordBatch:
+        asked, place, size, tokens = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((place, asked))
+        tokens = _gather(order, np.append(0, np.cumsum(size)), tokens)
+        asked, place, size = asked[order], place[order], size[order]
+        first = np.flatnonzero(np.diff(asked, prepend=-1))
+        blobs, ends = [], np.append(0, np.cumsum(size))
+        for s, e in zip(first, [*first[1:], len(asked)]):
+            blobs.append(joined(planes(np.diff(place[s:e], prepend=0)), planes(size[s:e]), planes(tokens[ends[s] : ends[e]])))
+        return pa.RecordBatch.from_arrays([pa.array(asked[first]), pa.array(blobs, pa.binary())], ["asked", "answer"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, last, ids = single(vocabulary).encode_ordinary, None, []
+        held, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data, at = flat(batch.column("word"))
+            head = data[at[:-1, None] + np.arange(HEAD)]
+            found, raw = [], data.tobytes()
+            for start, end in zip((at[:-1] + HEAD).tolist(), at[1:].tolist()):
+                word = raw[start:end]
+                if word != last:
+                    last, ids = word, one(word.decode())
+                found.append(ids)
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            tokens = np.fromiter((t for i in found for t in i), np.int32, int(size.sum()))
+            asked = np.ascontiguousarray(head[:, :8]).view("<i8").ravel()
+            held.append((asked, np.ascontiguousarray(head[:, 8:]).view("<i4").ravel(), size, tokens))
+            rows += len(found)
+            if rows >= ANSWER_ROWS:
+                yield answers(held)
+                held, rows = [], 0
+        if held:
+            yield answers(held)
+
+    return run
+
+
 def encode(
     docs: DataFrame,
     id: str = "doc_id",
@@ -91,47 +159,51 @@ def encode(
     *,
     vocabulary: str = BYTE_BPE,
     pattern: str = PATTERN,
-    chunk_units: int = CHUNK_UNITS,
+    decoded: str | None = None,
+    chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """Per row of ``docs``: ``id`` and ``ids`` (array of token ids of the whole text, no special tokens).
 
     Null and empty texts have an empty array. Repeated rows and rows with null ids are encoded one by one; an
     empty table gives an empty result. Other columns are not read. ``vocabulary`` is the path of a tiktoken rank
-    file that every executor can read.
+    file that every executor can read. ``decoded`` names a further column with the bytes that the ids stand for, looked up
+    where they are put together, which saves ``decode`` a task of its own.
+
+    Long texts: a task holds a chunk (``chunk_bytes`` of text or one longer text) as word numbers and tokens. Chunks are cut
+    in the order of the scan, so ids may repeat without limit. A word that is everywhere has one row per chunk.
     """
 
-    def ask(texts: pa.Table, buckets: int) -> Iterator[tuple[int, bytes]]:
-        for b, words in enumerate(distinct_words(texts, pattern, buckets)):
-            if words:
-                yield b, packed(pa.table({"word": pa.array(words, pa.string())}))
-
-    def answer(chunks: list[int], messages: list[bytes]) -> list[bytes]:
-        return _answers(vocabulary, messages)
-
-    def finish(texts: pa.Table, buckets: int, replies: dict[int, bytes]) -> pa.Table:
-        place: dict[str, int] = {}
-        sizes, flat = [], []
-        for b, words in enumerate(distinct_words(texts, pattern, buckets)):
-            if words:
-                ids = unpacked(replies[b]).column("ids").combine_chunks()
-                sizes.append(np.diff(ids.offsets.to_numpy()))
-                flat.append(ids.values.to_numpy())
-                place.update(zip(words, range(len(place), len(place) + len(words))))
-        none = [np.zeros(0, np.int32)]
-        at = np.append(0, np.cumsum(np.concatenate(sizes or none), dtype=np.int64))
-        tokens, find = np.concatenate(flat or none), _splitter(pattern)
-        out, lengths = [], []
-        for batch in texts.column("text").chunks:
-            for one in batch.to_pylist():
-                words = find(one) if one else []
-                ids = _gather(np.fromiter(map(place.__getitem__, words), np.int64, len(words)), at, tokens)
-                out.append(ids)
-                lengths.append(len(ids))
-        lists = pa.ListArray.from_arrays(_offsets(pa.array(lengths, pa.int32())), pa.array(np.concatenate(out or none)))
-        return pa.table({"id": texts.column("id"), "ids": lists})
-
-    renamed = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    return round_trip(renamed, ask, answer, finish, "id bigint, ids array<int>", chunk_units).withColumnRenamed("id", id)
+    def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        parts = [[unplanes(p) for p in parted(x.as_buffer())] for x in answers.column("answer")] or [[np.zeros(0, np.int32)] * 3]
+        place = np.concatenate([np.cumsum(p) for p, _, _ in parts]).astype(np.int64)
+        size, tokens = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
+        order = np.argsort(place)
+        tokens = _gather(order, np.append(0, np.cumsum(size, dtype=np.int64)), tokens)
+        of, out = np.append(0, np.cumsum(size[order], dtype=np.int64)), []
+        for blob in rows.column("blob"):
+            _, docs_, numbers = parted(blob.as_buffer())
+            whole, at = unpacked(docs_), unplanes(numbers).astype(np.int64)
+            first = np.append(0, np.cumsum(np.asarray(whole.column("size"))))
+            ends = np.append(0, np.cumsum(of[at + 1] - of[at]))[first].astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(_gather(at, of, tokens)))
+            table = pa.table({"id": whole.column("id"), "ids": ids})
+            out.append(table if decoded is None else table.append_column(decoded, _bytes(table.column("ids"), vocabulary)))
+        return pa.concat_tables(out)
+
+    rows = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    # Both uses read the same exchange of chunks.
+    chunks = rows.mapInArrow(_positions(pattern, chunk_bytes), "chunk bigint, blob binary")
+    asked = chunks.groupBy("chunk").applyInArrow(_asked, "word binary")
+    word = F.expr(f"substring(word, {HEAD + 1})")
+    sorted_words = asked.repartition(word).sortWithinPartitions(word)
+    answers = sorted_words.mapInArrow(_encoded(vocabulary), "asked bigint, answer binary")
+    schema = "id bigint, ids array<int>" + (f", `{decoded}` binary" if decoded else "")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("asked")).applyInArrow(finish, schema).withColumnRenamed("id", id)
+
+
+def _bytes(ids, vocabulary: str) -> pa.Array:
+    table = token_bytes(vocabulary)
+    return pa.array([b"".join(table[one.values.to_numpy()].tolist()) if one.is_valid else None for one in ids], pa.binary())
 
 
 def decode(tokens: DataFrame, ids: str = "ids", into: str = "decoded", *, vocabulary: str = BYTE_BPE) -> DataFrame:
@@ -139,12 +211,8 @@ def decode(tokens: DataFrame, ids: str = "ids", into: str = "decoded", *, vocabu
     rest = [c for c in tokens.columns if c != into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(vocabulary)
         for batch in batches:
-            out = [
-                b"".join(table[one.values.to_numpy()].tolist()) if one.is_valid else None for one in batch.column(ids)
-            ]
-            yield batch.append_column(into, pa.array(out, pa.binary()))
+            yield batch.append_column(into, _bytes(batch.column(ids), vocabulary))
 
     frame = tokens.select(*[F.col(f"`{c}`") for c in rest])
     return frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField(into, T.BinaryType())]))

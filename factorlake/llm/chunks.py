@@ -32,6 +32,32 @@ def unpacked(blob) -> pa.Table:
     return pa.ipc.open_stream(blob.as_buffer() if hasattr(blob, "as_buffer") else blob).read_all()
 
 
+def joined(*parts: bytes) -> bytes:
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def parted(blob: pa.Buffer) -> list[pa.Buffer]:
+    """The parts that ``joined`` put together."""
+    out, at = [], 0
+    while at < blob.size:
+        size = int.from_bytes(blob[at : at + 8].to_pybytes(), "little")
+        out.append(blob[at + 8 : at + 8 + size])
+        at += 8 + size
+    return out
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers of 32 bits, compressed by byte plane: high bytes are mostly alike."""
+    raw = np.ascontiguousarray(numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(numbers).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+
+
+def unplanes(blob: pa.Buffer) -> np.ndarray:
+    n = int.from_bytes(blob[:8].to_pybytes(), "little")
+    raw = pa.Codec("zstd").decompress(blob[8:], decompressed_size=4 * n, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view(np.int32).ravel()
+
+
 def bounds_of(docs: DataFrame, chunk_units: int = CHUNK_UNITS) -> list[int]:
     """Ids that end each chunk but the last: one number for each 16 MB of text or less."""
     weight = F.ceil((F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / UNIT_BYTES).cast("int")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .align import alignment_counts
-from .bpe import decode, encode
+from .bpe import encode
 from .merkle import audit, audit_sql
 from .mixing import mix, mix_sql
 from .near_dedup import near_duplicates
@@ -71,7 +71,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = decode(encode(table(spark, sf_dir, "documents")))
+    tokens = encode(table(spark, sf_dir, "documents"), decoded="decoded")
     return tokens.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

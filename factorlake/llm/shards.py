@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .store import stored
 
 RING_BITS = 32
-CELL_BITS = 12  # equal cells of the ring, to look arcs up by an equality
+CELL_BITS = 16  # equal cells of the ring, to look arcs up by an equality
 
 
 def ring(spark, shards: int, points: int) -> DataFrame:
@@ -122,7 +122,7 @@ def segments(caps: DataFrame) -> DataFrame:
 
 
 def ring_shards(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", *, shards: int = 40, points: int = 64
+    docs: DataFrame, id: str = "doc_id", text: str = "text", *, shards: int = 40, points: int = 1024
 ) -> DataFrame:
     """Place every row into a shard: ``id``, ``size`` (UTF-8 bytes plus 16), ``text_crc32``, ``law`` (``rows``:
     counts are at most one apart), ``shard``, ``slot`` (gapless from 0 in each shard), ``grown_shard`` (null) and
@@ -130,7 +130,9 @@ def ring_shards(
 
     A null text has no bytes. Rows are hashed by id, rows with a null id by their text, so that many such rows
     spread; repeated rows are placed one by one. An empty table gives an empty result. Other columns are not read.
-    The shuffle carries ids and checksums only, by arc; raise ``points`` where an arc would be too large for a task.
+    The shuffle carries ids and checksums only, by arc; raise ``points`` where an arc would be too large for a task. More
+    points also even out the ring, so that fewer rows continue past their own shard, and fewer move when one is added.
+    Very long texts are measured inside the scan.
     """
     spark = docs.sparkSession
     bytes_ = F.encode(F.col(text), "UTF-8")

@@ -21,3 +21,9 @@ def ranks(path: str = BYTE_BPE) -> dict[bytes, int]:
 @lru_cache(maxsize=4)
 def encoding(path: str = BYTE_BPE, pattern: str = PATTERN) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
+
+
+@lru_cache(maxsize=4)
+def single(path: str = BYTE_BPE) -> tiktoken.Encoding:
+    """The vocabulary without a pattern: a string is one piece."""
+    return tiktoken.Encoding(path, pat_str="(?s:.+)", mergeable_ranks=ranks(path), special_tokens={})
