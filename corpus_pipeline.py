@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factorlake.llm.bpe import decode, encode
+from factorlake.llm.bpe import encode
 from factorlake.llm.near_dedup import near_duplicates
 from factorlake.llm.quality import quality
 from factorlake.llm.queries import mixed
@@ -26,7 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id, once if rows repeat it."""
     gone = near_duplicates(docs.select("doc_id", "text"), percent=80).where("not kept").select("doc_id").distinct()
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("n_chars")
+    # Of rows with equal ids and texts one stays, the same in every run.
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("n_chars", "source", "lang")
     nth = free(docs, "_nth")
     left = docs.join(gone, "doc_id", "left_anti").withColumn(nth, F.row_number().over(same))
     return left.where(f"{nth} = 1 or doc_id is null").select(*docs.columns)
@@ -46,7 +47,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and a digest of what they decode to."""
-    coded = decode(encode(docs))
+    coded = encode(docs, decoded="decoded")
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
