@@ -191,6 +191,43 @@ def running(spark, sf):
     )
 
 
+_LEVEL = "1e6::DOUBLE + close * 1e-6::DOUBLE"
+
+
+@query(
+    "rolling_on_levels",
+    f"""{BARS}, s AS (SELECT ts_code, date, {_LEVEL} AS x FROM bars), t AS (SELECT *, {lag_sql('x')} AS x1 FROM s)
+    SELECT ts_code, date, {nums({'mean_20': f"({roll_sql('avg', 'x - 1e6::DOUBLE', 20, 5)}) * 1000", 'std_60': f"{roll_sql('stddev_samp', 'x - 1e6::DOUBLE', 60, 20)} * 1000",
+    'z': clip_sql(f"(x - 1e6::DOUBLE - {roll_sql('avg', 'x - 1e6::DOUBLE', 20, 5)}) / {roll_sql('stddev_samp', 'x - 1e6::DOUBLE', 60, 20)}", -10, 10),
+    'corr_1': corr_sql('x - 1e6::DOUBLE', 'x1 - 1e6::DOUBLE', 60, 20)}, 5)} FROM t""",
+    digits=5,
+)
+def on_levels(spark, sf):
+    """Levels of a million that move by thousandths: sums from the first level keep the digits of the moves."""
+
+    def moments(w):
+        out = C.window_sums("m20", "x", w, 20, anchor="_at") | C.window_sums("s60", "x", w, 60, squares=True, anchor="_at")
+        return out | C.window_sums("ac", "x", w, 60, y="x1", anchor="_at", y_anchor="_at")
+
+    def derived(w):
+        mean, std = C.mean_of("m20", 5, F.col("_at") - 1e6), C.std_of("s60", 20)
+        z = C.clip((F.col("x") - 1e6 - mean) / std, -10, 10)
+        return {"mean_20": mean * 1000, "std_60": std * 1000, "z": z, "corr_1": C.corr_of("ac", 20)}
+
+    return _series(
+        spark,
+        sf,
+        [
+            lambda w: {"x": F.lit(1e6) + F.col("close") * 1e-6},
+            lambda w: {"x1": F.lag("x").over(w), "_at": C.first_level("x", w)},
+            moments,
+            derived,
+        ],
+        back=62,
+        keep=("mean_20", "std_60", "z", "corr_1"),
+    )
+
+
 @query(
     "rolling_zscore",
     f"""{BARS}, s AS (SELECT ts_code, date, close, {roll_sql('avg', 'close', 20, 6)} AS m,

@@ -173,27 +173,46 @@ def roll_max(x, w, n, min_samples) -> Column:
 #
 # The sums cover finite values only; a window holding a NaN or infinity is NaN. Rounding errors are
 # relative to the running sum: negligible for means, and for moments of returns, whose size does not
-# drift and which are exactly zero while a price rests. For moments of drifting levels use roll_std /
-# roll_var / roll_corr.
+# drift and which are exactly zero while a price rests. Levels (prices, balances) are large against their moves: sum
+# them as differences from an ``anchor``, the first value of the series, staged ahead. What then counts is how far a
+# level has moved since, not how high it is.
 
 
 def _finite(x: Column) -> Column:
     return F.when((x - x) == 0, x)
 
 
+def first_level(x: str | Column, w: WindowSpec) -> Column:
+    """First finite value of the series up to each row: an anchor for ``window_sums`` of a later stage."""
+    return F.first(_finite(as_col(x)), ignorenulls=True).over(before(w, 0))
+
+
+def _less(x: Column, anchor: str | Column | None) -> Column:
+    return x if anchor is None else x - as_col(anchor)
+
+
 def window_sums(
-    name: str, x: str | Column, w: WindowSpec, n: int, *, squares: bool = False, y: str | Column | None = None
+    name: str,
+    x: str | Column,
+    w: WindowSpec,
+    n: int,
+    *,
+    squares: bool = False,
+    y: str | Column | None = None,
+    anchor: str | Column | None = None,
+    y_anchor: str | Column | None = None,
 ) -> dict[str, Column]:
     """Columns ``_<name>_n`` (values), ``_ok`` (finite ones), ``_x`` (sum) and, as asked, ``_xx``; with ``y``
-    the same over complete pairs, plus ``_y``, ``_yy`` and ``_xy``."""
+    the same over complete pairs, plus ``_y``, ``_yy`` and ``_xy``. With an ``anchor`` (see ``first_level``; ``y_anchor`` for
+    ``y``) the sums are of differences from it: give it to ``mean_of``, too."""
     x = as_col(x)
     if y is not None:
         y = as_col(y)
         both = x + y
-        fx, fy = (F.when(_finite(both).isNotNull(), v) for v in (x, y))
+        fx, fy = (F.when(_finite(both).isNotNull(), _less(v, a)) for v, a in ((x, anchor), (y, y_anchor)))
         parts = {"x": fx, "xx": fx * fx, "y": fy, "yy": fy * fy, "xy": fx * fy}
     else:
-        both, fx = x, _finite(x)
+        both, fx = x, _less(_finite(x), anchor)
         parts = {"x": fx} | ({"xx": fx * fx} if squares else {})
     upto, left, zero = before(w, 0), before(w, n), F.lit(0.0)
     out = {}
@@ -212,8 +231,9 @@ def _gated(name: str, value: Column, min_samples: int) -> Column:
     return F.when(have >= min_samples, F.when(ok < have, F.lit(NAN)).otherwise(value))
 
 
-def mean_of(name: str, min_samples: int) -> Column:
-    return _gated(name, F.try_divide(F.col(f"_{name}_x"), F.col(f"_{name}_n")), min_samples)
+def mean_of(name: str, min_samples: int, anchor: str | Column | None = None) -> Column:
+    mean = F.try_divide(F.col(f"_{name}_x"), F.col(f"_{name}_n"))
+    return _gated(name, mean if anchor is None else mean + as_col(anchor), min_samples)
 
 
 def _moment(name: str, a: str, b: str) -> Column:

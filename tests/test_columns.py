@@ -89,6 +89,28 @@ def test_running_moments_agree_with_fresh_ones(spark, W):
         assert r["c"] is None or r["c"] == pytest.approx(r["d"], abs=1e-9)
 
 
+def test_moments_of_levels_keep_their_digits(spark, W):
+    """A level of a million that drifts and moves by thousandths, with gaps: sums from the first level against fresh frames."""
+    import random
+
+    rnd, level, xs = random.Random(8), 1e6, []
+    for _ in range(400):
+        level += rnd.gauss(0.0002, 0.001)
+        xs.append(None if rnd.random() < 0.1 else level)
+    df = series(spark, [None, *xs]).withColumns({"y": F.lag("x", 1).over(W), "at": C.first_level("x", W)})
+    sums = C.window_sums("m", "x", W, 20, squares=True, anchor="at") | C.window_sums("c", "x", W, 20, y="y", anchor="at", y_anchor="at")
+    df = df.withColumns(sums)
+    rows = df.select(
+        C.roll_std("x", W, 20, 5).alias("a"), C.std_of("m", 5).alias("b"), C.roll_corr("x", "y", W, 20, 5).alias("c"),
+        C.corr_of("c", 5).alias("d"), C.roll_mean("x", W, 20, 5).alias("e"), C.mean_of("m", 5, "at").alias("f"),
+    ).collect()
+    assert sum(r["a"] is not None for r in rows) > 300
+    for r in rows:
+        for one, two, rel, abs_ in (("a", "b", 1e-6, 0), ("c", "d", 0, 1e-6), ("e", "f", 1e-12, 0)):
+            assert (r[one] is None) == (r[two] is None)
+            assert r[one] is None or r[two] == pytest.approx(r[one], rel=rel, abs=abs_)
+
+
 def test_resting_price_has_zero_deviation(spark, W):
     xs = [0.01, -0.02, 0.03] + [0.0] * 10
     df = series(spark, xs).withColumns(C.window_sums("m", "x", W, 5, squares=True)).orderBy("t")
