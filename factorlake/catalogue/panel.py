@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import (
     asof_backward,
+    asof_stored,
     join_macro_left,
     membership_spans,
     suspended_filter,
@@ -18,7 +19,7 @@ from ..operators.joins import (
 from ..operators import macro
 from ..operators.skew import durable, shared_dir
 from ..plans.panel import fundamental_features, market_features, panel_dataset, panel_stack
-from ..sources.tables import write_table
+from ..sources.tables import write_bucketed, write_table
 from . import views as V
 from .crosssection import FUND, _zscore_sql, spans
 from .macro import FLOW_STAGES, margin, northbound
@@ -40,6 +41,19 @@ def asof(spark, sf):
     return asof_backward(V.bars(spark, sf).select("ts_code", "date", "close"), right)
 
 
+@query(
+    "asof_stored",
+    f"""{views('bars', 'statements')} SELECT b.ts_code, b.date, s.notice_date, {nums({'close': 'b.close', 'net_profit': 's.net_profit'}, 4)}
+    FROM bars b ASOF LEFT JOIN statements s ON b.ts_code = s.ts_code AND b.date >= s.notice_date""",
+    digits=4,
+)
+def asof_of_table(spark, sf):
+    """Bars from a table bucketed by code: only the reports are shuffled."""
+    name, path = f"bars_{uuid.uuid4().hex}", f"{shared_dir(spark)}/bars-{uuid.uuid4().hex}"
+    write_bucketed(V.bars(spark, sf).select("ts_code", "date", "close"), name, path, "ts_code", "date")
+    return asof_stored(spark.table(name), V.statements(spark, sf).select("ts_code", "notice_date", "net_profit"))
+
+
 @query(
     "join_macro_left",
     f"""{views('bars', 'margin')} SELECT ts_code, date, {nums(['close', 'total_margin_balance'], 2)}

@@ -63,6 +63,14 @@ def refresh(spark, sf):
     return T.read_table(spark, path).select("ts_code", "date", "close")
 
 
+@query("table_read_codes", BARS_SQL + " WHERE ts_code IN ('000003', '000008')")
+def codes_read(spark, sf):
+    """Two codes of a table whose files are clustered by code."""
+    path = scratch(spark, "clustered")
+    T.write_clustered(V.bars(spark, sf), path, "ts_code", "date", row_group_bytes=1 << 16)
+    return T.read_table(spark, path).where(F.col("ts_code").isin("000003", "000008"))
+
+
 _CUTS = (date(1996, 12, 31), date(1998, 2, 14), date(1998, 2, 16))
 
 

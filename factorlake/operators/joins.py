@@ -156,6 +156,31 @@ def join_in_force(df: DataFrame, spans: DataFrame, on: str = "ts_code", at: str
     return df.join(named, holds).drop(*[f"_in_force_{c}" for c in (on, *SPAN)])
 
 
+def asof_stored(
+    left: DataFrame,
+    right: DataFrame,
+    *,
+    left_on: str = "date",
+    right_on: str = "notice_date",
+    by: str = "ts_code",
+    tie_break: Sequence[str] = (),
+) -> DataFrame:
+    """``asof_backward`` by validity: each right row holds until the next of its key, and left rows look up what holds.
+
+    Left rows are neither sorted nor, if they come from a table bucketed by the key (``write_bucketed``), shuffled; only
+    the right side moves. For right sides with few rows per key (reports): a left row is compared with all of its key's.
+    """
+    fields = [c for c in right.columns if c != by]
+    clash = [c for c in fields if c in left.columns]
+    if clash:
+        raise ValueError(f"as-of join would duplicate columns {clash}")
+    right = dedupe_last(right.where(F.col(right_on).isNotNull() & F.col(by).isNotNull()), [by, right_on], list(tie_break))
+    until = F.lead(right_on).over(Window.partitionBy(by).orderBy(right_on))
+    spans = right.withColumns({"valid_from": F.col(right_on), "valid_to": until})
+    named, holds = _in_force(left, spans, by, left_on)
+    return left.join(named, holds, "left").drop(*[f"_in_force_{c}" for c in (by, *SPAN)])
+
+
 def join_industry(df: DataFrame, industry: DataFrame, on: str = "ts_code", at: str = "notice_date") -> DataFrame:
     """Attach the industry of each code; unclassified codes drop out.
 

@@ -28,6 +28,30 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), *, c
     writer.parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, path: str, by: str, order: str, buckets: int | None = None) -> None:
+    """Write ``df`` to ``path`` as table ``name``, in ``buckets`` of ``by``, sorted: joins and groups by that key need no
+    exchange of it. One file a bucket. By default there are as many as shuffle partitions; with fewer Spark may prefer
+    to deal the table anew."""
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = df.repartition(buckets, by).write.format("parquet").mode("overwrite").option("path", path)
+    out.bucketBy(buckets, by).sortBy(by, order).saveAsTable(name)
+
+
+def write_clustered(
+    df: DataFrame, path: str, by: str, order: str, partition_by: Sequence[str] = (), *, distinct: int = 100_000, row_group_bytes: int = 16 << 20
+) -> None:
+    """Write rows of one key side by side, with a bloom filter of keys per row group (sized for ``distinct`` keys).
+
+    Reading single keys then skips the row groups without them: by their least and greatest key, and by the filter
+    where a range of keys is wide.
+    """
+    keys = list(partition_by)
+    out = df.repartitionByRange(*keys, by, order).sortWithinPartitions(*keys, by, order).write.mode("overwrite")
+    out = out.option(f"parquet.bloom.filter.enabled#{by}", "true").option(f"parquet.bloom.filter.expected.ndv#{by}", str(distinct))
+    out = out.option("parquet.block.size", str(row_group_bytes))
+    (out.partitionBy(*keys).option("partitionOverwriteMode", "dynamic") if keys else out).parquet(path)
+
+
 # Recomputing books is the same write: partitions not in the frame stay as they are. Where rows are only ever added,
 # ``incremental.GrowingFeatures`` recomputes less than a book.
 refresh_partition = write_table

@@ -541,3 +541,47 @@ def test_books_without_rows_are_computed_once(spark, tmp_path):
         assert tables.read_through(spark, path, ["a", "empty"], compute).count() == 1
     assert tables.read_through(spark, path, ["a", "b", "empty"], compute, stale=["empty"]).count() == 2
     assert asked == [["a", "empty"], ["b", "empty"]]
+
+
+def test_asof_of_a_bucketed_table_moves_only_the_right_side(spark, tmp_path):
+    from factorlake.operators.joins import asof_stored
+
+    pick = random.Random(5)
+    days = [(f"{pick.randrange(9)}" if pick.random() > 0.05 else None, date(2000, 1, 1) + timedelta(days=pick.randrange(300)), i) for i in range(900)]
+    reports = [(f"{pick.randrange(12)}" if pick.random() > 0.05 else None, date(2000, 1, 1) + timedelta(days=pick.randrange(300)) if pick.random() > 0.05 else None, i) for i in range(90)]
+    bars = spark.createDataFrame(days, "ts_code string, date date, i int")
+    right = spark.createDataFrame(reports, "ts_code string, notice_date date, n int")
+    tables.write_bucketed(bars, "bucketed_bars", str(tmp_path / "bars"), "ts_code", "date")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = asof_stored(spark.table("bucketed_bars"), right, tie_break=["n"])
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        left = plan[plan.index("SortMergeJoin") : plan.index("bucketed_bars")]
+        assert "Bucketed: true" in plan and "Exchange" not in left
+        rows = sorted(map(str, got.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucketed_bars")
+    assert rows == sorted(map(str, joins.asof_backward(bars, right, tie_break=["n"]).collect()))
+
+
+def test_single_codes_read_few_row_groups(spark, tmp_path):
+    """Rows that the scan gives out for one code, of a table clustered by code and of the same rows as they come."""
+    df = spark.range(0, 200_000, 1, 4).selectExpr("format_string('%06d', id * 7919 % 500) AS ts_code", "date_add(date'2000-01-01', cast(id / 500 AS int)) AS date", "rand(1) AS close")
+    clustered, plain = str(tmp_path / "clustered"), str(tmp_path / "plain")
+    tables.write_clustered(df, clustered, "ts_code", "date", row_group_bytes=1 << 16)
+    df.write.option("parquet.block.size", str(1 << 16)).parquet(plain)
+
+    def scanned(path):
+        found = spark.read.parquet(path).where("ts_code = '000123'")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            plan = found._jdf.queryExecution().executedPlan()
+            assert plan.executeCollect().__len__() == 400
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        leaf = plan.collectLeaves().head()
+        return leaf.metrics().apply("numOutputRows").value()
+
+    few, all_ = scanned(clustered), scanned(plain)
+    assert all_ > 100_000 and few < 20_000
