@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -91,23 +92,24 @@ def _positions(pattern: str, chunk_bytes: int):
     return run
 
 
-HEAD = 12  # bytes before a word: its chunk and its number there
+CHUNK_SIZE, PLACE_SIZE = 8, 4  # bytes before and after a word: its chunk, and its number there
 
 
 def _asked(table: pa.Table) -> pa.Table:
-    """A row for each distinct word of a chunk: chunk, number and word in one value, which shuffles small."""
+    """A row for each distinct word of a chunk: chunk, word and number in one value. Sorted, and with what changes most at
+    its end, neighbouring values share their starts and shuffle small."""
     ((chunk, blob),) = zip(table.column("chunk"), table.column("blob"))
-    data, at = flat(unpacked(parted(blob.as_buffer())[0]).column("word"))
-    n = len(at) - 1
-    head = np.empty((n, HEAD), np.uint8)
-    head[:, :8] = np.frombuffer(np.int64(chunk.as_py()).tobytes(), np.uint8)
-    head[:, 8:] = np.arange(n, dtype="<i4").view(np.uint8).reshape(n, 4)
-    start = at[:-1] + HEAD * np.arange(n)  # of each value
-    out = np.empty(len(data) + HEAD * n, np.uint8)
-    out[start[:, None] + np.arange(HEAD)] = head
-    out[np.arange(len(data)) + HEAD * np.repeat(np.arange(1, n + 1), np.diff(at))] = data
-    ends = pa.py_buffer(np.append(start, len(out)).astype(np.int64))
-    return pa.table({"word": pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, ends, pa.py_buffer(out)]).cast(pa.binary())})
+    words = unpacked(parted(blob.as_buffer())[0]).column("word").combine_chunks()
+    order = np.asarray(pc.sort_indices(words), np.int64)
+    data, at = flat(words.take(pa.array(order)))
+    n, more = len(order), CHUNK_SIZE + PLACE_SIZE
+    start = at + more * np.arange(n + 1)  # of each value, and the end of the last
+    out = np.empty(int(start[-1]), np.uint8)
+    out[start[:-1, None] + np.arange(CHUNK_SIZE)] = np.frombuffer(np.int64(chunk.as_py()).tobytes(), np.uint8)
+    out[start[1:, None] - PLACE_SIZE + np.arange(PLACE_SIZE)] = order.astype("<i4").view(np.uint8).reshape(n, PLACE_SIZE)
+    out[np.arange(len(data)) + CHUNK_SIZE + more * np.repeat(np.arange(n), np.diff(at))] = data
+    values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(start.astype(np.int64)), pa.py_buffer(out)])
+    return pa.table({"word": values.cast(pa.binary())})
 
 
 def _encoded(vocabulary: str):
@@ -131,17 +133,17 @@ def _encoded(vocabulary: str):
             if not batch.num_rows:
                 continue
             data, at = flat(batch.column("word"))
-            head = data[at[:-1, None] + np.arange(HEAD)]
             found, raw = [], data.tobytes()
-            for start, end in zip((at[:-1] + HEAD).tolist(), at[1:].tolist()):
+            for start, end in zip((at[:-1] + CHUNK_SIZE).tolist(), (at[1:] - PLACE_SIZE).tolist()):
                 word = raw[start:end]
                 if word != last:
                     last, ids = word, one(word.decode())
                 found.append(ids)
             size = np.fromiter(map(len, found), np.int64, len(found))
             tokens = np.fromiter((t for i in found for t in i), np.int32, int(size.sum()))
-            asked = np.ascontiguousarray(head[:, :8]).view("<i8").ravel()
-            held.append((asked, np.ascontiguousarray(head[:, 8:]).view("<i4").ravel(), size, tokens))
+            asked = data[at[:-1, None] + np.arange(CHUNK_SIZE)].view("<i8").ravel()
+            place = data[at[1:, None] - PLACE_SIZE + np.arange(PLACE_SIZE)].view("<i4").ravel()
+            held.append((asked, place, size, tokens))
             rows += len(found)
             if rows >= ANSWER_ROWS:
                 yield answers(held)
@@ -194,7 +196,7 @@ def encode(
     # Both uses read the same exchange of chunks.
     chunks = rows.mapInArrow(_positions(pattern, chunk_bytes), "chunk bigint, blob binary")
     asked = chunks.groupBy("chunk").applyInArrow(_asked, "word binary")
-    word = F.expr(f"substring(word, {HEAD + 1})")
+    word = F.expr(f"substring(word, {CHUNK_SIZE + 1}, octet_length(word) - {CHUNK_SIZE + PLACE_SIZE})")
     sorted_words = asked.repartition(word).sortWithinPartitions(word)
     answers = sorted_words.mapInArrow(_encoded(vocabulary), "asked bigint, answer binary")
     schema = "id bigint, ids array<int>" + (f", `{decoded}` binary" if decoded else "")
