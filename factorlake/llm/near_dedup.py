@@ -260,7 +260,8 @@ def near_duplicates(
 
     A null or empty text, or one without words, has no shingles, is linked with nothing and kept. Repeated rows
     share the component of their id and are all returned. A row with a null id is linked with nothing, has a
-    null component and is kept. An empty table gives an empty result.
+    null component and is kept. An empty table gives an empty result. Texts of any length are hashed whole, a megabyte or
+    one longer text at a time; the full sets of a block of candidates meet in one task.
     """
     floor = percent / 100 - slack
     signed = stored(signatures(docs, id, text, shingle, rows or (8 if percent >= 85 else 6)), "signatures")

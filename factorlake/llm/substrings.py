@@ -80,7 +80,8 @@ def remove_repeats(
     Returns per row ``id``, ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by a space) and ``removed``
     (maximal intervals of words: start, end exclusive). Windows are judged on the input. Null and empty texts
     have no words; a text shorter than a window keeps all. Repeated rows of one id do not remove each other's
-    words. Rows with null ids are kept whole and remove nothing. An empty table gives an empty result.
+    words. Rows with null ids are kept whole and remove nothing. An empty table gives an empty result. A text longer than a
+    chunk is a chunk of its own; other columns are not read.
     """
 
     def ask(texts: pa.Table, buckets: int) -> Iterator[tuple[int, bytes]]:

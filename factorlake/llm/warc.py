@@ -313,6 +313,10 @@ def merge_runs(runs: DataFrame) -> DataFrame:
 
 
 def capture_index(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", *, least_bytes: int = 1000) -> DataFrame:
-    """Write ``pages`` into archives, read them back, and return the merged capture index (see the parts)."""
+    """Write ``pages`` into archives, read them back, and return the merged capture index (see the parts).
+
+    A null or empty page is an empty payload, a null url an empty key; repeated rows are captures of their own. Payloads of
+    any length are written whole, one at a time. An empty table gives an empty result; other columns are not read.
+    """
     archives = write_archives(pages, page_id, url, html, least_bytes=least_bytes)
     return merge_runs(stored(read_runs(archives), "captures"))
