@@ -1,7 +1,8 @@
 """From raw documents to token ids: quality, near duplicates, secrets, mixture, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's ``docs``. All but the last keep the columns of ``documents``.
+stage's ``docs``. All but the last keep the columns of ``documents``, and any further columns, whatever their names. An
+empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -18,13 +19,19 @@ from factorlake.llm.store import free, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go.
+
+    Null, empty and short texts fail the rules; repeated rows and null ids are judged like others; texts of any length whole.
+    """
     verdict = free(docs, "_quality")
     return quality(docs, into=verdict).where(f"{verdict}.kept").drop(verdict)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id, once if rows repeat it."""
+    """One document of each group of near duplicates stays: the one with the smallest id, once if rows repeat it.
+
+    Texts without words are no duplicates of each other. Rows with null ids stay, as they cannot be told apart.
+    """
     gone = near_duplicates(docs.select("doc_id", "text"), percent=80).where("not kept").select("doc_id").distinct()
     # Of rows with equal ids and texts one stays, the same in every run.
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("n_chars", "source", "lang")
@@ -34,19 +41,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are cut out of the texts; every document stays."""
+    """Secrets are cut out of the texts; every document stays. Null and empty texts stay as they are."""
     return redact(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of their domain, language and source draw them."""
+    """Documents as often as the target weights of their domain, language and source draw them.
+
+    Null languages and sources are groups of their own; null ids and repeated rows are drawn like others.
+    """
     found, copy = free(docs, "_mix"), free(docs, "_copy")
     drawn = mixed(docs, into=found).where(f"{found}.copies > 0")
     return drawn.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(f"{found}.copies")))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and a digest of what they decode to."""
+    """Token ids of every document, and a digest of what they decode to. Null and empty texts have no ids."""
     coded = encode(docs, decoded="decoded")
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
