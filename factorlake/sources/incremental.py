@@ -5,9 +5,11 @@ of each series before them (forward returns, say). To recompute those takes ``ba
 series, its last ``back + ahead`` input rows, and for each running total its sum up to there. An append reads
 that state and the new rows, never the history.
 
-Layout under the table's path, one folder per append (``batch=<n>``): ``settled`` holds rows that no later append
-changes, ``open`` the last ``ahead`` rows of every series, ``state`` their inputs. ``state`` is written last and
-makes the append valid; one that failed before leaves nothing behind that is read, and is repeated under its number.
+Layout under the table's path: ``rows/batch=<n>`` holds what append ``n`` computed, every row once, in folders by how far it
+lies from the end of its series: ``_part=0`` beyond the reach of any later append, ``_part=1`` final, but needed to
+recompute later ones (with its inputs), ``_part=2`` the last ``ahead`` rows, which the next append replaces. ``state/batch=<n>``
+holds their schema; it is written last and makes the append valid. One that failed before leaves nothing behind that is
+read, and is repeated under its number.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators.skew import MAX_GROUP_ROWS, durable, join_nullsafe, row_position
+from ..operators.skew import MAX_GROUP_ROWS, join_nullsafe, row_position
 from ..operators.staged import FeatureGroup, MetricProvider, reach, staged_metrics
 
 
@@ -49,61 +52,88 @@ class GrowingFeatures:
             return 0
         return max((int(n) for f in files for n in re.findall(r"/state/batch=(\d+)/", f)), default=0)
 
+    def _rows(self, n: int) -> DataFrame:
+        """What the first ``n`` appends computed, with ``batch`` and ``_part``."""
+        schema = self.spark.read.parquet(self._folder("state", n)).schema.add("batch", T.IntegerType()).add("_part", T.IntegerType())
+        return self.spark.read.schema(schema).parquet(f"{self.path.rstrip('/')}/rows").where(F.col("batch") <= n)
+
     def read(self) -> DataFrame:
         """All rows, with ``idents`` and the providers' outputs."""
         n = self.last_batch()
         if not n:
             raise ValueError(f"nothing was appended to {self.path} yet")
-        settled = self.spark.read.parquet(f"{self.path.rstrip('/')}/settled").where(F.col("batch") <= n).drop("batch")
-        return settled.unionByName(self.spark.read.parquet(self._folder("open", n)))
+        final = (F.col("_part") < 2) | (F.col("batch") == n)
+        return self._rows(n).where(F.col("_due") & final).select(*self._outputs())
+
+    def _outputs(self) -> list[str]:
+        return list(dict.fromkeys([*self.idents, *[o for p in self.providers for o in p.outputs]]))
 
     def state(self) -> DataFrame:
         """Input rows kept for the next append: ``back + ahead`` per series at most."""
-        return self.spark.read.parquet(self._folder("state", self.last_batch()))
+        return self._state(self.last_batch())
+
+    def _state(self, n: int) -> DataFrame:
+        kept = self._rows(n).where((F.col("batch") == n) & (F.col("_part") > 0))
+        # The last rows are due again; earlier ones have been written for good.
+        kept = kept.withColumn("_due", F.col("_part") == 2).drop("batch", "_part", *self._outputs())
+        return kept.withColumnsRenamed({c: c[len("_in_") :] for c in kept.columns if c.startswith("_in_")})
 
     def append(self, rows: DataFrame) -> None:
         """Add input rows later than all that their series hold; earlier ones are an error.
 
-        ``rows`` has one row per series and order value, and the same columns at every append. A series may be new. Rows
-        without an order value are left out. An append without rows changes nothing but its number.
+        ``rows`` has one row per series and order value, and the same columns at every append; it is evaluated more than
+        once, so it must give the same rows each time. A series may be new. Rows without an order value are left out. An
+        append without rows changes nothing but its number. With a DATE as order the calendar bounds a series, whose
+        size is then not checked unless ``max_rows`` is set.
         """
         by, n = list(self.by), self.last_batch()
         back, ahead = (reach(self.providers)[side] for side in ("back", "ahead"))
         sums = {name: c for p in self.providers for name, c in getattr(p, "running", {}).items()}
-        new = durable(rows.where(F.col(self.order).isNotNull()))
+        new = rows.where(F.col(self.order).isNotNull())
+        bounded = isinstance(new.schema[self.order].dataType, T.DateType) and self.max_rows == MAX_GROUP_ROWS
+        max_rows = None if bounded else self.max_rows
         inputs = list(new.columns)
         types = new.select(*[F.sum(c).alias(s) for s, c in sums.items()]).schema if sums else {}
         blank = {f"_carry_{s}": F.lit(None).cast(types[s].dataType) for s in sums}
         both = new.withColumns({"_first": F.lit(False), "_due": F.lit(True)} | blank)
         if n:
-            old = self.spark.read.parquet(self._folder("state", n))
+            old = self._state(n)
             self._check_order(new, old)
             both = both.unionByName(old)
-        # A running total starts from what was carried to the first row kept.
+
+        # A running total starts from what it came to at the first row kept.
         def start(name: str):
-            carry, own = F.col(f"_carry_{name}"), sums[name].cast(types[name].dataType)
-            return F.when(F.col("_first"), F.coalesce(own + carry, carry, own)).otherwise(own)
+            own = sums[name].cast(types[name].dataType)
+            return F.when(F.col("_first"), F.col(f"_carry_{name}")).otherwise(own)
 
         given = FeatureGroup(back=0, ahead=0, running={s: start(s) for s in sums})
         bare = [_Bare(p) for p in self.providers]
-        full = staged_metrics(both, [given, *bare], by=by, order=[self.order], max_rows=self.max_rows)
-        place = row_position(full, by, [self.order], "_at", max_rows=self.max_rows)
-        counts = full.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
-        placed = join_nullsafe(place, counts, by).withColumn("_left", F.col("_rows") - F.col("_at"))  # rows behind this one
-        placed = durable(placed)
-        outputs = list(dict.fromkeys([*self.idents, *[o for p in self.providers for o in p.outputs]]))
-        due = placed.where("_due")
-        due.where(F.col("_left") >= ahead).select(*outputs).write.mode("overwrite").parquet(self._folder("settled", n + 1))
-        due.where(F.col("_left") < ahead).select(*outputs).write.mode("overwrite").parquet(self._folder("open", n + 1))
-        kept = placed.where(F.col("_left") < back + ahead)
-        edge = F.col("_left") == back + ahead
-        carried = placed.groupBy(*by).agg(F.lit(0).alias("_none"), *[F.max(F.when(edge, F.col(s))).alias(f"_sum_{s}") for s in sums])
-        kept = join_nullsafe(kept, carried, by)
-        first = (F.col("_left") == F.least(F.col("_rows"), F.lit(back + ahead)) - 1)
-        kept = kept.withColumns({f"_carry_{s}": F.when(first, F.coalesce(f"_sum_{s}", f"_carry_{s}")) for s in sums})
-        kept = kept.withColumns({"_first": first, "_due": F.col("_left") < ahead})
-        state = kept.select(*inputs, "_first", "_due", *blank)
-        state.write.mode("overwrite").parquet(self._folder("state", n + 1))
+        full = staged_metrics(both, [given, *bare], by=by, order=[self.order], max_rows=max_rows)
+        placed = self._placed(full, max_rows)
+        left, reached = F.col("_left"), back + ahead
+        first = left == F.least(F.col("_rows"), F.lit(reached)) - 1
+        carries = [F.when(first, F.col(s)).alias(f"_carry_{s}") for s in sums]
+        needed = [F.when(left < reached, F.col(c)).alias(f"_in_{c}") for c in inputs if c not in by and c != self.order]
+        keys = [F.col(c).alias(f"_in_{c}") for c in (*by, self.order)]
+        part = F.when(left >= reached, 0).when(left >= ahead, 1).otherwise(2).alias("_part")
+        out = placed.where((left < reached) | F.col("_due")).select(
+            *self._outputs(), *keys, *needed, first.alias("_first"), "_due", *carries, part
+        )
+        out.write.mode("overwrite").option("compression", "zstd").partitionBy("_part").parquet(self._folder("rows", n + 1))
+        mark = self.spark.createDataFrame([], out.drop("_part").schema)
+        mark.coalesce(1).write.mode("overwrite").parquet(self._folder("state", n + 1))
+
+    def _placed(self, full: DataFrame, max_rows: int | None) -> DataFrame:
+        """``full`` with ``_rows`` of its series and how many of them are behind each row (``_left``)."""
+        by = list(self.by)
+        if max_rows is None:  # the window the metrics were computed in, sorted as it is
+            series = Window.partitionBy(*by)
+            at = F.row_number().over(series.orderBy(self.order)).cast("long")
+            placed = full.withColumns({"_at": at, "_rows": F.count(F.lit(1)).over(series)})
+        else:
+            place = row_position(full, by, [self.order], "_at", max_rows=max_rows)
+            placed = join_nullsafe(place, full.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")), by)
+        return placed.withColumn("_left", F.col("_rows") - F.col("_at"))
 
     def _check_order(self, new: DataFrame, old: DataFrame) -> None:
         by = list(self.by)

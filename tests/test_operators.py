@@ -467,6 +467,24 @@ def test_a_failed_append_is_repeated(spark, tmp_path):
     assert [r["next"] for r in table.read().orderBy("d").collect()] == [*map(float, range(1, 10)), None]
 
 
+def test_an_append_stores_every_row_once(spark, tmp_path):
+    """No checkpoint of the wide intermediate rows, and no second copy of what is settled."""
+    from pathlib import Path
+
+    from factorlake.operators.skew import shared_dir
+    from factorlake.sources.incremental import GrowingFeatures
+
+    days = [date(2000, 1, 1) + timedelta(days=i) for i in range(30)]
+    df = spark.createDataFrame([(c, d, float(i)) for c in "ab" for i, d in enumerate(days)], "k string, d date, x double")
+    group = FeatureGroup(("next",), (lambda w: {"next": F.lead("x").over(w)},), ("x",), back=2, ahead=1)
+    table = GrowingFeatures(spark, str(tmp_path / "t"), [group], ["k"], "d", ["k", "d"])
+    held = lambda: {str(f) for f in Path(shared_dir(spark).removeprefix("file:")).rglob("part-*")}
+    before = held()
+    table.append(df)
+    assert held() == before
+    assert spark.read.parquet(str(tmp_path / "t" / "rows")).count() == 60 == table.read().count()
+
+
 def test_tickers_are_one_scan(spark, tmp_path):
     path = str(tmp_path / "tickers")
     for i in range(40):
