@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import as_col
+from .columns import as_col, with_value
 
 # First digit of a six-digit code -> exchange.
 EXCHANGE_BY_FIRST_DIGIT = {"6": "SH", "0": "SZ", "3": "SZ", "4": "BJ", "8": "BJ"}
@@ -44,13 +44,17 @@ def normalize_ts_code(
     case: str = "upper",
 ) -> Column:
     """First run of digits as a fixed-length code, optionally with its exchange; null without digits."""
-    digits = _fit(F.nullif(F.regexp_extract(as_col(code), r"(\d+)", 1), F.lit("")), length)
+    found = F.regexp_extract(as_col(code), r"(\d+)", 1)
+    digits = with_value(found, lambda d: _fit(F.nullif(d, F.lit("")), length))
     if not add_exchange:
         return digits
-    exch = F.lit(exchange) if exchange else exchange_of(digits, F.lit("UNKNOWN"))
-    exch = F.upper(exch) if case == "upper" else F.lower(exch)
-    parts = (digits, F.lit(sep), exch) if position == "suffix" else (exch, F.lit(sep), digits)
-    return F.concat(*parts)
+
+    def attached(digits: Column) -> Column:
+        exch = F.lit(exchange) if exchange else exchange_of(digits, F.lit("UNKNOWN"))
+        exch = F.upper(exch) if case == "upper" else F.lower(exch)
+        return F.concat(*((digits, F.lit(sep), exch) if position == "suffix" else (exch, F.lit(sep), digits)))
+
+    return with_value(digits, attached)
 
 
 def normalize_ts_code_all_digits(
@@ -68,13 +72,17 @@ def normalize_ts_code_all_digits(
     The exchange is always written as given or in upper case: this variant has no effective case switch.
     """
     code = as_col(code)
-    digits = F.nullif(F.regexp_replace(code, r"\D", ""), F.lit(""))
-    if strict:
-        digits = F.when(
-            code.isNotNull() & digits.isNull(), F.raise_error(F.concat(F.lit("no digits in code: "), code))
-        ).otherwise(digits)
-    digits = _fit(digits, length)
-    return _attach(digits, exchange, position, sep) if add_exchange else digits
+
+    def fitted(found: Column) -> Column:
+        digits = F.nullif(found, F.lit(""))
+        if strict:
+            digits = F.when(
+                code.isNotNull() & digits.isNull(), F.raise_error(F.concat(F.lit("no digits in code: "), code))
+            ).otherwise(digits)
+        return _fit(digits, length)
+
+    digits = with_value(F.regexp_replace(code, r"\D", ""), fitted)
+    return with_value(digits, lambda d: _attach(d, exchange, position, sep)) if add_exchange else digits
 
 
 def _reject(code: Column, strict: bool, why: str) -> Column:

@@ -86,6 +86,11 @@ def safe_ratio(
     return clip(as_col(num) / clip(den, min_den), lo, hi)
 
 
+def with_value(c: str | Column, of: Callable[[Column], Column]) -> Column:
+    """``of(c)`` with ``c`` evaluated once per row, however often ``of`` uses it."""
+    return F.get(F.transform(F.array(as_col(c)), of), F.lit(0))
+
+
 # ---- horizontal reductions --------------------------------------------------------------------
 
 

@@ -496,6 +496,16 @@ def test_tickers_of_a_write_move_together(spark, tmp_path):
     assert tables.market_stack_read(spark, str(path)).where("cast(ts_code as int) = close").count() == 600
 
 
+def test_a_code_is_searched_once(spark):
+    from factorlake.functions.codes import normalize_ts_code, normalize_ts_code_all_digits
+
+    df = spark.createDataFrame([("sh600001",), ("1",), ("abc",), (None,)], "c string")
+    for n, search, last in ((normalize_ts_code_all_digits, "regexp_replace", "SH.600001"), (normalize_ts_code, "regexp_extract", "SH.600001")):
+        out = df.select(n("c", add_exchange=True, position="prefix").alias("n"))
+        assert out._jdf.queryExecution().optimizedPlan().toString().count(search) == 1
+        assert [r["n"] for r in out.collect()] == [last, "SZ.000001", None, None]
+
+
 def test_tickers_are_one_scan(spark, tmp_path):
     path = str(tmp_path / "tickers")
     for i in range(40):
