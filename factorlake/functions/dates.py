@@ -48,7 +48,7 @@ def normalize_date_column(
 
     For strings the format is chosen once for the whole column: the first candidate that parses at least
     ``threshold`` of the rows, else the one that parses most. All candidates are scored in a single
-    aggregate; only the scores reach the driver. Pass ``fmt`` to skip scoring. A column that no format
+    aggregate over the distinct strings, weighted by their rows; only the scores reach the driver. Pass ``fmt`` to skip scoring. A column that no format
     parses is left as it is, or is an error when ``strict``.
     """
     if name not in df.columns:
@@ -65,7 +65,7 @@ def normalize_date_column(
 
     candidates = [F.try_to_timestamp(c, F.lit(f)) for f in (*COLUMN_DATE_FORMATS, *COLUMN_TIME_FORMATS)]
     candidates.append(c.try_cast("timestamp"))
-    n, *scores = df.agg(F.count(F.lit(1)), *[F.count(e) for e in candidates]).first()
+    n, *scores = [r or 0 for r in _scores(df, name, candidates).first()]
     enough = int(n * threshold)
     best = next((i for i, s in enumerate(scores) if s >= enough), None)
     if best is None or scores[best] == 0:
@@ -77,6 +77,12 @@ def normalize_date_column(
     return df.withColumn(name, candidates[best].cast(final))
 
 
+def _scores(df: DataFrame, name: str, candidates: list[Column]) -> DataFrame:
+    """Rows, and how many of them each candidate parses. A failed attempt is dear, so each distinct string is tried once."""
+    rows = df.groupBy(F.col(name)).agg(F.count(F.lit(1)).alias("_rows"))
+    return rows.agg(F.sum("_rows"), *[F.sum(F.when(e.isNotNull(), F.col("_rows"))) for e in candidates])
+
+
 # ---- quarters ---------------------------------------------------------------------------------
 
 

@@ -506,6 +506,17 @@ def test_a_code_is_searched_once(spark):
         assert [r["n"] for r in out.collect()] == [last, "SZ.000001", None, None]
 
 
+def test_formats_are_tried_once_per_distinct_string(spark):
+    from factorlake.functions import dates
+
+    df = spark.createDataFrame([("2020-01-02",)] * 10 + [("20200103",)] * 4 + [(None,)], "d string")
+    forms = [F.try_to_timestamp("d", F.lit(f)) for f in dates.COLUMN_DATE_FORMATS[:2]]
+    scores = dates._scores(df, "d", forms)
+    assert tuple(scores.first()) == (15, 10, 4)
+    assert "Aggregate [d" in scores._jdf.queryExecution().optimizedPlan().toString()
+    assert dates.normalize_date_column(df.where("false"), "d").count() == 0
+
+
 def test_tickers_are_one_scan(spark, tmp_path):
     path = str(tmp_path / "tickers")
     for i in range(40):
