@@ -41,7 +41,12 @@ def log(c: Column) -> Column:
 
 def clip(c: str | Column, lo: float | Column | None = None, hi: float | Column | None = None) -> Column:
     """Bound ``c``; nulls and NaN pass through, a null bound leaves the value unbounded on that side."""
-    c = as_col(c)
+    if isinstance(c, Column) and not isinstance(lo, Column) and not isinstance(hi, Column):
+        return with_value(c, lambda v: _clip(v, lo, hi))  # an expression is evaluated once, not in each branch
+    return _clip(as_col(c), lo, hi)
+
+
+def _clip(c: Column, lo: float | Column | None, hi: float | Column | None) -> Column:
     out = c
     if lo is not None:
         out = F.greatest(out, lo if isinstance(lo, Column) else F.lit(float(lo)))

@@ -177,3 +177,12 @@ def test_quarters(spark):
     assert D.check_macro_book("qvix") == "qvix"
     with pytest.raises(ValueError):
         D.check_macro_book("oil")
+
+
+def test_a_clipped_expression_is_evaluated_once(spark):
+    """Repeated in each branch, it makes generated methods that the JVM does not compile."""
+    df = spark.createDataFrame([(4.0,), (-9.0,), (float("nan"),), (None,)], "x double")
+    out = df.select(C.clip(F.cbrt("x"), -1, 1).alias("y"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("CBRT") == 1
+    got = [r["y"] for r in out.collect()]
+    assert got[:2] == [1.0, -1.0] and got[2] != got[2] and got[3] is None
