@@ -27,6 +27,7 @@ from .words import PIECE_BYTES, flat, pieces
 
 CHUNK_BYTES = 16 << 20
 ANSWER_ROWS = 1 << 18
+SLICE_WORDS = 1 << 18  # words put in place at a time, or those of one longer text
 
 
 @lru_cache(maxsize=4)
@@ -59,6 +60,17 @@ def _gather(place: np.ndarray, at: np.ndarray, flat: np.ndarray) -> np.ndarray:
     return flat[np.repeat(start - ends + size, size) + np.arange(ends[-1])]
 
 
+def _slices(first: np.ndarray, words: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``words`` words, one text at least; ``first`` holds where each text starts, and the end."""
+    start, n = 0, len(first) - 1
+    while start < n or not n:
+        end = min(n, max(start + 1, int(np.searchsorted(first, first[start] + words, "right")) - 1))
+        yield start, end
+        if end >= n:
+            return
+        start = end
+
+
 def _positions(pattern: str, chunk_bytes: int):
     """Rows (chunk, blob): the distinct words of a chunk in order of their numbers, its documents' ids and lengths, and
     the numbers of all their words. The pattern runs over each text once."""
@@ -184,12 +196,14 @@ def encode(
         of, out = np.append(0, np.cumsum(size[order], dtype=np.int64)), []
         for blob in rows.column("blob"):
             _, docs_, numbers = parted(blob.as_buffer())
-            whole, at = unpacked(docs_), unplanes(numbers).astype(np.int64)
+            whole, at = unpacked(docs_), unplanes(numbers)
             first = np.append(0, np.cumsum(np.asarray(whole.column("size"))))
-            ends = np.append(0, np.cumsum(of[at + 1] - of[at]))[first].astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(_gather(at, of, tokens)))
-            table = pa.table({"id": whole.column("id"), "ids": ids})
-            out.append(table if decoded is None else table.append_column(decoded, _bytes(table.column("ids"), vocabulary)))
+            for s, e in _slices(first, SLICE_WORDS):
+                here = at[first[s] : first[e]].astype(np.int64)
+                ends = np.append(0, np.cumsum(of[here + 1] - of[here]))[first[s : e + 1] - first[s]].astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(_gather(here, of, tokens)))
+                table = pa.table({"id": whole.column("id").slice(s, e - s), "ids": ids})
+                out.append(table if decoded is None else table.append_column(decoded, _bytes(table.column("ids"), vocabulary)))
         return pa.concat_tables(out)
 
     rows = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))

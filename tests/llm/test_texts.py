@@ -331,3 +331,16 @@ def test_placement_by_a_walk_around_the_ring(spark, rows, shards, points):
 )
 def test_empty_table(spark, operator):
     assert operator(edge.empty(spark)).count() == 0
+
+
+def test_a_chunk_is_put_in_place_by_slices():
+    """What is held beside a chunk's tokens is bounded by a slice of its texts, whatever the chunk."""
+    import numpy as np
+
+    from factorlake.llm.bpe import _slices
+
+    first = np.append(0, np.cumsum([3, 0, 4, 100, 2, 2, 0]))
+    cuts = list(_slices(first, 8))
+    assert [s for s, _ in cuts] == [0, *[e for _, e in cuts[:-1]]] and cuts[-1][1] == 7
+    assert all(first[e] - first[s] <= 8 or e == s + 1 for s, e in cuts)
+    assert list(_slices(np.array([0]), 8)) == [(0, 0)]
