@@ -32,13 +32,11 @@ def _text(expr: str):
 def kline_pages(spark, sf):
     """Responses of one ticker and month, with a line too short, a line too long, and empty responses."""
     line = F.concat_ws(",", F.date_format("date", "yyyy-MM-dd"), *[_text(e) for e in KLINE_EXPR.values()])
-    short = F.regexp_replace("line", r",[^,]*$", "")
     lines = V.bars(spark, sf).select("ts_code", "date", line.alias("line"))
-    variants = F.array("line", short, F.concat("line", F.lit(",0")))
-    # At most 31 bars per response.
-    pages = lines.groupBy("ts_code", F.trunc("date", "month").alias("m")).agg(
-        F.flatten(F.collect_list(variants)).alias("klines")
-    )
+    # At most 31 bars per response. The other variants of a line are made where its response is, not shuffled.
+    pages = lines.groupBy("ts_code", F.trunc("date", "month").alias("m")).agg(F.collect_list("line").alias("lines"))
+    variants = F.transform("lines", lambda x: F.array(x, F.regexp_replace(x, r",[^,]*$", ""), F.concat(x, F.lit(",0"))))
+    pages = pages.select("ts_code", F.flatten(variants).alias("klines"))
     full = F.to_json(F.struct(F.struct("klines").alias("data")))
     bodies = F.array(full, F.lit('{"data": null}'), F.lit("{}"), F.lit('{"data": {"klines": []}}'))
     return pages.select(F.col("ts_code").alias("symbol"), F.explode(bodies).alias("body"))

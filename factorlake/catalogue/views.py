@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import route
 from ..sources.specs import MARGIN, MARGIN_DROPPED, SHIBOR
 
 
@@ -26,8 +27,13 @@ def _code(c: str):
 
 
 def bars(spark: SparkSession, sf: str) -> DataFrame:
-    """One bar per supplier and ship day (at most one row per ticker and calendar day)."""
+    """One bar per supplier and ship day (at most one row per ticker and calendar day).
+
+    Most bars hold one line, so lines are not combined before their shuffle: they are dealt by ticker, and neither the
+    bars nor windows over their tickers need another exchange or sort. Tickers of very many lines are combined first.
+    """
     li = table(spark, sf, "lineitem").select(
+        "l_suppkey",
         _code("l_suppkey").alias("ts_code"),
         F.col("l_shipdate").cast("date").alias("date"),
         (F.col("l_extendedprice") / F.col("l_quantity") * UNIT).alias("p"),
@@ -37,14 +43,18 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
     )
     k = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "d", "t")
     p, d, t = F.col("p"), F.col("d"), F.col("t")
-    return li.groupBy("ts_code", "date").agg(
-        F.min_by(p * (1 + (d - t) / 2), k).alias("open"),
-        F.max(p * (1 + d)).alias("high"),
-        F.min(p * (1 - t)).alias("low"),
-        F.max_by(p, k).alias("close"),
-        F.sum("l_quantity").alias("volume"),
-        (F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double") * UNIT).alias("amount"),
-    )
+
+    def combined(lines: DataFrame) -> DataFrame:
+        return lines.groupBy("ts_code", "date").agg(
+            F.min_by(p * (1 + (d - t) / 2), k).alias("open"),
+            F.max(p * (1 + d)).alias("high"),
+            F.min(p * (1 - t)).alias("low"),
+            F.max_by(p, k).alias("close"),
+            F.sum("l_quantity").alias("volume"),
+            (F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double") * UNIT).alias("amount"),
+        )
+
+    return route(li, ["l_suppkey"], lambda lines: combined(lines.repartition("ts_code")), combined)
 
 
 def statements(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,7 +64,7 @@ def statements(spark: SparkSession, sf: str) -> DataFrame:
     sold = price * (1 - disc)
     q = (
         table(spark, sf, "lineitem")
-        .groupBy("l_suppkey", F.trunc(F.col("l_shipdate").cast("date"), "quarter").alias("qs"))
+        .groupBy(_code("l_suppkey").alias("ts_code"), F.trunc(F.col("l_shipdate").cast("date"), "quarter").alias("qs"))
         .agg(
             F.sum(price).alias("gross"),
             F.sum(sold).alias("rev"),
@@ -64,15 +74,16 @@ def statements(spark: SparkSession, sf: str) -> DataFrame:
         )
     )
     # One row per supplier and quarter: windows of at most four rows a year.
-    w = Window.partitionBy("l_suppkey").orderBy("qs")
+    # All steps share the key, so they share one exchange by it.
+    w = Window.partitionBy("ts_code").orderBy("qs")
     running = F.sum(F.col("net") * 10 - F.col("gross") * 7).over(w.rowsBetween(Window.unboundedPreceding, 0))
     q = q.withColumn("cum", running.cast("double") * UNIT / 10)
-    q = q.select("l_suppkey", "qs", "cum", *[(F.col(c).cast("double") * UNIT).alias(c) for c in ("gross", "rev", "net", "taxes", "returned")])
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name", "s_acctbal")
+    q = q.select("ts_code", "qs", "cum", *[(F.col(c).cast("double") * UNIT).alias(c) for c in ("gross", "rev", "net", "taxes", "returned")])
+    s = table(spark, sf, "supplier").select(_code("s_suppkey").alias("ts_code"), "s_name", "s_acctbal")
     gross, rev, bal = F.col("gross"), F.col("rev"), F.col("s_acctbal")
     end = F.last_day(F.add_months("qs", 2))
-    x = q.join(s, "l_suppkey").select(
-        _code("l_suppkey").alias("ts_code"),
+    x = q.join(s, "ts_code").select(
+        "ts_code",
         F.col("s_name").alias("name"),
         F.date_add(end, 30).alias("notice_date"),
         end.alias("report_period"),
