@@ -63,6 +63,15 @@ class Fold:
     test_to: date
 
 
+def _halved(at: Column, cuts: list[date], values: list[Column]) -> Column:
+    """The value of the interval that holds ``at``: ``values[0]`` before ``cuts[0]``, ``values[i + 1]`` from ``cuts[i]`` on."""
+    if not cuts:
+        return values[0]
+    m = len(cuts) // 2
+    later = _halved(at, cuts[m + 1 :], values[m + 1 :])
+    return F.when(at >= F.lit(cuts[m]), later).otherwise(_halved(at, cuts[:m], values[: m + 1]))
+
+
 @dataclass(frozen=True)
 class Folds:
     """Folds as date intervals. What a row belongs to is an expression of its date, so rows are neither joined nor copied."""
@@ -79,10 +88,29 @@ class Folds:
         return F.col(self.date_col).between(F.lit(f.test_from), F.lit(f.test_to))
 
     def memberships(self) -> Column:
-        """``array<struct<fold, role>>`` of a row, in fold order; empty for rows in no fold."""
-        role = lambda f: F.when(self.in_test(f), "test").when(self.in_train(f), "train")
-        each = [F.when(role(f).isNotNull(), F.struct(F.lit(f.fold).alias("fold"), role(f).alias("role"))) for f in self.spans]
-        return F.array_compact(F.array(*each))
+        """``array<struct<fold, role>>`` of a row, in fold order; empty for rows in no fold.
+
+        Between two neighbouring bounds of folds all dates belong to the same ones, so these are constants, found by
+        halving; only ends of labels, where they matter, are compared row by row.
+        """
+        after = [f.test_to + timedelta(days=1) for f in self.spans if f.test_to < date.max]
+        cuts = sorted({c for f in self.spans for c in (f.train_from, f.cutoff, f.test_from)} | set(after))
+        kind = f"struct<fold: int, role: string{', until: date' if self.label_end_col else ''}>"
+
+        def constant(at: date) -> Column:
+            """The folds of all days from ``at`` to the next cut, with the day that ends of labels have to come before."""
+            each = []
+            for f in self.spans:
+                role = "test" if f.test_from <= at <= f.test_to else "train" if f.train_from <= at < f.cutoff else None
+                until = f", 'until', {f"DATE '{f.cutoff}'" if role == 'train' else 'CAST(NULL AS DATE)'}" if self.label_end_col else ""
+                each += [f"named_struct('fold', {f.fold}, 'role', '{role}'{until})"] if role else []
+            return F.expr(f"CAST(array({', '.join(each)}) AS array<{kind}>)")
+
+        found = _halved(F.col(self.date_col), cuts, [F.expr(f"CAST(array() AS array<{kind}>)"), *map(constant, cuts)])
+        if not self.label_end_col:
+            return found
+        holds = F.filter(found, lambda m: m["until"].isNull() | (F.col(self.label_end_col) < m["until"]))
+        return F.transform(holds, lambda m: F.struct(m["fold"].alias("fold"), m["role"].alias("role")))
 
     def tag(self, df: DataFrame, name: str = "folds") -> DataFrame:
         """Every row once, with its memberships."""

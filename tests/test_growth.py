@@ -39,3 +39,23 @@ def test_bars_of_hot_tickers_are_combined_first(spark, tmp_path, monkeypatch):
 
 def test_lines_of_a_response_are_shuffled_once(spark):
     assert exchanges(QUERIES["ingest_kline"](spark, SMALL)) == 1
+
+
+def test_memberships_are_constants_between_bounds(spark):
+    from factorlake.operators.splits import Fold, Folds
+
+    day = [date(2000, 1, 1) + timedelta(days=i) for i in range(30)]
+    spans = (Fold(0, day[0], day[6], day[8], day[12]), Fold(1, day[3], day[11], day[11], day[20]), Fold(2, day[0], day[20], day[22], date.max))
+    df = spark.createDataFrame([(d, e) for d in [None, date.max, *day] for e in (None, d, day[10])], "date date, end date")
+
+    def role(f, d, e, ends):
+        if d and f.test_from <= d <= f.test_to:
+            return "test"
+        return "train" if d and f.train_from <= d < f.cutoff and (not ends or e and e < f.cutoff) else None
+
+    for ends in (None, "end"):
+        tagged = Folds(spans, "date", ends).tag(df)
+        for d, e, got in tagged.collect():
+            want = [(f.fold, role(f, d, e, ends)) for f in spans if role(f, d, e, ends)]
+            assert [tuple(m) for m in got] == want
+        assert ends or "lambda" not in plan(tagged)
