@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -12,7 +13,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import MAX_GROUP_ROWS, durable, row_position
+from .skew import MAX_GROUP_ROWS, durable, row_position, shared_dir
 from .splits import Folds, folds
 
 
@@ -137,10 +138,12 @@ def fit_trees_walk_forward(tagged: DataFrame, features: Sequence[str], label: st
 
     Each fit is a distributed Spark ML job; only the metrics reach the driver.
     """
-    # Every window reads this frame several times: compute its features once.
-    usable = durable(
-        tagged.select("fold", "role", *features, label).where(F.col(label).isNotNull() & ~F.isnan(label))
-    )
+    usable = tagged.select("fold", "role", *features, label).where(F.col(label).isNotNull() & ~F.isnan(label))
+    # A window reads its rows several times: they are computed once, and lie in a folder of their own, so that no pass reads
+    # the rows of other windows.
+    path = f"{shared_dir(tagged.sparkSession)}/windows-{uuid.uuid4().hex}"
+    usable.write.partitionBy("fold", "role").parquet(path)
+    usable = tagged.sparkSession.read.schema(usable.schema).parquet(path)
     miss = F.col("prediction") - F.col(label)
     rows = []
     for k, train, test in folds(usable):

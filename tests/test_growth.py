@@ -1,6 +1,7 @@
 """Steps whose cost once grew faster than their input: plans that move rows once, and results on both of their routes."""
 
 from datetime import date, timedelta
+from pathlib import Path
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -59,3 +60,18 @@ def test_memberships_are_constants_between_bounds(spark):
             want = [(f.fold, role(f, d, e, ends)) for f in spans if role(f, d, e, ends)]
             assert [tuple(m) for m in got] == want
         assert ends or "lambda" not in plan(tagged)
+
+
+def test_windows_lie_apart(spark):
+    """A pass over one window's rows must not read those of the others."""
+    from factorlake.operators import evaluate, skew, splits
+
+    df = spark.createDataFrame([(date(2000, 1, 1) + timedelta(days=i // 3), float(i % 7), float(i % 5) if i % 11 else None) for i in range(180)], "date date, x double, y double")
+    here = Path(skew.shared_dir(spark).removeprefix("file:"))
+    before = set(here.glob("windows-*"))
+    windows = splits.walk_forward_spans(df, 2)
+    fitted = evaluate.fit_trees_walk_forward(windows.expand(df), ["x"], "y").orderBy("fold").collect()
+    (folder,) = set(here.glob("windows-*")) - before
+    for r in fitted:
+        sizes = [spark.read.parquet(f"{folder}/fold={r['fold']}/role={role}").count() for role in ("train", "test")]
+        assert sizes == [r["n_train"], r["n_test"]] and sizes[0] > 0
