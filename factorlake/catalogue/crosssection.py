@@ -210,12 +210,12 @@ FUND_TTM = f"""{views('statements', 'classification')}, {FUND}, {TTM_STAGES},
 
 def fundamentals_ttm(spark, sf):
     """Factors of each report with the trailing sums of the window that ends in its quarter."""
-    f = factors(V.statements(spark, sf)).withColumn(
+    # Read by both sides and by their checks of group sizes: taken from the lines once.
+    reports = durable(V.statements(spark, sf))
+    f = factors(reports).withColumn(
         "report_date", F.add_months(F.trunc("notice_date", "quarter"), -9).cast("date")
     )
-    t = trailing_twelve_months(V.statements(spark, sf).drop("report_period")).select(
-        "ts_code", "report_date", "ttm_roe", "ttm_cfo_yield"
-    )
+    t = trailing_twelve_months(reports.drop("report_period")).select("ts_code", "report_date", "ttm_roe", "ttm_cfo_yield")
     return durable(f.join(t, ["ts_code", "report_date"], "left").drop("report_date"))
 
 

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, nan_to_null, nearest_index
 from .joins import join_industry
-from .skew import counts_before, hot_keys, join_nullsafe
+from .skew import counts_before, durable, hot_keys, join_nullsafe
 
 log = logging.getLogger(__name__)
 
@@ -60,25 +61,57 @@ def _small_group_stats(
     return (out.withColumns(picks) if picks else out).drop(*[f"_v_{c}" for c in factors])
 
 
-def tallied_quantiles(df: DataFrame, by: Sequence[str], qs: dict[str, tuple[str, float]]) -> DataFrame:
+def _tally(df: DataFrame, by: Sequence[str], qs: dict[str, tuple[str, float]], accuracy: int | None) -> DataFrame:
+    """Quantiles ``qs`` per group, and ``_n_<factor>``, the number of its values. With ``accuracy``, values that a sketch
+    says are far from the wanted one are only counted; a quantile that the sketch misses is null.
+    """
+    factors = dict.fromkeys(c for c, _ in qs.values())
+    x = {c: _bare(df, c).cast("double") for c in factors}
+    aggs = [F.count(x[c]).alias(f"_n_{c}") for c in factors]
+    if accuracy:
+        # A sketch errs by a share of 1 / accuracy of the values.
+        ends = lambda q: [max(q - 2 / accuracy, 0.0), min(q + 2 / accuracy, 1.0)]
+        for c in factors:
+            wanted = [e for f, q in qs.values() if f == c for e in ends(q)]
+            aggs.append(F.percentile_approx(x[c], wanted, accuracy).alias(f"_e_{c}"))
+    heads = df.groupBy(*by).agg(*aggs)
+    heads = durable(heads) if accuracy else heads
+    rows, cells, at = attach(df, heads, by) if accuracy else df, [], dict.fromkeys(factors, 0)
+    for name, (c, _) in qs.items():
+        low, high = (F.col(f"_e_{c}")[at[c] + i] if accuracy else F.lit(None).cast("double") for i in (0, 1))
+        at[c] += 2
+        value = F.when(F.coalesce(x[c] >= low, F.lit(True)), x[c])
+        counted = F.coalesce(x[c] <= high, F.lit(True))
+        cells.append(F.struct(F.lit(name).alias("_q"), x[c].alias("_x"), value.alias("_v"), counted.alias("_in")))
+    values = rows.select(*by, F.explode(F.array(*cells)).alias("_p")).select(*by, "_p.*").where("_in")
+    tally = values.groupBy(*by, "_q", "_v").agg(F.count("_x").alias("_c"))
+    ranked = join_nullsafe(counts_before(tally, [*by, "_q"], "_v", "_c"), heads, by)
+
+    def pick(name: str, c: str, q: float) -> Column:
+        i = nearest_index(F.col(f"_n_{c}"), q) - F.col("_before")
+        return F.max(F.when((F.col("_q") == name) & (i >= 0) & (i < F.col("_c")), F.col("_v")))
+
+    picks = [pick(name, c, q).alias(name) for name, (c, q) in qs.items()]
+    return ranked.groupBy(*by).agg(*picks, *[F.max(f"_n_{c}").alias(f"_n_{c}") for c in factors])
+
+
+def tallied_quantiles(
+    df: DataFrame, by: Sequence[str], qs: dict[str, tuple[str, float]], *, accuracy: int = 10_000
+) -> DataFrame:
     """Exact nearest-rank quantiles of large groups: distinct values are counted, and ranks are sums of counts.
 
-    Values are combined per task before their shuffle and then range-partitioned, so neither a large group nor a value
-    that many rows share lands in one task.
+    A sketch brackets each quantile. Values below the bracket are one number, so only the few inside it are moved; groups
+    whose bracket misses are counted again in full. Values are combined per task before their shuffle and then
+    range-partitioned, so neither a large group nor a value that many rows share lands in one task.
     """
     by = list(by)
-    factors = dict.fromkeys(c for c, _ in qs.values())
-    cells = F.array(*[F.struct(F.lit(c).alias("_f"), _bare(df, c).cast("double").alias("_v")) for c in factors])
-    values = df.select(*by, F.explode(cells).alias("_p")).select(*by, "_p._f", "_p._v")
-    tally = values.groupBy(*by, "_f", "_v").agg(F.count("_v").alias("_c"))
-    totals = tally.groupBy(*by, "_f").agg(F.sum("_c").alias("_n"))
-    ranked = join_nullsafe(counts_before(tally, [*by, "_f"], "_v", "_c"), totals, [*by, "_f"])
-
-    def pick(c: str, q: float) -> Column:
-        at = nearest_index(F.col("_n"), q) - F.col("_before")
-        return F.max(F.when((F.col("_f") == c) & (at >= 0) & (at < F.col("_c")), F.col("_v")))
-
-    return ranked.groupBy(*by).agg(*[pick(c, q).alias(name) for name, (c, q) in qs.items()])
+    found = durable(_tally(df, by, qs, accuracy))
+    misses = reduce(lambda a, b: a | b, [F.col(name).isNull() & (F.col(f"_n_{c}") > 0) for name, (c, _) in qs.items()])
+    missed = found.where(misses).select(*[F.col(k).alias(f"_k_{k}") for k in by])
+    if missed.isEmpty():
+        return found.select(*by, *qs)
+    again = _tally(df.join(missed, _key_match(df, missed, by), "left_semi"), by, qs, None)
+    return found.where(~misses).select(*by, *qs).unionByName(again.select(*by, *qs))
 
 
 def group_stats(

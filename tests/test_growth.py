@@ -75,3 +75,33 @@ def test_windows_lie_apart(spark):
     for r in fitted:
         sizes = [spark.read.parquet(f"{folder}/fold={r['fold']}/role={role}").count() for role in ("train", "test")]
         assert sizes == [r["n_train"], r["n_test"]] and sizes[0] > 0
+
+
+def test_quantiles_move_only_values_in_their_bracket(spark, monkeypatch):
+    """Large groups, with shared values, infinities, nulls and an empty group; also where the sketch is wrong."""
+    from factorlake.operators import crosssection
+
+    moved, before = [], crosssection.counts_before
+
+    def counted(tally, *args):
+        moved.append(tally.count())
+        return before(tally, *args)
+
+    monkeypatch.setattr(crosssection, "counts_before", counted)
+    x = "CASE WHEN id % 10 = 3 THEN null WHEN id % 97 = 0 THEN double('inf') WHEN id % 89 = 0 THEN 0.5 WHEN id % 83 = 0 THEN double('nan') ELSE sin(id) END"
+    df = spark.range(40_000).selectExpr("nullif(id % 3, 2) AS g", f"{x} AS x", "CASE WHEN id % 3 > 0 THEN cos(id) END AS y")
+    qs = {"x0": ("x", 0.01), "x1": ("x", 0.99), "x2": ("x", 0.5), "y0": ("y", 0.01), "y1": ("y", 1.0)}
+
+    def want():
+        values = {}
+        for g, a, b in df.collect():
+            for c, v in (("x", a), ("y", b)):
+                values.setdefault((g, c), []).extend([v] if v is not None and v == v else [])
+        return {(g, *[sorted(v)[int((len(v) - 1) * q + 0.5)] if (v := values[g, c]) else None for c, q in qs.values()]) for g in (0, 1, None)}
+
+    assert {tuple(r) for r in crosssection.tallied_quantiles(df, ["g"], qs).collect()} == want()
+    assert len(moved) == 1 and moved[0] < 2000
+    real = F.percentile_approx
+    monkeypatch.setattr(crosssection.F, "percentile_approx", lambda c, wanted, accuracy: F.when(F.max("g") == 1, F.array(*[F.lit(9.0)] * len(wanted))).otherwise(real(c, wanted, accuracy)))
+    assert {tuple(r) for r in crosssection.tallied_quantiles(df, ["g"], qs).collect()} == want()
+    assert len(moved) == 3
