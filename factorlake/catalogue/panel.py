@@ -92,6 +92,7 @@ def snapshots(spark, sf):
         .groupBy(F.trunc(F.col("l_shipdate").cast("date"), "quarter").alias("qs"), V._code("l_suppkey").alias("ts_code"))
         .agg(F.sum(F.col("l_quantity").cast("bigint")).alias("q"))
     )
+    shipped = durable(shipped)  # read for its totals and for its rows, and both again for the days there are
     totals = shipped.groupBy("qs").agg(F.sum("q").alias("all_q"), F.count(F.lit(1)).alias("n"))
     return shipped.join(totals, "qs").where("q * n >= all_q").select(F.add_months("qs", 3).alias("date"), "ts_code")
 
@@ -174,7 +175,9 @@ _MARKET = f"""{ALL_STAGES.format(src='bars')}, mk AS (SELECT ts_code, date, ret_
 
 def _inputs(spark, sf):
     market = market_features(V.bars(spark, sf)).select("ts_code", "date", *MARKET_COLS)
-    fund = durable(fundamental_features(V.statements(spark, sf)).select("ts_code", "name", "notice_date", *FUND_COLS))
+    # The check of group sizes reads the reports, too: they are taken from the lines once.
+    reports = durable(V.statements(spark, sf))
+    fund = durable(fundamental_features(reports).select("ts_code", "name", "notice_date", *FUND_COLS))
     flow = macro.northbound(northbound(spark, sf)).select("date", *MACRO_COLS)
     return market, fund, flow
 

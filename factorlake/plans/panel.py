@@ -7,10 +7,11 @@ from datetime import date
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import behavioral, fundamental
 from ..operators.crosssection import industry_neutral
-from ..operators.joins import asof_backward, join_macro_left, universe_filter
+from ..operators.joins import asof_backward, asof_stored, join_macro_left, universe_filter
 from ..operators.relational import dedupe_last, reorder, weekly_sample
 from ..operators.skew import MAX_GROUP_ROWS
 
@@ -41,10 +42,17 @@ def panel_stack(
 ) -> DataFrame:
     """Market rows with the latest report known on their date and the macro features of that date.
 
-    Sort by ``(ts_code, date)`` at the sink if an order is needed.
+    Sort by ``(ts_code, date)`` at the sink if an order is needed. With calendar dates on both sides a code has few
+    reports, so unless ``max_rows`` is set lower, market rows look up what holds and stay where their features were
+    computed; otherwise both sides are dealt and sorted anew.
     """
     drop = [c for c in fundamentals.columns if c in market.columns and c != "ts_code"]
-    merged = asof_backward(market, fundamentals.drop(*drop), max_rows=max_rows)
+    reports = fundamentals.drop(*drop)
+    dated = all(isinstance(t, T.DateType) for t in (market.schema["date"].dataType, reports.schema["notice_date"].dataType))
+    if dated and max_rows == MAX_GROUP_ROWS:
+        merged = asof_stored(market, reports)
+    else:
+        merged = asof_backward(market, reports, max_rows=max_rows)
     return join_macro_left(merged, macro)
 
 

@@ -105,3 +105,26 @@ def test_quantiles_move_only_values_in_their_bracket(spark, monkeypatch):
     monkeypatch.setattr(crosssection.F, "percentile_approx", lambda c, wanted, accuracy: F.when(F.max("g") == 1, F.array(*[F.lit(9.0)] * len(wanted))).otherwise(real(c, wanted, accuracy)))
     assert {tuple(r) for r in crosssection.tallied_quantiles(df, ["g"], qs).collect()} == want()
     assert len(moved) == 3
+
+
+def test_market_rows_of_a_panel_stay_in_place(spark, monkeypatch):
+    """Reports are brought to the market rows, whose features were computed by code; results are those of the sorted route."""
+    from factorlake.plans import panel
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        market = panel.market_features(V.bars(spark, SMALL)).select("ts_code", "date", "roc_4")
+        unkeyed = spark.sql("SELECT string(null) AS ts_code, DATE '1998-01-01' AS date, 1d AS roc_4")
+        reports = V.statements(spark, SMALL).select("ts_code", "name", "notice_date", "net_profit")
+        flow = spark.sql("SELECT DATE '1998-01-01' AS date, 2d AS z")
+        stacked = panel.panel_stack(market, reports, flow)
+        bare = panel.panel_stack(market, reports, flow.where("false"))
+        moved = [line for line in plan(bare).splitlines() if "Exchange hashpartitioning(ts_code" in line]
+        assert "Union" not in plan(bare) and len(moved) >= 2
+        rows = panel.panel_stack(market.unionByName(unkeyed), reports, flow)
+        sorted_route = panel.panel_stack(market.unionByName(unkeyed), reports, flow, max_rows=100)
+        assert "Union" in plan(sorted_route) and rows.columns == sorted_route.columns
+        assert sorted(map(str, rows.collect())) == sorted(map(str, sorted_route.collect()))
+        assert stacked.count() == market.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
