@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from datetime import date
 from functools import reduce
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import not_special_treatment
 from .relational import dedupe_last
-from .skew import MAX_GROUP_ROWS, carry_last
+from .skew import MAX_GROUP_ROWS, carry_last, shared_dir
 
 STATEMENT_KEYS = ("ts_code", "name", "notice_date")
 
@@ -86,8 +87,15 @@ def asof_backward(
 
 
 def join_macro_left(panel: DataFrame, macro: DataFrame, on: str = "date") -> DataFrame:
-    """Left join of date-keyed macro features, one row per date (of several the greatest stays, so rows never multiply)."""
-    return panel.join(dedupe_last(macro, [on], []), on, "left")
+    """Left join of date-keyed macro features, one row per date (of several the greatest stays, so rows never multiply).
+
+    The features are stored first. Their size is then known when the join is planned (a guess from the rows they were
+    summed from is far too large), so the panel is not shuffled for a few thousand dates.
+    """
+    daily = dedupe_last(macro, [on], [])
+    path = f"{shared_dir(daily.sparkSession)}/macro-{uuid.uuid4().hex}"
+    daily.write.parquet(path)
+    return panel.join(daily.sparkSession.read.schema(daily.schema).parquet(path), on, "left")
 
 
 def prefix_columns(df: DataFrame, prefix: str, keep: Sequence[str] = ("date",)) -> DataFrame:

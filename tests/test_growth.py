@@ -128,3 +128,17 @@ def test_market_rows_of_a_panel_stay_in_place(spark, monkeypatch):
         assert stacked.count() == market.count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_panel_is_not_shuffled_for_macro_features(spark):
+    from factorlake.operators.joins import join_macro_left
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        bars = V.bars(spark, SMALL).select("ts_code", "date", "close")
+        macro = V.bars(spark, SMALL).where("date < '1995-03-01'").groupBy("date").agg(F.max("high").alias("top"))
+        out = join_macro_left(bars, macro)
+        assert "SortMergeJoin" not in plan(out)
+        assert sorted(map(str, out.collect())) == sorted(map(str, bars.join(macro, "date", "left").collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
