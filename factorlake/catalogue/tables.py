@@ -150,7 +150,7 @@ def cached(spark, sf):
     'volume': "CASE WHEN year(date) >= 1998 THEN volume END"})} FROM bars""",
 )
 def stack_read(spark, sf):
-    """Folders of single tickers, whose older files hold amounts and whose newer ones hold volumes."""
+    """Tickers stored in two lots, of which the older one holds amounts and the newer one volumes."""
     path, bars = scratch(spark, "tickers"), V.bars(spark, sf)
     T.write_tickers(bars.where(F.year("date") < 1998).select("ts_code", "date", "close", "amount"), path)
     T.write_tickers(bars.where(F.year("date") >= 1998).select("ts_code", "date", "close", "volume"), path)
@@ -162,7 +162,7 @@ def stack_read(spark, sf):
     f"{BARS} SELECT ts_code, date, {nums(['close'])} FROM bars WHERE right(ts_code, 1) IN ('3', '8')",
 )
 def stack_some(spark, sf):
-    """Only the folders of the tickers asked for."""
+    """Only the tickers asked for, of those stored."""
     path, bars = scratch(spark, "tickers"), V.bars(spark, sf).select("ts_code", "date", "close")
     T.write_tickers(bars, path)
     asked = V.table(spark, sf, "supplier").select(V._code("s_suppkey").alias("ts_code")).where("right(ts_code, 1) IN ('3', '8')")

@@ -496,6 +496,29 @@ def test_tickers_of_a_write_move_together(spark, tmp_path):
     assert tables.market_stack_read(spark, str(path)).where("cast(ts_code as int) = close").count() == 600
 
 
+def test_many_tickers_share_files(spark, tmp_path):
+    """A write makes a bounded number of files; few and many tickers, and lots with other columns, are one table."""
+    path = tmp_path / "shared"
+    code = F.format_string("%06d", "id").alias("ts_code")
+    many = spark.range(3000).select(code, F.lit(date(2000, 1, 1)).alias("date"), F.col("id").cast("double").alias("amount"))
+    tables.write_tickers(many.unionByName(many.limit(1).withColumn("ts_code", F.lit(None).cast("string"))), str(path))
+    assert len(list(path.rglob("*.parquet"))) <= 2 * tables.DEALS
+    tables.write_tickers(spark.range(2990, 3010).select(code, F.lit(date(2000, 1, 2)).alias("date"), F.col("id").alias("volume")), str(path))
+    stack = tables.market_stack_read(spark, str(path))
+    assert stack.columns == ["date", "volume", "amount", "ts_code"] and stack.count() == 3021 and stack.where("ts_code is null").count() == 1
+    asked = ["000007", "002995", "003005"]
+    frame = spark.createDataFrame([(c,) for c in asked * 2], "ts_code string")
+    for wanted, schema in ((asked, None), (frame, stack.schema), (frame, "ts_code string, date date, amount double, volume bigint")):
+        some = tables.market_stack_read(spark, str(path), wanted, schema)
+        got = sorted(tuple(r) for r in some.select("ts_code", F.dayofmonth("date"), "amount", "volume").collect())
+        assert got == [("000007", 1, 7.0, None), ("002995", 1, 2995.0, None), ("002995", 2, None, 2995), ("003005", 2, None, 3005)]
+    listed = tables.market_stack_read(spark, str(path), ["000007"])
+    scans = [n for n in listed._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in n]
+    assert len(scans) == 2 and "_deal#" in scans[1].split("PartitionFilters")[1] and "EqualTo(ts_code,000007)" in scans[1]  # one deal, the ticker in it
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        tables.market_stack_read(spark, str(tmp_path / "absent"))
+
+
 def test_a_code_is_searched_once(spark):
     from factorlake.functions.codes import normalize_ts_code, normalize_ts_code_all_digits
 
