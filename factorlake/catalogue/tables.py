@@ -83,7 +83,7 @@ _CUTS = (date(1996, 12, 31), date(1998, 2, 14), date(1998, 2, 16))
 )
 def appended(spark, sf):
     """Features of bars that come in four lots; each lot recomputes what it reaches, a running total goes on."""
-    bars = V.bars(spark, sf)
+    bars = V.bars(spark, sf).drop("amount")  # no metric reads it
     traded = FeatureGroup(("traded",), (lambda w: {},), ("volume",), back=0, ahead=0, running={"traded": F.col("volume")})
     groups = [behavioral.GROUPS[g](bars.columns) for g in ("momentum", "volatility")]
     table = GrowingFeatures(spark, scratch(spark, "growing"), [*groups, traded])

@@ -5,11 +5,12 @@ of each series before them (forward returns, say). To recompute those takes ``ba
 series, its last ``back + ahead`` input rows, and for each running total its sum up to there. An append reads
 that state and the new rows, never the history.
 
-Layout under the table's path: ``rows/batch=<n>`` holds what append ``n`` computed, every row once, in folders by how far it
-lies from the end of its series: ``_part=0`` beyond the reach of any later append, ``_part=1`` final, but needed to
-recompute later ones (with its inputs), ``_part=2`` the last ``ahead`` rows, which the next append replaces. ``state/batch=<n>``
-holds their schema; it is written last and makes the append valid. One that failed before leaves nothing behind that is
-read, and is repeated under its number.
+Layout under the table's path: ``rows/batch=<n>`` holds what append ``n`` found, in folders: ``_part=0`` rows that no later
+append changes, ``_part=1`` such rows with their inputs, ``_part=2`` inputs only. Outputs are stored once, when they are final; those
+of the last ``ahead`` rows of a series are computed from their inputs when the table is read. Inputs are stored once, too, until
+those added since are as many as those kept before: then the next append writes down anew what is needed of them. ``state/batch=<n>``
+holds the schema and where the inputs begin; it is written last and makes the append valid. One that failed before
+leaves nothing behind that is read, and is repeated under its number.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +28,9 @@ from ..operators.skew import MAX_GROUP_ROWS, join_nullsafe, row_position
 from ..operators.staged import FeatureGroup, MetricProvider, reach, staged_metrics
 
 
+_MARKS = ("_since", "_kept", "_added")
+
+
 @dataclass(frozen=True)
 class GrowingFeatures:
     """A stored table of staged metrics (see ``staged_metrics``), kept up to date by ``append``."""
@@ -53,96 +57,130 @@ class GrowingFeatures:
         return max((int(n) for f in files for n in re.findall(r"/state/batch=(\d+)/", f)), default=0)
 
     def _rows(self, n: int) -> DataFrame:
-        """What the first ``n`` appends computed, with ``batch`` and ``_part``."""
-        schema = self.spark.read.parquet(self._folder("state", n)).schema.add("batch", T.IntegerType()).add("_part", T.IntegerType())
+        """What the first ``n`` appends wrote, with ``batch`` and ``_part``."""
+        fields = [f for f in self.spark.read.parquet(self._folder("state", n)).schema if f.name not in _MARKS]
+        schema = T.StructType(fields).add("batch", T.IntegerType()).add("_part", T.IntegerType())
         return self.spark.read.schema(schema).parquet(f"{self.path.rstrip('/')}/rows").where(F.col("batch") <= n)
 
     def read(self) -> DataFrame:
-        """All rows, with ``idents`` and the providers' outputs."""
+        """All rows, with ``idents`` and the providers' outputs. Those of the last ``ahead`` rows are computed here."""
         n = self.last_batch()
         if not n:
             raise ValueError(f"nothing was appended to {self.path} yet")
-        final = (F.col("_part") < 2) | (F.col("batch") == n)
-        return self._rows(n).where(F.col("_due") & final).select(*self._outputs())
+        final = self._rows(n).where(F.col("_part") < 2).select(*self._outputs())
+        if not self._reach()[0]:
+            return final
+        still = self._computed(self._inputs(n)).where(F.col("_left") < self._reach()[0])
+        return final.unionByName(still.select(*self._outputs()))
 
     def _outputs(self) -> list[str]:
         return list(dict.fromkeys([*self.idents, *[o for p in self.providers for o in p.outputs]]))
 
+    def _reach(self) -> tuple[int, int]:
+        """Rows ahead, and rows of a series that the next append needs: one at least, with its running totals and place."""
+        rows = reach(self.providers)
+        return rows["ahead"], max(rows["back"] + rows["ahead"], 1)
+
+    def _sums(self) -> dict[str, Column]:
+        return {name: c for p in self.providers for name, c in getattr(p, "running", {}).items()}
+
+    def _max_rows(self, rows: DataFrame) -> int | None:
+        bounded = isinstance(rows.schema[self.order].dataType, T.DateType) and self.max_rows == MAX_GROUP_ROWS
+        return None if bounded else self.max_rows
+
     def state(self) -> DataFrame:
-        """Input rows kept for the next append: ``back + ahead`` per series at most."""
-        return self._state(self.last_batch())
+        """Input rows that the next append needs: ``back + ahead`` per series at most (one, if that is none)."""
+        kept = self._inputs(self.last_batch())
+        return self._placed(kept, self._max_rows(kept)).where(F.col("_left") < self._reach()[1]).select(*kept.columns)
 
-    def _state(self, n: int) -> DataFrame:
-        kept = self._rows(n).where((F.col("batch") == n) & (F.col("_part") > 0))
-        # The last rows are due again; earlier ones have been written for good.
-        kept = kept.withColumn("_due", F.col("_part") == 2).drop("batch", "_part", *self._outputs())
-        return kept.withColumnsRenamed({c: c[len("_in_") :] for c in kept.columns if c.startswith("_in_")})
+    def _mark(self, n: int) -> tuple[int, int, int]:
+        """The append where the stored inputs begin, how many it wrote, and how many were added since."""
+        return tuple(self.spark.read.parquet(self._folder("state", n)).select(*_MARKS).first())
 
-    def append(self, rows: DataFrame) -> None:
-        """Add input rows later than all that their series hold; earlier ones are an error.
+    def _inputs(self, n: int) -> DataFrame:
+        """Stored inputs: those that the next append needs, and some before them."""
+        kept = self._rows(n).where((F.col("batch") >= self._mark(n)[0]) & (F.col("_part") > 0))
+        names = {c: c[len("_in_") :] for c in kept.columns if c.startswith("_in_")}
+        extra = ["_first", *[f"_sum_{s}" for s in self._sums()]]
+        return kept.select(*[F.col(c).alias(name) for c, name in names.items()], *extra, F.lit(True).alias("_old"))
 
-        ``rows`` has one row per series and order value, and the same columns at every append; it is evaluated more than
-        once, so it must give the same rows each time. A series may be new. Rows without an order value are left out. An
-        append without rows changes nothing but its number. With a DATE as order the calendar bounds a series, whose
-        size is then not checked unless ``max_rows`` is set.
-        """
-        by, n = list(self.by), self.last_batch()
-        back, ahead = (reach(self.providers)[side] for side in ("back", "ahead"))
-        sums = {name: c for p in self.providers for name, c in getattr(p, "running", {}).items()}
-        new = rows.where(F.col(self.order).isNotNull())
-        bounded = isinstance(new.schema[self.order].dataType, T.DateType) and self.max_rows == MAX_GROUP_ROWS
-        max_rows = None if bounded else self.max_rows
-        inputs = list(new.columns)
-        types = new.select(*[F.sum(c).alias(s) for s, c in sums.items()]).schema if sums else {}
-        blank = {f"_carry_{s}": F.lit(None).cast(types[s].dataType) for s in sums}
-        both = new.withColumns({"_first": F.lit(False), "_due": F.lit(True)} | blank)
-        if n:
-            old = self._state(n)
-            self._check_order(new, old)
-            both = both.unionByName(old)
+    def _computed(self, both: DataFrame) -> DataFrame:
+        """Metrics of input rows as ``_inputs`` gives them, with their places in their series."""
+        sums, max_rows = self._sums(), self._max_rows(both)
 
         # A running total starts from what it came to at the first row kept.
         def start(name: str):
-            own = sums[name].cast(types[name].dataType)
-            return F.when(F.col("_first"), F.col(f"_carry_{name}")).otherwise(own)
+            return F.when(F.col("_first"), F.col(f"_sum_{name}")).otherwise(sums[name].cast(both.schema[f"_sum_{name}"].dataType))
 
         given = FeatureGroup(back=0, ahead=0, running={s: start(s) for s in sums})
         bare = [_Bare(p) for p in self.providers]
-        full = staged_metrics(both, [given, *bare], by=by, order=[self.order], max_rows=max_rows)
-        placed = self._placed(full, max_rows)
-        left, reached = F.col("_left"), back + ahead
-        first = left == F.least(F.col("_rows"), F.lit(reached)) - 1
-        carries = [F.when(first, F.col(s)).alias(f"_carry_{s}") for s in sums]
-        needed = [F.when(left < reached, F.col(c)).alias(f"_in_{c}") for c in inputs if c not in by and c != self.order]
-        keys = [F.col(c).alias(f"_in_{c}") for c in (*by, self.order)]
-        part = F.when(left >= reached, 0).when(left >= ahead, 1).otherwise(2).alias("_part")
-        out = placed.where((left < reached) | F.col("_due")).select(
-            *self._outputs(), *keys, *needed, first.alias("_first"), "_due", *carries, part
+        full = staged_metrics(both, [given, *bare], by=self.by, order=[self.order], max_rows=max_rows)
+        return self._placed(full, max_rows)
+
+    def append(self, rows: DataFrame) -> None:
+        """Add input rows later than all that their series hold; earlier ones are an error.
+
+        ``rows`` has one row per series and order value, and the same columns at every append. A series may be new. Rows
+        without an order value are left out. An append without rows changes nothing but its number. With a DATE as order
+        the calendar bounds a series, whose size is then not checked unless ``max_rows`` is set; otherwise ``rows`` is
+        evaluated more than once, so it must give the same rows each time.
+        """
+        by, n, sums = list(self.by), self.last_batch(), self._sums()
+        ahead, reached = self._reach()
+        since, kept, added = self._mark(n) if n else (1, 0, 0)
+        new = rows.where(F.col(self.order).isNotNull())
+        inputs = list(new.columns)
+        types = new.select(*[F.sum(c).alias(s) for s, c in sums.items()]).schema if sums else {}
+        blank = {f"_sum_{s}": F.lit(None).cast(types[s].dataType) for s in sums}
+        both = new.withColumns({"_first": F.lit(False), "_old": F.lit(False)} | blank)
+        if n:  # dealt alike, so that windows over both need no exchange of them
+            both = both.repartition(*by).unionByName(self._inputs(n).repartition(*by))
+        placed = self._computed(both)
+        left, old = F.col("_left"), F.col("_old")
+        anew = added >= kept  # as at the first append
+        first = F.lit(anew) & (left == F.least(F.col("_rows"), F.lit(reached)) - 1)
+        needed = left < reached if anew else ~old
+        due = (left >= ahead) & (~old | (F.col("_olds") - F.col("_at") < ahead))
+        late = ~old & (F.col(self.order) <= F.col("_to"))
+        out = placed.where(needed | due).select(
+            *[F.when(due, F.col(c)).alias(c) for c in self._outputs()],
+            *[F.when(needed | late, F.col(c)).alias(f"_in_{c}") for c in inputs],
+            first.alias("_first"),
+            *[F.when(first, F.col(s)).cast(types[s].dataType).alias(f"_sum_{s}") for s in sums],
+            late.alias("_late"),
+            F.when(~due, 2).when(needed, 1).otherwise(0).alias("_part"),
         )
         out.write.mode("overwrite").option("compression", "zstd").partitionBy("_part").parquet(self._folder("rows", n + 1))
-        mark = self.spark.createDataFrame([], out.drop("_part").schema)
+        schema = T.StructType([f for f in out.schema if f.name != "_part"])
+        wrote = self.spark.read.schema(T.StructType([*schema]).add("_part", T.IntegerType())).parquet(self._folder("rows", n + 1))
+        early = wrote.where("_late").select(*[F.col(f"_in_{c}").alias(c) for c in (*by, self.order)]).limit(3).collect()
+        if early:
+            raise ValueError(f"rows that are not later than those stored: {[r.asDict() for r in early]}")
+        count = wrote.where("_part > 0").count()
+        marks = (n + 1, count, 0) if anew else (since, kept, added + count)
+        mark = self.spark.range(1).select(
+            *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema], *[F.lit(v).cast("long").alias(c) for c, v in zip(_MARKS, marks)]
+        )
         mark.coalesce(1).write.mode("overwrite").parquet(self._folder("state", n + 1))
 
     def _placed(self, full: DataFrame, max_rows: int | None) -> DataFrame:
-        """``full`` with ``_rows`` of its series and how many of them are behind each row (``_left``)."""
+        """``full`` with ``_rows`` of its series, how many of them are old and where those end (``_olds``, ``_to``), and how
+        many are behind each row (``_left``)."""
         by = list(self.by)
+        size = {
+            "_rows": F.count(F.lit(1)),
+            "_olds": F.count(F.when(F.col("_old"), 1)),
+            "_to": F.max(F.when(F.col("_old"), F.col(self.order))),
+        }
         if max_rows is None:  # the window the metrics were computed in, sorted as it is
             series = Window.partitionBy(*by)
             at = F.row_number().over(series.orderBy(self.order)).cast("long")
-            placed = full.withColumns({"_at": at, "_rows": F.count(F.lit(1)).over(series)})
+            placed = full.withColumns({"_at": at} | {name: c.over(series) for name, c in size.items()})
         else:
             place = row_position(full, by, [self.order], "_at", max_rows=max_rows)
-            placed = join_nullsafe(place, full.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")), by)
+            placed = join_nullsafe(place, full.groupBy(*by).agg(*[c.alias(name) for name, c in size.items()]), by)
         return placed.withColumn("_left", F.col("_rows") - F.col("_at"))
 
-    def _check_order(self, new: DataFrame, old: DataFrame) -> None:
-        by = list(self.by)
-        starts = new.groupBy(*by).agg(F.min(self.order).alias("_from"))
-        ends = old.groupBy(*by).agg(F.max(self.order).alias("_to"))
-        late = join_nullsafe(starts, ends, by).where("_from <= _to").limit(3).collect()
-        if late:
-            raise ValueError(f"rows that are not later than those stored: {[r.asDict() for r in late]}")
-
 
 class _Bare:
     """A provider without its running totals, which ``append`` declares anew."""

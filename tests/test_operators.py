@@ -485,6 +485,42 @@ def test_an_append_stores_every_row_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t" / "rows")).count() == 60 == table.read().count()
 
 
+@pytest.mark.parametrize("max_rows", [2_000_000, 12])
+def test_appends_store_outputs_and_inputs_once(spark, tmp_path, max_rows):
+    """An append of a few rows writes no more than those and what became final; a read computes the open rows. Also of
+    series that are cut into blocks."""
+    from factorlake.sources.incremental import GrowingFeatures
+
+    df = spark.createDataFrame([(c, i, float(i)) for c in "ab" for i in range(40)], "k string, d int, x double")
+    group = FeatureGroup(("next3",), (lambda w: {"next3": F.lead("x", 3).over(w)},), ("x",), back=5, ahead=3, running={"total": F.col("x")})
+    total = FeatureGroup(("total",))
+    table = GrowingFeatures(spark, str(tmp_path / "t"), [group, total], ["k"], "d", ["k", "d"], max_rows)
+    rows = lambda: spark.read.parquet(str(tmp_path / "t" / "rows"))
+    before = -1
+    for cut in (19, 20, 21, 39):
+        table.append(df.where((F.col("d") > before) & (F.col("d") <= cut)))
+        before = cut
+        assert rows().where("_part < 2").count() == 2 * (cut + 1 - 3)  # outputs, each once
+        got = {(r["k"], r["d"]): (r["next3"], r["total"]) for r in table.read().collect()}
+        assert got == {(c, i): (i + 3.0 if i + 3 <= cut else None, i * (i + 1) / 2) for c in "ab" for i in range(cut + 1)}
+    assert rows().where("_part > 0").count() == 2 * (8 + 1 + 1 + 18)  # inputs: 8 of the first append, then the new rows
+
+
+def test_totals_without_reach_go_on(spark, tmp_path):
+    """A table of running totals only keeps one row of each series, by which it also knows late rows."""
+    from factorlake.sources.incremental import GrowingFeatures
+
+    df = spark.createDataFrame([(i, 1.0) for i in range(9)], "d int, x double").withColumn("k", F.lit("a"))
+    group = FeatureGroup(("total",), back=0, ahead=0, running={"total": F.col("x")})
+    table = GrowingFeatures(spark, str(tmp_path / "t"), [group], ["k"], "d", ["k", "d"])
+    for since, until in ((0, 4), (4, 5), (5, 9)):
+        table.append(df.where(f"d >= {since} and d < {until}"))
+        assert table.state().count() == 1
+    assert [r["total"] for r in table.read().orderBy("d").collect()] == [float(i) for i in range(1, 10)]
+    with pytest.raises(ValueError, match="not later"):
+        table.append(df.where("d = 8"))
+
+
 def test_tickers_of_a_write_move_together(spark, tmp_path):
     """A write is moved into place in a bounded number of folders, not in one for each ticker."""
     path = tmp_path / "many"
