@@ -5,8 +5,9 @@ of each series before them (forward returns, say). To recompute those takes ``ba
 series, its last ``back + ahead`` input rows, and for each running total its sum up to there. An append reads
 that state and the new rows, never the history.
 
-Layout under the table's path: ``rows/batch=<n>`` holds what append ``n`` found, in folders: ``_part=0`` rows that no later
-append changes, ``_part=1`` such rows with their inputs, ``_part=2`` inputs only. Outputs are stored once, when they are final; those
+Layout under the table's path: ``rows/batch=<n>`` holds what append ``n`` found. Its column ``_part`` is 0 in rows that no later
+append changes, 1 in such rows with their inputs, 2 in inputs only (as a folder it would have wide rows sorted by it before
+they are written). Outputs are stored once, when they are final; those
 of the last ``ahead`` rows of a series are computed from their inputs when the table is read. Inputs are stored once, too, until
 those added since are as many as those kept before: then the next append writes down anew what is needed of them. ``state/batch=<n>``
 holds the schema and where the inputs begin; it is written last and makes the append valid. One that failed before
@@ -57,9 +58,9 @@ class GrowingFeatures:
         return max((int(n) for f in files for n in re.findall(r"/state/batch=(\d+)/", f)), default=0)
 
     def _rows(self, n: int) -> DataFrame:
-        """What the first ``n`` appends wrote, with ``batch`` and ``_part``."""
+        """What the first ``n`` appends wrote, with ``batch``."""
         fields = [f for f in self.spark.read.parquet(self._folder("state", n)).schema if f.name not in _MARKS]
-        schema = T.StructType(fields).add("batch", T.IntegerType()).add("_part", T.IntegerType())
+        schema = T.StructType(fields).add("batch", T.IntegerType())
         return self.spark.read.schema(schema).parquet(f"{self.path.rstrip('/')}/rows").where(F.col("batch") <= n)
 
     def read(self) -> DataFrame:
@@ -150,16 +151,15 @@ class GrowingFeatures:
             late.alias("_late"),
             F.when(~due, 2).when(needed, 1).otherwise(0).alias("_part"),
         )
-        out.write.mode("overwrite").option("compression", "zstd").partitionBy("_part").parquet(self._folder("rows", n + 1))
-        schema = T.StructType([f for f in out.schema if f.name != "_part"])
-        wrote = self.spark.read.schema(T.StructType([*schema]).add("_part", T.IntegerType())).parquet(self._folder("rows", n + 1))
+        out.write.mode("overwrite").option("compression", "zstd").parquet(self._folder("rows", n + 1))
+        wrote = self.spark.read.schema(out.schema).parquet(self._folder("rows", n + 1))
         early = wrote.where("_late").select(*[F.col(f"_in_{c}").alias(c) for c in (*by, self.order)]).limit(3).collect()
         if early:
             raise ValueError(f"rows that are not later than those stored: {[r.asDict() for r in early]}")
         count = wrote.where("_part > 0").count()
         marks = (n + 1, count, 0) if anew else (since, kept, added + count)
         mark = self.spark.range(1).select(
-            *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema], *[F.lit(v).cast("long").alias(c) for c, v in zip(_MARKS, marks)]
+            *[F.lit(None).cast(f.dataType).alias(f.name) for f in out.schema], *[F.lit(v).cast("long").alias(c) for c, v in zip(_MARKS, marks)]
         )
         mark.coalesce(1).write.mode("overwrite").parquet(self._folder("state", n + 1))
 

@@ -504,6 +504,7 @@ def test_appends_store_outputs_and_inputs_once(spark, tmp_path, max_rows):
         got = {(r["k"], r["d"]): (r["next3"], r["total"]) for r in table.read().collect()}
         assert got == {(c, i): (i + 3.0 if i + 3 <= cut else None, i * (i + 1) / 2) for c in "ab" for i in range(cut + 1)}
     assert rows().where("_part > 0").count() == 2 * (8 + 1 + 1 + 18)  # inputs: 8 of the first append, then the new rows
+    assert not list(tmp_path.rglob("_part=*"))  # which would have the rows sorted once more
 
 
 def test_totals_without_reach_go_on(spark, tmp_path):
